@@ -9,7 +9,7 @@ from pharmatext.functions.fixed_values import PAGE_SIZE, SITE_PREFIXES
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
 
 
 def by_site(site: Column, rules: dict[str, Column], default: Column | None = None) -> Column:

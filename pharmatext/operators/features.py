@@ -27,21 +27,39 @@ def tokenize(df: DataFrame, text: str = "text", id_col: str = "id", stop_words=r
     return df.select(id_col, F.posexplode(found).alias("pos", "token"))
 
 
-def token_rows(
+def token_arrays(
     df: DataFrame, text: str, keep: list[str], remove_tags: list[str] | None = None,
     lexicon: DataFrame | None = None,
 ) -> DataFrame:
-    """``keep`` columns and ``term``, one row per token; a text without tokens gives one null term.
+    """``keep`` columns and ``tokens``, one row per text, without the tokens of the given tags.
 
-    The rows of a text stay in the task that read it.
+    ``keep`` starts with the id. Only a lexicon needs a join, hence a shuffle.
     """
-    rows = df.select(*keep, F.explode_outer(rules.tokens(F.col(text))).alias("term"))
+    found = F.coalesce(rules.tokens(F.col(text)), F.array().cast("array<string>"))
     if not remove_tags:
-        return rows
+        return df.select(*keep, found.alias("tokens"))
     wanted = rules.check_tags(remove_tags)
-    # A removed token becomes a null term, so that its text still has a row.
-    tagged = tag_tokens(rows, "term", lexicon, spread=keep[0])
-    return tagged.select(*keep, F.when(~F.col("tag").isin(wanted), F.col("term")).alias("term"))
+    if lexicon is None:
+        kept = F.filter(found, lambda t: ~rules.rule_tag(t).isin(wanted))
+        return df.select(*keep, kept.alias("tokens"))
+    rows = df.select(*keep, F.posexplode_outer(found).alias("pos", "token"))
+    tagged = tag_tokens(rows, "token", lexicon, keep[0])
+    kept = F.when(F.col("pos").isNotNull() & ~F.col("tag").isin(wanted), F.struct("pos", "token"))
+    # One text per group: it was one row of the input.
+    texts = tagged.groupBy(*keep).agg(F.array_sort(F.collect_list(kept)).alias("_p"))
+    return texts.select(*keep, F.col("_p.token").alias("tokens"))
+
+
+def token_rows(
+    df: DataFrame, text: str, keep: list[str], remove_tags: list[str] | None = None,
+    lexicon: DataFrame | None = None,
+) -> DataFrame:
+    """``keep`` columns and ``term``, one row per token; a text without tokens gives one null term.
+
+    The rows of a text stay in the task that read it. With a lexicon ``keep`` starts with the id.
+    """
+    texts = token_arrays(df, text, keep, remove_tags, lexicon)
+    return texts.select(*keep, F.explode_outer("tokens").alias("term"))
 
 
 def tag_tokens(
@@ -123,9 +141,15 @@ class WordVectors:
 
     @staticmethod
     def of(table: DataFrame) -> WordVectors:
-        stored = materialize(table.select("term", F.col("idx").cast("bigint").alias("idx"), "vec"), "word_vectors")
-        size = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-        return WordVectors(stored, size.n, size.dim or 0)
+        """Write the table once, then measure it."""
+        return WordVectors.stored(materialize(
+            table.select("term", F.col("idx").cast("bigint").alias("idx"), "vec"), "word_vectors"))
+
+    @staticmethod
+    def stored(table: DataFrame) -> WordVectors:
+        """From a table that is cheap to read again."""
+        size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+        return WordVectors(table, size.n, size.dim or 0)
 
     @property
     def row_bytes(self) -> int:

@@ -36,7 +36,7 @@ def explode_ratings(
         return df
     names = types if types is not None else star_types(df, rating)
     if not names:
-        return df
+        return df.drop(rating) if isinstance(df.schema[rating].dataType, MapType) else df
     stars = _as_map(df, rating)
     columns = [F.try_element_at(stars, F.lit(n)).alias(n) for n in names]
     return df.select(*[c for c in df.columns if c != rating], *columns)

@@ -108,12 +108,13 @@ class NaiveBayesModel:
         )
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "label",
+def fit(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "id",
         remove_tags: list[str] | None = None, lexicon: DataFrame | None = None) -> NaiveBayesModel:
     """Count terms per class: one shuffle of (term, counts) after a map-side combine."""
     sizes = class_counts(df, label)
     labels = list(sizes)
-    rows = token_rows(df, text, [label], remove_tags, lexicon).filter(F.col("term").isNotNull())
+    keep = [label] if lexicon is None else [id_col, label]
+    rows = token_rows(df, text, keep, remove_tags, lexicon).filter(F.col("term").isNotNull())
     counts = rows.groupBy("term").agg(
         *[F.sum((F.col(label) == value).cast("bigint")).alias(f"c{i}") for i, value in enumerate(labels)])
     table = materialize(counts, "term_class_counts")

@@ -70,7 +70,10 @@ def read_csv(
 def write_csv(df: DataFrame, path: str, star_types: list[str] | None = None, mode: str = "error") -> None:
     """CSV with a header; a rating map is flattened to one column per star type first."""
     flat = explode_ratings(df, star_types)
-    flat.write.mode(mode).options(header="true", quote='"', escape='"', emptyValue="").csv(path)
+    flat.write.mode(mode).options(
+        header="true", quote='"', escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+    ).csv(path)
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
