@@ -183,3 +183,104 @@ def extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame(rows, columns=RAW_COLUMNS)
                     rows = []
     yield pd.DataFrame(rows, columns=RAW_COLUMNS)
+
+
+# What a front page says about its number of reviews (webmd, drugs) or pages (everydayhealth).
+
+def _webmd_total(page: Element) -> str | None:
+    head = page.first("div", id="heading")
+    if head is None or "Be the first to share your experience with this treatment." in head.text():
+        return None
+    words = (_text(page.first("span", "totalreviews")) or "").split()
+    return next((w for w in words if w.isdigit()), None)
+
+
+def _drugs_total(page: Element) -> str | None:
+    table = page.first("table", "data-list ddc-table-sortable")
+    foot = table and table.first("tfoot")
+    row = foot and foot.first("tr")
+    cells = list(row.all("th")) if row else []
+    return cells[2].text() if len(cells) > 2 else None
+
+
+def _everydayhealth_total(page: Element) -> str | None:
+    if page.first("div", "review-details clearfix") is None:
+        return None
+    box = page.first("div", "review-pagination")
+    words = (_text(box and box.first("section", "review-pagination__section--info")) or "").split()
+    return words[2] if len(words) > 2 else None
+
+
+TOTALS = {
+    "webmd": _webmd_total,
+    "drugs": _drugs_total,
+    "everydayhealth": _everydayhealth_total,
+    "drugratingz": lambda page: None,
+}
+
+FRONT_COLUMNS = ["page_id", "site", "url", "drug", "is_reviews"]
+FRONT_SCHEMA = "page_id bigint, site string, url string, drug string, is_reviews boolean, total_raw string"
+
+
+def front_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per front page, with the text that states its count."""
+    for batch in batches:
+        told = [TOTALS[site](parse(html)) for site, html in zip(batch["site"], batch["html"])]
+        yield batch[FRONT_COLUMNS].assign(total_raw=pd.Series(told, dtype=object, index=batch.index))
+
+
+# Search result pages: (place, review count text, address, is a hop) per hit.
+
+def _webmd_hits(page: Element, url: str):
+    link = page.first("a", "drug-review")
+    if link is not None:
+        yield 0, None, "https://www.webmd.com" + link.attrs.get("href", ""), False
+        return
+    exact = page.first("ul", "exact-match")
+    link = exact and exact.first("a")
+    if link:
+        yield 0, None, "https://www.webmd.com" + link.attrs.get("href", ""), True
+
+
+def _drugs_hits(page: Element, url: str):
+    title = page.first("p", "user-reviews-title mgb-1")
+    link = title and title.first("a")
+    if link:
+        yield 0, None, "https://www.drugs.com" + link.attrs.get("href", ""), False
+
+
+def _everydayhealth_hits(page: Element, url: str):
+    if "Reviews" in (_text(page.first("title")) or "").split():
+        yield 0, None, url, False
+
+
+def _drugratingz_hits(page: Element, url: str):
+    rows = [*page.all("tr", "ratingstableeven"), *page.all("tr", "ratingstableodd")]
+    for i, row in enumerate(rows):
+        cells = list(row.all("td", align="center"))
+        link = cells[2].first("a") if len(cells) > 2 else None
+        if link is not None:
+            yield i, cells[2].text(), "https://www.drugratingz.com" + link.attrs.get("href", ""), False
+
+
+HITS = {
+    "webmd": _webmd_hits,
+    "drugs": _drugs_hits,
+    "everydayhealth": _everydayhealth_hits,
+    "drugratingz": _drugratingz_hits,
+}
+
+SEARCH_COLUMNS = ["page_id", "site", "name", "pos", "n_raw", "url", "is_hop"]
+SEARCH_SCHEMA = "page_id bigint, site string, name string, pos int, n_raw string, url string, is_hop boolean"
+
+
+def search_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hits on each search result page."""
+    for batch in batches:
+        pages = zip(*[batch[c] for c in ("page_id", "site", "name", "url", "html")])
+        rows = [
+            (page_id, site, name, *hit)
+            for page_id, site, name, url, html in pages
+            for hit in HITS[site](parse(html), url)
+        ]
+        yield pd.DataFrame(rows, columns=SEARCH_COLUMNS)

@@ -74,7 +74,8 @@ def parse_star(text: Column) -> Column:
     return strip(F.replace(text, F.lit("Current Rating:"), F.lit(""))).try_cast("double")
 
 
-def digits(text: Column) -> Column:
+def digits(text: Column | str) -> Column:
+    """The digits of a text as a number; null without any."""
     return F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).cast("bigint")
 
 

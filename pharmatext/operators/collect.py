@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.functions import markup, sites
 from pharmatext.functions.fixed_values import DRUGRATINGZ_STARS, SITE_PREFIXES, WEBMD_STARS
+from pharmatext.plans.joins import BROADCAST_BYTES, join_measured
 
 
 def route_pages(pages: DataFrame, prefixes: dict[str, str] = SITE_PREFIXES) -> DataFrame:
@@ -72,16 +73,23 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("name").agg(best.alias("_b")).select("name", "_b.url", "_b.n_reviews")
 
 
+def _per_name(names: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """Join a name list with a table unique on ``name``: repeated names meet it once."""
+    counted = names.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    joined = counted.join(table, "name", how)
+    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+
+
 def resolve_names(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every name with its url, null for a name that is too short or has no hit."""
+    """Every name of the list ``(name)`` with its url, null for a name too short or without a hit."""
     hits = best_candidates(candidates.filter(sites.long_enough(F.col("name"))))
-    return names.join(hits.select("name", "url"), "name", "left")
+    return _per_name(names, hits.select("name", "url"), "left")
 
 
 def names_not_found(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Names without a url."""
-    found = candidates.filter(sites.long_enough(F.col("name"))).select("name").distinct()
-    return names.join(found, "name", "left_anti")
+    """Names of the list without a url."""
+    found = candidates.filter(sites.long_enough(F.col("name")) & F.col("url").isNotNull())
+    return _per_name(names, found.select("name").distinct(), "left_anti")
 
 
 def append_reviews(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -89,9 +97,16 @@ def append_reviews(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(new, allowMissingColumns=True)
 
 
-def pages_to_do(pages: DataFrame, done: DataFrame, on: str = "url") -> DataFrame:
-    """Pages not collected before; the rest of an interrupted run."""
-    return pages.join(done.select(on).distinct(), on, "left_anti")
+def pages_to_do(pages: DataFrame, done: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Pages whose url was not collected before; the rest of an interrupted run."""
+    urls = done.select("url").distinct()
+    return join_measured(pages, urls, "url", F.col("page_id"), "left_anti", limit)
+
+
+def pages_of(pages: DataFrame, urls: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Fetched pages whose url is in a list."""
+    wanted = urls.select("url").distinct()
+    return join_measured(pages, wanted, "url", F.col("page_id"), "left_semi", limit)
 
 
 def collect_from_names(
@@ -105,5 +120,45 @@ def collect_from_names(
     site = F.col("site")
     wanted = page_frontier(
         found.join(fronts, "url").select("site", "url", sites.page_count(site, F.col("total")).alias("pages"))
-    ).select(F.col("page_url").alias("url")).distinct()
-    return extract_reviews(pages.join(wanted, "url", "left_semi"), **columns)
+    )
+    return extract_reviews(pages_of(pages, wanted.select(F.col("page_url").alias("url"))), **columns)
+
+
+def front_pages(pages: DataFrame) -> DataFrame:
+    """What front pages ``(page_id, url, html)`` say: site, whether they show reviews, drug, pages.
+
+    A page that fails its site's test has 0 pages.
+    """
+    site = F.col("site")
+    known = route_pages(pages).filter(site.isNotNull() & F.col("html").isNotNull())
+    told = known.select(
+        "page_id", "site", "url", "html", sites.drug_name(site, F.col("html")).alias("drug"),
+        sites.is_review_page(site, F.col("html")).alias("is_reviews"),
+    ).mapInPandas(markup.front_batches, markup.FRONT_SCHEMA)
+    pages_told = F.when(F.col("is_reviews"), sites.page_count(site, sites.digits("total_raw"))).otherwise(0)
+    return told.select("page_id", "site", "url", "drug", "is_reviews", pages_told.cast("bigint").alias("pages"))
+
+
+def search_hits(results: DataFrame) -> DataFrame:
+    """Search result pages ``(page_id, site, name, url, html)`` to hits.
+
+    Gives ``(page_id, site, name, pos, n_reviews, url, is_hop)``: a hop leads to one more page that
+    links to the reviews. ``best_candidates`` picks one hit per name.
+    """
+    raw = results.select("page_id", "site", "name", "url", "html").mapInPandas(
+        markup.search_batches, markup.SEARCH_SCHEMA)
+    return raw.select(
+        "page_id", "site", "name", "pos",
+        F.coalesce(sites.digits("n_raw"), F.lit(0)).alias("n_reviews"), "url", "is_hop")
+
+
+def follow_hops(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """Replace each hop by the first review link of the page it leads to; dead ends drop."""
+    hops = hits.filter("is_hop")
+    landed = pages_of(pages, hops).select(
+        "page_id", F.lit("webmd").alias("site"), F.col("url").alias("name"), "url", "html")
+    links = search_hits(landed).filter(~F.col("is_hop")).groupBy(F.col("name").alias("url")).agg(
+        F.min_by("url", "page_id").alias("_to"))
+    moved = join_measured(hops, links, "url", F.struct("page_id", "name"), "inner")
+    moved = moved.withColumn("url", F.col("_to")).withColumn("is_hop", F.lit(False)).select(*hits.columns)
+    return hits.filter(~F.col("is_hop")).unionByName(moved)

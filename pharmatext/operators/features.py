@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pharmatext.functions import text as rules
-from pharmatext.plans.joins import BROADCAST_BYTES, fits_broadcast, join_table
+from pharmatext.plans.joins import BROADCAST_BYTES, ROW_BYTES, join_table, table_size
+from pharmatext.plans.lookup import (
+    LOOKUP_BYTES, flat_lists, list_of_rows, list_with_offsets, map_lists, mean_of, rows_of, worker_table,
+)
 from pharmatext.plans.ranking import with_global_rank, with_rank
 from pharmatext.plans.storage import materialize
 
@@ -70,7 +75,7 @@ def tag_tokens(
     if lexicon is None:
         return rows.withColumn("tag", by_rule)
     known = lexicon.select(F.col("term").alias(token), F.col("tag").alias("_tag"))
-    joined = join_table(rows, known, token, F.col(spread), lexicon.count())
+    joined = join_table(rows, known, token, F.col(spread), table_size(lexicon, "term")[1])
     return joined.withColumn("tag", F.coalesce("_tag", by_rule)).drop("_tag")
 
 
@@ -86,6 +91,7 @@ class BagOfWords:
 
     terms: DataFrame
     n_terms: int
+    n_bytes: int
     remove_tags: list[str] | None = None
     lexicon: DataFrame | None = None
 
@@ -95,7 +101,7 @@ class BagOfWords:
         rows = token_rows(df, text, [id_col], remove_tags, lexicon)
         found = rows.select("term").filter(F.col("term").isNotNull()).distinct()
         terms = materialize(found, "vocabulary")
-        return BagOfWords(terms, terms.count(), remove_tags, lexicon)
+        return BagOfWords(terms, *table_size(terms, "term"), remove_tags, lexicon)
 
     def with_index(self) -> DataFrame:
         """``(term, idx)``: alphabetical position, numbered without one global sort."""
@@ -107,7 +113,7 @@ class BagOfWords:
         rows = token_rows(df, text, [id_col], self.remove_tags, self.lexicon)
         counts = rows.groupBy(id_col, "term").agg(F.count("term").alias("n"))
         known = self.terms.withColumn("_known", F.lit(True))
-        joined = join_table(counts, known, "term", F.col(id_col), self.n_terms, limit=limit)
+        joined = join_table(counts, known, "term", F.col(id_col), self.n_bytes, limit=limit)
         per_text = Window.partitionBy(id_col)
         marked = joined.withColumn("_k", F.count("_known").over(per_text)).withColumn(
             "_r", F.row_number().over(per_text.orderBy("term")))
@@ -124,7 +130,7 @@ def tf_idf(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     counts = materialize(rows.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")), "term_counts")
     doc_freq = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "doc_freq")
     n_texts = df.count()
-    joined = join_table(counts, doc_freq, "term", F.col(id_col), doc_freq.count(), how="inner")
+    joined = join_table(counts, doc_freq, "term", F.col(id_col), table_size(doc_freq, "term")[1], how="inner")
     idf = F.log(F.lit(float(n_texts + 1)) / (F.col("df") + 1))
     return joined.select(id_col, "term", "n", "df", (F.col("n") * idf).alias("weight"))
 
@@ -138,6 +144,8 @@ class WordVectors:
     table: DataFrame
     n_words: int
     dim: int
+    n_bytes: int
+    _workers: object = None
 
     @staticmethod
     def of(table: DataFrame) -> WordVectors:
@@ -148,12 +156,17 @@ class WordVectors:
     @staticmethod
     def stored(table: DataFrame) -> WordVectors:
         """From a table that is cheap to read again."""
-        size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-        return WordVectors(table, size.n, size.dim or 0)
-
-    @property
-    def row_bytes(self) -> int:
-        return 96 + 8 * self.dim
+        size = table.agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"),
+            F.sum(F.octet_length("term") + 4 * F.size("vec") + ROW_BYTES).alias("bytes")).first()
+        return WordVectors(table, size.n, size.dim or 0, size.bytes or 0)
+
+    def workers(self, limit: int):
+        """The table in every Python worker, or None if it is larger than ``limit`` bytes."""
+        if self.n_bytes > limit or not self.n_words:
+            return None
+        self._workers = self._workers or worker_table(self.table)
+        return self._workers
 
     def lookup(self) -> DataFrame:
         """``(idx, vec)`` with a zero vector in row 0 and each word one further on."""
@@ -166,21 +179,30 @@ class WordVectors:
 
 def mean_vectors(
     df: DataFrame, vectors: WordVectors, text: str = "text", id_col: str = "id",
-    keep: list[str] | None = None, limit: int = BROADCAST_BYTES,
+    keep: list[str] | None = None, limit: int = LOOKUP_BYTES, join_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, keep.., features)``: mean vector of a text's tokens that have one, else zeros.
 
-    Repeats count. Only (sum, count) pairs are shuffled while the vectors fit a broadcast.
+    Repeats count. Up to ``limit`` bytes of word vectors the texts are mapped in place; beyond, the
+    word counts of each text are joined with the vectors.
     """
     keys = [id_col, *(keep or [])]
-    rows = token_rows(df, text, keys).withColumn("_n", F.lit(1))
-    if not fits_broadcast(vectors.n_words, vectors.row_bytes, limit):
-        # The join will shuffle: send each (text, term) once.
-        rows = rows.groupBy(*keys, "term").agg(F.sum("_n").alias("_n"))
+    workers = vectors.workers(limit)
+    if workers is not None:
+        def mean(tokens):
+            terms, _, matrix = workers.value
+            offsets, rows = rows_of(tokens, terms)
+            out = np.zeros((len(tokens), matrix.shape[1]))
+            for i, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
+                out[i] = mean_of(rows[start:end], matrix)
+            return list_of_rows(out)
+
+        texts = token_arrays(df, text, keys)
+        return map_lists(texts, keys, "tokens", "array<double>", mean).select(
+            *keys, array_to_vector("_new").alias("features"))
+    counts = token_rows(df, text, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
     known = vectors.table.select("term", array_to_vector("vec").alias("_v"))
-    joined = join_table(
-        rows, known, "term", F.col(id_col), vectors.n_words, vectors.row_bytes, limit=limit
-    )
+    joined = join_table(counts, known, "term", F.col(id_col), 2 * vectors.n_bytes, limit=join_limit)
     hit = F.col("_v").isNotNull()
     zero = array_to_vector(F.array_repeat(F.lit(0.0), vectors.dim))
     sums = joined.groupBy(*keys).agg(
@@ -198,23 +220,46 @@ def mean_vector_values(means: DataFrame, id_col: str = "id") -> DataFrame:
 
 def tokens_to_indices(
     df: DataFrame, vectors: WordVectors, text: str = "text", id_col: str = "id",
-    keep: list[str] | None = None, limit: int = BROADCAST_BYTES,
+    keep: list[str] | None = None, limit: int = LOOKUP_BYTES, join_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, keep.., indices)``: word position + 1 per token in text order, 0 for unknown words."""
     keys = [id_col, *(keep or [])]
+    workers = vectors.workers(limit)
+    if workers is not None:
+        def index(tokens):
+            terms, idx, _ = workers.value
+            offsets, rows = rows_of(tokens, terms)
+            return list_with_offsets(offsets, pa.array(np.append(idx + 1, 0)[rows].astype(np.int32)))
+
+        texts = token_arrays(df, text, keys)
+        return map_lists(texts, keys, "tokens", "array<int>", index).select(
+            *keys, F.col("_new").alias("indices"))
     rows = df.select(*keys, F.posexplode_outer(rules.tokens(F.col(text))).alias("pos", "term"))
     known = vectors.table.select("term", (F.col("idx") + 1).cast("int").alias("_i"))
-    joined = join_table(rows, known, "term", F.col(id_col), vectors.n_words, limit=limit)
+    joined = join_table(rows, known, "term", F.col(id_col), vectors.n_bytes, limit=join_limit)
     return _in_order(joined, keys, F.coalesce("_i", F.lit(0)), "indices")
 
 
 def indices_to_tokens(
-    sequences: DataFrame, vectors: WordVectors, id_col: str = "id", limit: int = BROADCAST_BYTES
+    sequences: DataFrame, vectors: WordVectors, id_col: str = "id",
+    limit: int = LOOKUP_BYTES, join_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, tokens)``: the words of an index sequence; index 0 gives null."""
+    workers = vectors.workers(limit)
+    if workers is not None:
+        def word(lists):
+            terms, idx, _ = workers.value
+            at = np.full(int(idx.max()) + 2, -1)
+            at[idx + 1] = np.arange(len(idx))
+            offsets, indices = flat_lists(lists)
+            rows = at[indices.to_numpy(zero_copy_only=False)]
+            return list_with_offsets(offsets, terms.take(pa.array(rows, mask=rows < 0)))
+
+        return map_lists(sequences, [id_col], "indices", "array<string>", word).select(
+            id_col, F.col("_new").alias("tokens"))
     rows = sequences.select(id_col, F.posexplode_outer("indices").alias("pos", "_i"))
     known = vectors.table.select((F.col("idx") + 1).cast("int").alias("_i"), "term")
-    joined = join_table(rows, known, "_i", F.struct(id_col, "pos"), vectors.n_words, limit=limit)
+    joined = join_table(rows, known, "_i", F.struct(id_col, "pos"), vectors.n_bytes, limit=join_limit)
     return _in_order(joined, [id_col], F.col("term"), "tokens")
 
 
@@ -226,16 +271,19 @@ def _in_order(rows: DataFrame, keys: list[str], value: Column, name: str) -> Dat
 
 
 def by_length(sequences: DataFrame, id_col: str = "id") -> DataFrame:
-    """Sequences longer than three, with ``length`` and their ``place`` by (length, id)."""
+    """Sequences longer than three, with ``length`` and their ``place`` by (length, id).
+
+    The sequences are stored first: ranking reads them more than once.
+    """
     long = sequences.withColumn("length", F.size("indices")).filter(F.col("length") > MIN_LENGTH)
-    return with_global_rank(long, "length", id_col, name="place")
+    return with_global_rank(materialize(long, "sequences"), "length", id_col, name="place")
 
 
 def pad_batches(sequences: DataFrame, id_col: str = "id", size: int = BATCH_SIZE) -> DataFrame:
     """Batches of ``size`` neighbours by length, right-padded with 0 to the longest of the batch."""
     placed = by_length(sequences, id_col).withColumn("batch", F.floor(F.col("place") / size))
-    widths = placed.groupBy("batch").agg(F.max("length").alias("width"))
-    return placed.join(widths, "batch").select(
+    width = F.max("length").over(Window.partitionBy("batch"))
+    return placed.withColumn("width", width).select(
         "batch", id_col, "place", "length", "width",
         F.concat("indices", F.array_repeat(F.lit(0), F.col("width") - F.col("length"))).alias("padded"),
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pharmatext.operators.features import token_rows
-from pharmatext.plans.joins import BROADCAST_BYTES, join_table
+from pharmatext.plans.joins import BROADCAST_BYTES, ROW_BYTES, join_table
 from pharmatext.plans.storage import materialize
 
 MAX_CLASSES = 1000
@@ -43,6 +43,7 @@ class NaiveBayesModel:
     priors: list[float]
     totals: list[int]
     n_terms: int
+    n_bytes: int
     table: DataFrame
     remove_tags: list[str] | None = None
     lexicon: DataFrame | None = None
@@ -67,13 +68,12 @@ class NaiveBayesModel:
         n = range(len(self.labels))
         model = self.table.select("term", *[self.log_theta(i).alias(f"_l{i}") for i in n])
         rows = token_rows(df, text, keys, self.remove_tags, self.lexicon)
-        fits = self.n_terms * (64 + 8 * len(self.labels)) <= limit
+        fits = self.n_bytes <= limit
         if not fits:
             # The join will shuffle: send each (text, term) once.
             rows = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
         weight = F.lit(1) if fits else F.col("_n")
-        joined = join_table(rows, model, "term", F.col(id_col), self.n_terms,
-                            64 + 8 * len(self.labels), limit=limit)
+        joined = join_table(rows, model, "term", F.col(id_col), self.n_bytes, limit=limit)
         sums = joined.groupBy(*keys).agg(
             *[F.sum(F.coalesce(F.col(f"_l{i}") * weight, F.lit(0.0))).alias(f"_s{i}") for i in n])
         scores = [F.col(f"_s{i}") + F.lit(math.log(self.priors[i])) for i in n]
@@ -92,7 +92,7 @@ class NaiveBayesModel:
         rows = list(zip(range(len(self.labels)), self.labels, self.priors, self.totals))
         spark.createDataFrame(rows, "i int, label double, prior double, total bigint").withColumn(
             "n_terms", F.lit(self.n_terms).cast("bigint")
-        ).withColumn("remove_tags", F.lit(",".join(self.remove_tags or []))).coalesce(1) \
+        ).withColumn("n_bytes", F.lit(self.n_bytes).cast("bigint")).withColumn("remove_tags", F.lit(",".join(self.remove_tags or []))).coalesce(1) \
             .write.mode(mode).parquet(f"{path}/classes")
         self.table.write.mode(mode).parquet(f"{path}/terms")
         if self.lexicon is not None:
@@ -103,7 +103,7 @@ class NaiveBayesModel:
         classes = spark.read.parquet(f"{path}/classes").orderBy("i").collect()
         return NaiveBayesModel(
             [r.label for r in classes], [r.prior for r in classes], [r.total for r in classes],
-            classes[0].n_terms, spark.read.parquet(f"{path}/terms"),
+            classes[0].n_terms, classes[0].n_bytes, spark.read.parquet(f"{path}/terms"),
             classes[0].remove_tags.split(",") if classes[0].remove_tags else None, lexicon,
         )
 
@@ -119,11 +119,13 @@ def fit(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "
         *[F.sum((F.col(label) == value).cast("bigint")).alias(f"c{i}") for i, value in enumerate(labels)])
     table = materialize(counts, "term_class_counts")
     columns = [f"c{i}" for i in range(len(labels))]
-    sums = table.agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
+    sums = table.agg(
+        F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
     n = sum(sizes.values())
     return NaiveBayesModel(
         [float(x) for x in labels], [sizes[x] / n for x in labels], [sums[c] for c in columns],
-        sums.v, table, remove_tags, lexicon)
+        sums.v, sums.b + sums.v * (ROW_BYTES + 8 * len(labels)), table, remove_tags, lexicon)
 
 
 def cross_validate(
@@ -147,12 +149,15 @@ def cross_validate(
         F.sum(in_cell(c, f).cast("bigint")).alias(name(c, f)) for c in classes for f in folds
     ]), "term_fold_counts")
 
-    def train(c: int, f: int) -> Column:
-        return sum((F.col(name(c, g)) for g in folds if g != f), F.lit(0))
-
-    known = lambda f: sum((train(c, f) for c in classes), F.lit(0)) > 0
+    total = lambda columns: sum((F.col(c) for c in columns), F.lit(0))
+    counts = counts.select(
+        "*", *[total(name(c, f) for f in folds).alias(f"t{c}") for c in classes],
+        *[total(name(c, f) for c in classes).alias(f"f{f}") for f in folds],
+    ).withColumn("t", total(f"t{c}" for c in classes))
+    train = lambda c, f: F.col(f"t{c}") - F.col(name(c, f))
+    known = lambda f: F.col("t") > F.col(f"f{f}")
     sums = counts.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b"),
         *[F.sum(known(f).cast("bigint")).alias(f"v{f}") for f in folds],
         *[F.sum(train(c, f)).alias(name(c, f)) for c in classes for f in folds],
     ).first()
@@ -170,13 +175,13 @@ def cross_validate(
     model = counts.select("term", *[
         F.array(*[log_theta(c, f) for f in folds]).alias(f"_l{c}") for c in classes])
     keys = [id_col, fold, label]
-    row_bytes = 64 + 8 * k * len(labels)
+    n_bytes = sums.b + sums.n * (ROW_BYTES + 8 * k * len(labels))
     docs = token_rows(df, text, keys)
-    fits = sums.n * row_bytes <= limit
+    fits = n_bytes <= limit
     if not fits:
         docs = docs.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
     weight = F.lit(1) if fits else F.col("_n")
-    joined = join_table(docs, model, "term", F.col(id_col), sums.n, row_bytes, limit=limit)
+    joined = join_table(docs, model, "term", F.col(id_col), n_bytes, limit=limit)
     scored = joined.groupBy(*keys).agg(*[
         F.sum(F.coalesce(F.get(f"_l{c}", F.col(fold)) * weight, F.lit(0.0))).alias(f"_s{c}") for c in classes])
 

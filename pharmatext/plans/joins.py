@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 64  # what a row of a broadcast table needs beside its key
 SALTS = 32
 
 
-def fits_broadcast(n_rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    return n_rows * row_bytes <= limit
+def table_size(table: DataFrame, key: str, row_bytes: int = ROW_BYTES) -> tuple[int, int]:
+    """Measured rows and bytes of a table: the keys' own length and ``row_bytes`` for the rest."""
+    size = table.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(key).cast("string"))).alias("b")).first()
+    return size.n, (size.b or 0) + size.n * row_bytes
 
 
 def join_table(
@@ -22,24 +26,26 @@ def join_table(
     table: DataFrame,
     on: str,
     spread: Column,
-    n_rows: int,
-    row_bytes: int = 96,
+    n_bytes: int,
     how: str = "left",
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``rows`` (large, skewed on ``on``) with ``table`` (unique on ``on``, ``n_rows`` rows).
+    """Join ``rows`` (large, skewed on ``on``) with ``table`` (unique on ``on``, ``n_bytes`` large).
 
     ``spread`` is a column of ``rows`` that varies within one key (the document id); it picks the
     salt, so that one hot key is spread over ``salts`` tasks. The table is repeated per salt.
     """
-    if fits_broadcast(n_rows, row_bytes, limit):
+    if n_bytes <= limit:
         return rows.join(F.broadcast(table), on, how)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint behind a row count that stops at ``max_rows``; else the plain frame."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def join_measured(
+    rows: DataFrame, table: DataFrame, on: str, spread: Column, how: str,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``join_table`` with a table that is measured first (one pass over its key column)."""
+    return join_table(rows, table, on, spread, table_size(table, on)[1], how, limit)

@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pharmatext.functions.fixed_values import NA_STRINGS
 from pharmatext.functions.sites import strip
 from pharmatext.operators.labelling import explode_ratings
-from pharmatext.plans.joins import broadcast_if_small
+from pharmatext.plans.joins import BROADCAST_BYTES, table_size
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
@@ -28,8 +28,9 @@ def with_line_order(df: DataFrame, name: str = "id") -> DataFrame:
         F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
-    joined = marked.join(
-        broadcast_if_small(offsets), (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    if table_size(offsets, "_f")[1] <= BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
+    joined = marked.join(offsets, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
     return joined.select(*df.columns, (F.col("_offset") + F.col("_mono") - F.col("_first")).alias(name))
 
 

@@ -200,6 +200,42 @@ def page_frontier(spark, sf):
     return collect.page_frontier(fronts)
 
 
+def total_html(site, total):
+    """How a site states a review count (or, for everydayhealth, a page count); nothing for 0."""
+    n = total.cast("string")
+    some = sites.by_site(site, {
+        "webmd": F.concat(F.lit('<div id="heading">Reviews</div><span class="totalreviews">'), n, F.lit(" Total Reviews</span>")),
+        "drugs": F.concat(
+            F.lit('<table class="data-list ddc-table-sortable"><tbody><tr><th>9</th></tr></tbody><tfoot><tr><th>All</th><th>8.1</th><th>'),
+            n, F.lit(" reviews</th></tr></tfoot></table>")),
+        "everydayhealth": F.concat(
+            F.lit('<div class="review-details clearfix"><h5><span itemprop="reviewCount">7</span></h5></div>'
+                  '<div class="review-pagination"><section class="review-pagination__section--info">Page 1/ '),
+            n, F.lit(" pages</section></div>")),
+        "drugratingz": F.lit(""),
+    })
+    none = F.lit('<div id="heading">Be the first to share your experience with this treatment.</div>')
+    return F.when(total > 0, some).otherwise(none)
+
+
+@query("front_page_facts", f"""
+SELECT doc_id AS page_id, {SITE_SQL} AS site, coalesce(quality = 1, false) AS is_reviews,
+       CASE WHEN quality = 1 THEN CASE lang WHEN 'en' THEN CAST(ceil(total / 5) AS BIGINT)
+              WHEN 'fr' THEN CAST(ceil(total / 25) AS BIGINT) WHEN 'de' THEN total ELSE 1 END
+            ELSE 0 END AS pages
+FROM (SELECT *, len(string_split(text, chr(10))) - 1 AS total FROM documents) LEFT JOIN labels USING (doc_id)""")
+def front_page_facts(spark, sf):
+    """Front pages with a count in each site's markup: the line breaks of the document."""
+    totals = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("page_id"), (F.size(F.split("text", "\n")) - 1).alias("total"))
+    site = F.col("site")
+    prefix = sites.by_site(site, {s: F.lit(p) for s, p in SITE_PREFIXES.items()})
+    fronts = front_pages(spark, sf).join(totals, "page_id").select(
+        "page_id", F.concat(prefix, F.col("page_id").cast("string")).alias("url"),
+        F.concat("html", total_html(site, F.col("total"))).alias("html"))
+    return collect.front_pages(fronts).select("page_id", "site", "is_reviews", "pages")
+
+
 # ---- names ----
 
 H1_SQL = TITLE_SQL.replace("title", "h1")
@@ -245,6 +281,55 @@ def name_length_filter(spark, sf):
     return part_names(spark, sf).filter(sites.long_enough(F.col("name")))
 
 
+def search_pages(spark, sf):
+    """Search result pages of each site for the part names, one page per part.
+
+    On drugratingz a page lists the part and a lesser hit. Elsewhere the part key decides what the
+    page shows; on webmd an odd key gives a direct link and an even one a page between.
+    """
+    parts = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), "p_size")
+    key, size, odd = F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_partkey") % 2 == 1
+    row = lambda kind, href, n: F.concat(
+        F.lit('<tr class="ratingstable'), kind, F.lit('"><td align="center">a</td><td align="center">b</td>'
+              '<td align="center"> <a href="'), href, F.lit('">'), n.cast("string"), F.lit(" </a></td></tr>"))
+    html = sites.by_site(F.col("site"), {
+        "webmd": F.when(odd, F.concat(F.lit('<a class="drug-review" href="/drugs/drugreview-'), key, F.lit('">r</a>')))
+        .otherwise(F.concat(F.lit('<ul class="exact-match"><li><a href="/drugs/drug-'), key, F.lit('">x</a></li></ul>'))),
+        "drugs": F.when(odd, F.concat(F.lit('<p class="user-reviews-title mgb-1"><a href="/comments/'), key, F.lit('">r</a></p>')))
+        .otherwise(F.lit("<p>none</p>")),
+        "everydayhealth": F.when(odd, F.lit("<title>Drug Reviews | Site</title>")).otherwise(F.lit("<title>Reviews-less</title>")),
+        "drugratingz": F.concat(
+            F.lit("<table>"), row(F.lit("odd"), F.concat(F.lit("/reviews/"), key), size),
+            row(F.lit("even"), F.lit("/reviews/0"), size - 1), F.lit("</table>")),
+    })
+    return every_site(parts).select(
+        F.col("p_partkey").alias("page_id"), "site", "name",
+        sites.search_url(F.col("site"), F.col("name")).alias("url"), html.alias("html"))
+
+
+@query("search_page_hits", """
+WITH ranked AS (
+  SELECT p_name AS name, p_partkey AS key, p_partkey % 2 = 1 AS odd,
+         row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS nth,
+         row_number() OVER (PARTITION BY p_name, p_partkey % 2 ORDER BY p_partkey) AS nth_of_kind,
+         row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS nth_by_size FROM part)
+SELECT 'webmd' AS site, name, 'https://www.webmd.com/drugs/drugreview-' || key AS url FROM ranked WHERE nth = 1
+UNION ALL SELECT 'drugs', name, 'https://www.drugs.com/comments/' || key FROM ranked WHERE odd AND nth_of_kind = 1
+UNION ALL SELECT 'everydayhealth', name, 'https://www.everydayhealth.com/drugs/' || replace(name, ' ', '-') || '/reviews'
+FROM ranked WHERE odd AND nth_of_kind = 1
+UNION ALL SELECT 'drugratingz', name, 'https://www.drugratingz.com/reviews/' || key FROM ranked WHERE nth_by_size = 1""")
+def search_page_hits(spark, sf):
+    """The best hit per site and name, read from the sites' result pages."""
+    results = search_pages(spark, sf)
+    number = F.col("page_id").cast("string")
+    between = results.filter(F.col("html").contains("exact-match")).select(
+        "page_id", F.concat(F.lit("https://www.webmd.com/drugs/drug-"), number).alias("url"),
+        F.concat(F.lit('<a class="drug-review" href="/drugs/drugreview-'), number, F.lit('">r</a>')).alias("html"))
+    hits = collect.follow_hops(materialize(collect.search_hits(results), "hits"), between)
+    ordered = hits.withColumn("name", F.struct("site", "name")).withColumn("pos", F.col("page_id") * 1000 + F.col("pos"))
+    return collect.best_candidates(ordered).select("name.site", "name.name", "url")
+
+
 def candidates(spark, sf):
     return table(spark, sf, "part").select(
         F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"), F.col("p_size").alias("n_reviews"),
