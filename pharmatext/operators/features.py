@@ -114,9 +114,10 @@ class BagOfWords:
         counts = rows.groupBy(id_col, "term").agg(F.count("term").alias("n"))
         known = self.terms.withColumn("_known", F.lit(True))
         joined = join_table(counts, known, "term", F.col(id_col), self.n_bytes, limit=limit)
-        per_text = Window.partitionBy(id_col)
-        marked = joined.withColumn("_k", F.count("_known").over(per_text)).withColumn(
-            "_r", F.row_number().over(per_text.orderBy("term")))
+        per_text = Window.partitionBy(id_col).orderBy("term")
+        whole = per_text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        marked = joined.withColumn("_k", F.count("_known").over(whole)).withColumn(
+            "_r", F.row_number().over(per_text))
         is_known = F.col("_known").isNotNull()
         return marked.filter(is_known | ((F.col("_k") == 0) & (F.col("_r") == 1))).select(
             id_col, F.when(is_known, F.col("term")).alias("term"),

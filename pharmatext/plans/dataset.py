@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pharmatext.functions.ratings import label_threshold
 from pharmatext.operators import clean, collect, labelling, stats
+from pharmatext.plans.storage import materialize
 from pharmatext.sources import text_files
 
 REVIEW_SCHEMA = (
@@ -82,6 +83,25 @@ class ReviewDataset(TextDataset):
         found = collect.extract_reviews(pages, collect_urls, collect_user_ids)
         return self.add(number_reviews(found, self._next_id()), star_types)
 
+    def collect_from_urls(self, urls: DataFrame, pages: DataFrame, done: DataFrame | None = None,
+                          **columns) -> ReviewDataset:
+        """Collect the fetched pages whose ``url`` is listed, but not those ``done`` before."""
+        wanted = collect.pages_of(pages, urls)
+        return self.collect(collect.pages_to_do(wanted, done) if done is not None else wanted, **columns)
+
+    def collect_from_names(self, names: DataFrame, results: DataFrame, pages: DataFrame,
+                           **columns) -> ReviewDataset:
+        """Drug names to reviews over fetched pages.
+
+        ``results`` holds the search result pages ``(page_id, site, name, url, html)`` of one site,
+        ``pages`` all other fetched pages: between pages, front pages and review pages.
+        """
+        hits = collect.follow_hops(materialize(collect.search_hits(results), "hits"), pages)
+        urls = collect.resolve_names(names, hits).filter(F.col("url").isNotNull()).select("url")
+        fronts = collect.front_pages(collect.pages_of(pages, urls))
+        wanted = collect.page_frontier(fronts).select(F.col("page_url").alias("url"))
+        return self.collect_from_urls(wanted, pages, **columns)
+
     def add(self, reviews: DataFrame, star_types: list[str] | None = None) -> ReviewDataset:
         flat = labelling.explode_ratings(reviews, star_types, "rating_map")
         stored = labelling.explode_ratings(self.table, star_types, "rating_map").drop("label")

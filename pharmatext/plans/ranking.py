@@ -36,20 +36,16 @@ def _slices(df: DataFrame, by: str, slices: int | None) -> DataFrame:
 def _attach(df: DataFrame, by: str, within: list[str], offset, slices: int | None) -> DataFrame:
     """Number the rows of each (group, slice) cell and join the cell's offset columns to them.
 
-    ``offset`` turns the cell counts ``(_g0.., _cell, _n)`` into the columns to attach. The window
-    and the join share one shuffle of the rows, on (group, slice).
+    ``offset`` turns the cell counts ``(_group, within.., _slice, _n)`` into the columns to attach.
+    One text key stands for the group, so that the window and the join ask for the same
+    partitioning: the rows are shuffled once.
     """
-    sliced = _slices(df, by, slices)
-    groups = [f"_g{i}" for i in range(len(within))]
-    cells = sliced.groupBy(
-        *[F.col(c).alias(g) for c, g in zip(within, groups)], F.col("_slice").alias("_cell")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    local = Window.partitionBy(*within, "_slice").orderBy(by)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in within]
+    sliced = _slices(df, by, slices).withColumn("_group", F.concat_ws("\u0001", *parts))
+    cells = sliced.groupBy("_group", *within, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    local = Window.partitionBy("_group", "_slice").orderBy(by)
     numbered = sliced.withColumn("_local", F.row_number().over(local) - 1)
-    match = F.col("_slice") == F.col("_cell")
-    for c, g in zip(within, groups):
-        match = match & F.col(c).eqNullSafe(F.col(g))
-    return numbered.join(offset(cells, groups), match)
+    return numbered.join(offset(cells), ["_group", "_slice"])
 
 
 def _rows_before(order) -> Column:
@@ -64,14 +60,15 @@ def with_rank(
 ) -> DataFrame:
     """Add the 0-based position of each row by ``by`` (unique, not null) inside its ``within`` group.
 
-    ``total`` names an optional column with the group's row count.
+    ``total`` names an optional column with the group's row count. ``df`` is read three times (for
+    the slice borders, the cell counts and the rows): store it first if it is costly.
     """
 
-    def offset(cells: DataFrame, groups: list[str]) -> DataFrame:
-        group = Window.partitionBy(*groups)
+    def offset(cells: DataFrame) -> DataFrame:
+        group = Window.partitionBy("_group")
         return cells.select(
-            *groups, "_cell",
-            _rows_before(group.orderBy("_cell")).alias("_offset"),
+            "_group", "_slice",
+            _rows_before(group.orderBy("_slice")).alias("_offset"),
             F.sum("_n").over(group).alias("_total"),
         )
 
@@ -92,15 +89,13 @@ def with_global_rank(
     count), so that its histogram is small enough for one running sum.
     """
 
-    def offset(cells: DataFrame, groups: list[str]) -> DataFrame:
-        (g,) = groups
-        sizes = cells.groupBy(F.col(g).alias("_size")).agg(F.sum("_n").alias("_n"))
-        order = Window.orderBy(F.col("_size").desc() if descending else F.col("_size"))
-        starts = sizes.select("_size", _rows_before(order).alias("_start"))
-        in_group = cells.withColumn("_offset", _rows_before(Window.partitionBy(g).orderBy("_cell")))
-        return in_group.join(starts, F.col(g) == F.col("_size")).select(
-            g, "_cell", (F.col("_start") + F.col("_offset")).alias("_offset")
-        )
+    def offset(cells: DataFrame) -> DataFrame:
+        sizes = cells.groupBy("_group", first).agg(F.sum("_n").alias("_n"))
+        order = Window.orderBy(F.col(first).desc() if descending else F.col(first))
+        starts = sizes.select("_group", _rows_before(order).alias("_start"))
+        in_group = _rows_before(Window.partitionBy("_group").orderBy("_slice"))
+        return cells.select("_group", "_slice", in_group.alias("_offset")).join(starts, "_group").select(
+            "_group", "_slice", (F.col("_start") + F.col("_offset")).alias("_offset"))
 
     return _attach(df, by, [first], offset, slices).select(
         *df.columns, (F.col("_offset") + F.col("_local")).cast("bigint").alias(name)

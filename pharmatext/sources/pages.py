@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pharmatext.sources.tables import spread
+
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE_SCHEMA).parquet(path)
+    """Pages of a stored crawl; a small one is spread over the cores."""
+    return spread(spark.read.schema(PAGE_SCHEMA).parquet(path), "page_id")
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pharmatext.plans.storage import materialize, new_path
 from pharmatext.sources.pages import stream_pages
 from pharmatext.streaming.jobs import collect_distinct_stream, collect_stream
 from registry.common import (
-    LINES_SQL, SITE_BY_LANG, STRIP_SQL, heading, page_html, query, quoted, review_pages, table,
+    LINES_SQL, SITE_BY_LANG, STRIP_SQL, documents, heading, page_html, query, quoted, review_pages, table,
 )
 
 SITE_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SITE_BY_LANG.items()) + " END"
@@ -396,7 +396,7 @@ WHERE doc IN (SELECT doc_id FROM (
   FROM documents WHERE length(source) >= 4) WHERE rn = 1)""")
 def collect_from_names(spark, sf):
     """Each source is a drug name, each document of it a hit; its lines are its reviews, five a page."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
+    docs = documents(spark, sf).select("doc_id", "source", F.split("text", "\n").alias("lines"))
     front = F.concat(F.lit(SITE_PREFIXES["webmd"]), F.col("doc_id").cast("string"))
     total = F.size("lines").cast("bigint")
     names = docs.select(F.col("source").alias("name")).distinct()
@@ -417,13 +417,14 @@ def collect_from_names(spark, sf):
 # ---- streams ----
 
 def _landed(spark, sf):
-    return materialize(review_pages(spark, sf, "webmd").repartition(4), "landed").inputFiles()[0].rsplit("/", 1)[0]
+    """A folder with the rendered pages, one file per task."""
+    return materialize(review_pages(spark, sf, "webmd"), "landed").inputFiles()[0].rsplit("/", 1)[0]
 
 
 @query("stream_collect", WEBMD_SQL)
 def stream_collect(spark, sf):
     output, checkpoint = new_path(spark, "stream_out"), new_path(spark, "stream_state")
-    pages = stream_pages(spark, _landed(spark, sf), files_per_batch=2)
+    pages = stream_pages(spark, _landed(spark, sf), files_per_batch=8)
     collect_stream(pages, output, checkpoint).awaitTermination()
     return stars(spark.read.parquet(output), ["effectiveness", "ease of use", "satisfaction"])
 
@@ -431,6 +432,6 @@ def stream_collect(spark, sf):
 @query("stream_collect_distinct", f"SELECT DISTINCT {WEBMD_COMMENT_SQL} AS comment FROM ({LINES_SQL})")
 def stream_collect_distinct(spark, sf):
     output, checkpoint = new_path(spark, "stream_out"), new_path(spark, "stream_state")
-    pages = stream_pages(spark, _landed(spark, sf), files_per_batch=2)
+    pages = stream_pages(spark, _landed(spark, sf), files_per_batch=8)
     collect_distinct_stream(pages, output, checkpoint).awaitTermination()
     return spark.read.parquet(output).select("comment")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pharmatext.functions.fixed_values import SITE_PREFIXES, STOP_WORDS
 from pharmatext.functions.text import CLITIC, TOKEN
+from pharmatext.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as input of work on each text."""
+    return read_table(spark, f"{sf}/documents.parquet", "doc_id")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -38,13 +44,13 @@ def quoted(text: str) -> str:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(id, text) of every document."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """(id, text, label) of every labelled document."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
 
 
@@ -179,7 +185,7 @@ def page_html(site: str, name: Column, lines: Column) -> Column:
 
 def review_pages(spark: SparkSession, sf: str, site: str) -> DataFrame:
     """(page_id, url, html): one page per document, one review per line, named after its source."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select(
         F.col("doc_id").alias("page_id"),
         _concat(SITE_PREFIXES[site], F.col("doc_id")).alias("url"),

@@ -156,9 +156,9 @@ def model_load(spark, sf):
 def stream_classify(spark, sf):
     model = naive_bayes.fit(labelled(spark, sf))
     trained = TrainedModel(ModelSpec().checked(), model)
-    landed = materialize(texts(spark, sf).repartition(4), "landed")
+    landed = materialize(texts(spark, sf), "landed")
     folder = landed.inputFiles()[0].rsplit("/", 1)[0]
-    arriving = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    arriving = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 8).parquet(folder)
     output, checkpoint = new_path(spark, "scored"), new_path(spark, "scored_state")
     classify_stream(arriving, trained, output, checkpoint).awaitTermination()
     return spark.read.parquet(output).select("id", "predicted")

@@ -147,6 +147,26 @@ def test_dataset_grows_and_labels(spark):
     assert {r.label for r in more.table.collect()} == {1.0}
 
 
+def test_from_names_to_reviews(spark):
+    front = W + "?drugid=8953"
+    results = spark.createDataFrame([
+        (100, "webmd", "actos", "s1", f'<a class="drug-review" href="{front.removeprefix("https://www.webmd.com")}">r</a>'),
+        (101, "webmd", "abilify", "s2", '<ul class="exact-match"><a href="/drugs/hop">x</a></ul>'),
+        (102, "webmd", "garbage", "s3", "<p>nothing</p>"),
+    ], "page_id bigint, site string, name string, url string, html string")
+    total = '<div id="heading">x</div><span class="totalreviews">7 Total</span>'
+    fetched = [("https://www.webmd.com/drugs/hop", '<a class="drug-review" href="/drugs/drugreview-2">r</a>'),
+               (front, webmd_page(0) + total), ("https://www.webmd.com/drugs/drugreview-2", webmd_page(0, "Nothing"))]
+    fetched += [(f"{front}&pageIndex={i}&sortby=3&conditionFilter=-1",
+                 webmd_page(0) + "".join(webmd_review(j) for j in range(5 * i, min(7, 5 * i + 5)))) for i in range(2)]
+    names = spark.createDataFrame([("actos",), ("abilify",), ("garbage",)], "name string")
+    data = ReviewDataset.empty(spark).collect_from_names(names, results, pages(spark, *fetched))
+    assert data.table.count() == 7
+    urls = spark.createDataFrame([(fetched[-1][0],), (fetched[-2][0],)], "url string")
+    rest = ReviewDataset.empty(spark).collect_from_urls(urls, pages(spark, *fetched), done=urls.limit(1))
+    assert rest.table.count() == 5
+
+
 def test_parser_matches_the_lenient_rules():
     root = parse("<div class='a b'>1<p>2<br>3</div>4<b>5</i></b><script>x<y</script><p/>6")
     assert root.text() == "123456"
