@@ -123,7 +123,7 @@ class TextClassifier:
                 fitted = fit(rows, label)
             else:
                 dim = self.vectors.dim if self.spec.representation == "embedding" else learners.HASHED_TERMS
-                fitted = learners.fit_svm(materialize(rows, "features"), dim, label)
+                fitted = learners.fit_svm(rows, dim, label)
         model = TrainedModel(self.spec, fitted, self.vectors, self.lexicon)
         if output:
             model.save(output)
@@ -140,9 +140,8 @@ class TextClassifier:
 
     def validate(self, data: TextDataset, k_folds: int = 10) -> tuple[DataFrame, DataFrame]:
         """``(mean and deviation per metric, summed confusion matrix)`` over stratified folds."""
-        folded = materialize(
-            folds.stratified_folds(data.table.select(data.id, data.text, data.label), k_folds, data.label, data.id),
-            "folds")
+        stored = materialize(data.table.select(data.id, data.text, data.label), "labelled")
+        folded = materialize(folds.stratified_folds(stored, k_folds, data.label, data.id), "folds")
         scored = materialize(self._out_of_fold(data, folded, k_folds), "out_of_fold")
         return metrics.cv_summary(scored), metrics.cv_confusion(scored)
 

@@ -208,7 +208,8 @@ SELECT *, CAST(ntile({K}) OVER (PARTITION BY label ORDER BY id) - 1 AS INTEGER)
 @query("clean_fit_evaluate", FLAGSHIP_SQL)
 def clean_fit_evaluate(spark, sf):
     """Clean, fold, fit naive Bayes on all folds but the first, and its confusion matrix there."""
-    data = materialize(folds.stratified_folds(clean.clean(labelled(spark, sf)), K), "folds")
+    cleaned = materialize(clean.clean(labelled(spark, sf)), "cleaned")
+    data = materialize(folds.stratified_folds(cleaned, K), "folds")
     model = naive_bayes.fit(data.filter("fold <> 0"))
     scored = model.predict(data.filter("fold = 0"), keep=["label"])
     return metrics.confusion_matrix(scored.withColumnRenamed("label", "actual"))
