@@ -87,7 +87,7 @@ class NaiveBayesModel:
         return self.score(df, text, id_col, keep, limit).drop("scores")
 
     def save(self, path: str, mode: str = "error") -> None:
-        """Term table and class table, side by side as parquet."""
+        """Term table and class table, side by side as parquet (a lexicon is saved by its owner)."""
         spark = self.table.sparkSession
         rows = list(zip(range(len(self.labels)), self.labels, self.priors, self.totals))
         spark.createDataFrame(rows, "i int, label double, prior double, total bigint").withColumn(
@@ -95,8 +95,6 @@ class NaiveBayesModel:
         ).withColumn("n_bytes", F.lit(self.n_bytes).cast("bigint")).withColumn("remove_tags", F.lit(",".join(self.remove_tags or []))).coalesce(1) \
             .write.mode(mode).parquet(f"{path}/classes")
         self.table.write.mode(mode).parquet(f"{path}/terms")
-        if self.lexicon is not None:
-            self.lexicon.write.mode(mode).parquet(f"{path}/lexicon")
 
     @staticmethod
     def load(spark: SparkSession, path: str, lexicon: DataFrame | None = None) -> NaiveBayesModel:

@@ -64,9 +64,10 @@ class TrainedModel:
     def save(self, path: str, mode: str = "error") -> None:
         """Learner, spec, word vectors and lexicon below one path."""
         spark = SparkSession.active()
-        row = (self.spec.learner, self.spec.representation, ",".join(self.spec.remove_tags))
-        spark.createDataFrame([row], "learner string, representation string, remove_tags string") \
-            .coalesce(1).write.mode(mode).parquet(f"{path}/spec")
+        row = (self.spec.learner, self.spec.representation, ",".join(self.spec.remove_tags),
+               self.lexicon is not None)
+        columns = "learner string, representation string, remove_tags string, has_lexicon boolean"
+        spark.createDataFrame([row], columns).coalesce(1).write.mode(mode).parquet(f"{path}/spec")
         if isinstance(self.fitted, NaiveBayesModel):
             self.fitted.save(f"{path}/learner", mode)
         else:
@@ -78,10 +79,10 @@ class TrainedModel:
             self.lexicon.write.mode(mode).parquet(f"{path}/lexicon")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, with_lexicon: bool = False) -> TrainedModel:
+    def load(spark: SparkSession, path: str) -> TrainedModel:
         row = spark.read.parquet(f"{path}/spec").first()
         spec = ModelSpec(row.learner, row.representation, row.remove_tags.split(",") if row.remove_tags else [])
-        lexicon = spark.read.parquet(f"{path}/lexicon") if with_lexicon else None
+        lexicon = spark.read.parquet(f"{path}/lexicon") if row.has_lexicon else None
         vectors = None
         if spec.representation in ("embedding", "matrix"):
             vectors = WordVectors.stored(spark.read.parquet(f"{path}/vectors"))
@@ -177,8 +178,8 @@ class TextClassifier:
         model.save(path, mode)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, with_lexicon: bool = False) -> TrainedModel:
-        return TrainedModel.load(spark, path, with_lexicon)
+    def load(spark: SparkSession, path: str) -> TrainedModel:
+        return TrainedModel.load(spark, path)
 
     def _model(self, model: TrainedModel | str) -> TrainedModel:
         return TrainedModel.load(SparkSession.active(), model) if isinstance(model, str) else model

@@ -404,11 +404,13 @@ def collect_from_names(spark, sf):
                        total.alias("n_reviews"), front.alias("url"))
     fronts = docs.select(front.alias("url"), F.lit("webmd").alias("site"), total.alias("total"))
     count = sites.page_count(F.lit("webmd"), total)
-    paged = docs.select(
-        "doc_id", "source", "lines", F.posexplode(sites.page_urls(F.lit("webmd"), front, count)).alias("no", "url"))
+    five = F.transform(
+        sites.page_urls(F.lit("webmd"), front, count),
+        lambda url, no: F.struct(url.alias("url"), F.slice("lines", no * 5 + 1, F.lit(5)).alias("lines")))
+    paged = docs.select("doc_id", "source", F.posexplode(five).alias("no", "page"))
     fetched = paged.select(
-        (F.col("doc_id") * 100000 + F.col("no")).alias("page_id"), "url",
-        page_html("webmd", F.col("source"), F.slice("lines", F.col("no") * 5 + 1, F.lit(5))).alias("html"))
+        (F.col("doc_id") * 100000 + F.col("no")).alias("page_id"), "page.url",
+        page_html("webmd", F.col("source"), F.col("page.lines")).alias("html"))
     found = collect.collect_from_names(names, hits, fronts, fetched)
     return found.select("drug", F.floor(F.col("page_id") / 100000).alias("front"),
                         (F.col("page_id") % 100000).cast("int").alias("page_no"), "comment")

@@ -108,12 +108,15 @@ def test_bag_of_words_keeps_texts_without_terms(spark, data):
         assert sorted(map(str, rows(bow.transform(data, limit=limit)))) == sorted(map(str, expected))
 
 
-def test_tag_lexicon_wins_over_the_rules(spark, data):
+def test_tag_lexicon_wins_over_the_rules(spark, data, tmp_path):
     lexicon = spark.createDataFrame([("pill", "VERB"), ("works", "VERB")], "term string, tag string")
     model = naive_bayes.fit(data, remove_tags=["VERB"], lexicon=lexicon)
     terms = {r.term for r in model.table.collect()}
     assert not {"pill", "works", "stayed", "taking"} & terms and "good" in terms
-    assert model.predict(data).count() == len(TEXTS)
+    before = rows(model.predict(data))
+    assert len(before) == len(TEXTS)
+    trained = TextClassifier("nb", "pos", remove_tags=["VERB"], lexicon=lexicon).fit(TextDataset(data), str(tmp_path / "m"))
+    assert rows(trained.predict(data)) == rows(TrainedModel.load(spark, str(tmp_path / "m")).predict(data)) == before
 
 
 def test_word_table_paths_agree(spark, data, vectors):
