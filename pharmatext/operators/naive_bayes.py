@@ -62,20 +62,16 @@ class NaiveBayesModel:
               keep: list[str] | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
         """``(id, keep.., predicted, scores)``; scores are in label order.
 
-        A text without known terms gets the priors alone.
+        A text without known terms gets the priors alone. While the model fits a broadcast, only the
+        per-text sums are shuffled.
         """
         keys = [id_col, *(keep or [])]
         n = range(len(self.labels))
         model = self.table.select("term", *[self.log_theta(i).alias(f"_l{i}") for i in n])
         rows = token_rows(df, text, keys, self.remove_tags, self.lexicon)
-        fits = self.n_bytes <= limit
-        if not fits:
-            # The join will shuffle: send each (text, term) once.
-            rows = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-        weight = F.lit(1) if fits else F.col("_n")
         joined = join_table(rows, model, "term", F.col(id_col), self.n_bytes, limit=limit)
         sums = joined.groupBy(*keys).agg(
-            *[F.sum(F.coalesce(F.col(f"_l{i}") * weight, F.lit(0.0))).alias(f"_s{i}") for i in n])
+            *[F.sum(F.coalesce(F.col(f"_l{i}"), F.lit(0.0))).alias(f"_s{i}") for i in n])
         scores = [F.col(f"_s{i}") + F.lit(math.log(self.priors[i])) for i in n]
         return sums.select(
             *keys, highest_score(scores, self.labels).alias("predicted"),
@@ -175,13 +171,9 @@ def cross_validate(
     keys = [id_col, fold, label]
     n_bytes = sums.b + sums.n * (ROW_BYTES + 8 * k * len(labels))
     docs = token_rows(df, text, keys)
-    fits = n_bytes <= limit
-    if not fits:
-        docs = docs.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-    weight = F.lit(1) if fits else F.col("_n")
     joined = join_table(docs, model, "term", F.col(id_col), n_bytes, limit=limit)
     scored = joined.groupBy(*keys).agg(*[
-        F.sum(F.coalesce(F.get(f"_l{c}", F.col(fold)) * weight, F.lit(0.0))).alias(f"_s{c}") for c in classes])
+        F.sum(F.coalesce(F.get(f"_l{c}", F.col(fold)), F.lit(0.0))).alias(f"_s{c}") for c in classes])
 
     def prior(c: int) -> Column:
         logs = [F.lit(math.log(n_train[c, f] / n_fold[f]) if n_train[c, f] else None).cast("double")

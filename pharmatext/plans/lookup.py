@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-LOOKUP_BYTES = 64 * 1024 * 1024
+LOOKUP_BYTES = 128 * 1024 * 1024
 
 
 def worker_table(table: DataFrame):
