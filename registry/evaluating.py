@@ -12,7 +12,8 @@ from pharmatext.sources.reports import report_entry, write_report
 from registry.common import LABELLED_SQL, TEXTS_SQL, labelled, query, table, texts, token_rows_sql
 from registry.learning import nb_sql
 
-K = 5
+K = 10  # folds of a cross-validation
+HOLD_OUT = 5  # parts of which the flagship holds one out
 
 
 def predictions(spark, sf):
@@ -196,7 +197,7 @@ def classification_report_sink(spark, sf):
 
 FLAGSHIP_SQL = (
     f"""WITH data AS MATERIALIZED (
-SELECT *, CAST(ntile({K}) OVER (PARTITION BY label ORDER BY id) - 1 AS INTEGER) AS fold FROM (
+SELECT *, CAST(ntile({HOLD_OUT}) OVER (PARTITION BY label ORDER BY id) - 1 AS INTEGER) AS fold FROM (
   SELECT id, text, label FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM ({LABELLED_SQL}))
   WHERE rn = 1 AND text <> '')), """
     + nb_sql("SELECT * FROM data WHERE fold <> 0", "SELECT id, text, label FROM data WHERE fold = 0", "id, label")
@@ -209,7 +210,7 @@ SELECT *, CAST(ntile({K}) OVER (PARTITION BY label ORDER BY id) - 1 AS INTEGER)
 def clean_fit_evaluate(spark, sf):
     """Clean, fold, fit naive Bayes on all folds but the first, and its confusion matrix there."""
     cleaned = materialize(clean.clean(labelled(spark, sf)), "cleaned")
-    data = materialize(folds.stratified_folds(cleaned, K), "folds")
+    data = materialize(folds.stratified_folds(cleaned, HOLD_OUT), "folds")
     model = naive_bayes.fit(data.filter("fold <> 0"))
     scored = model.predict(data.filter("fold = 0"), keep=["label"])
     return metrics.confusion_matrix(scored.withColumnRenamed("label", "actual"))

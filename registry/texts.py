@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pharmatext.functions.fixed_values import POS_TAGS
 from pharmatext.functions.text import CLOSED_CLASS, DEFAULT_TAG, TAG_RULES
 from pharmatext.operators import features
+from pharmatext.plans.storage import materialize
 from registry.common import (
-    LABELLED_SQL, TEXTS_SQL, WORD_VECTORS_SQL, labelled, query, quoted, texts, token_rows_sql,
+    LABELLED_SQL, TEXTS_SQL, WORD_VECTORS_SQL, labelled, query, quoted, table, texts, token_rows_sql,
     word_vector_table,
 )
 
@@ -63,6 +64,32 @@ def pos_filter(spark, sf):
     return kept.groupBy("tag", "token").agg(F.count("pos").alias("n"))
 
 
+PART_TEXTS_SQL = "SELECT p_partkey AS id, p_name || ' quickly ' || p_type || ' 5' AS text FROM part"
+LEXICON_SQL = """
+SELECT term, min(tag) AS tag FROM (
+  SELECT string_split(p_name, ' ')[1] AS term, 'ADJ' AS tag FROM part
+  UNION ALL SELECT string_split(p_name, ' ')[2], 'NOUN' FROM part
+  UNION ALL SELECT lower(p_type), 'X' FROM part) WHERE term <> '' GROUP BY term"""
+
+
+@query("pos_lexicon", f"""
+SELECT term AS token, coalesce(l.tag, {tag_sql("t.term")}) AS tag, count(*) AS n
+FROM ({token_rows_sql(PART_TEXTS_SQL)}) t LEFT JOIN ({LEXICON_SQL}) l USING (term) GROUP BY ALL""")
+def pos_lexicon(spark, sf):
+    """Tags from a lexicon table, built from the names and types of parts, before the rules."""
+    part = table(spark, sf, "part")
+    named = F.split("p_name", " ")
+    entries = F.array(
+        F.struct(F.get(named, 0).alias("term"), F.lit("ADJ").alias("tag")),
+        F.struct(F.get(named, 1).alias("term"), F.lit("NOUN").alias("tag")),
+        F.struct(F.lower("p_type").alias("term"), F.lit("X").alias("tag")))
+    lexicon = part.select(F.explode(entries).alias("e")).select("e.term", "e.tag").filter("term <> ''")
+    lexicon = materialize(lexicon.groupBy("term").agg(F.min("tag").alias("tag")), "lexicon")
+    words = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" quickly "), "p_type", F.lit(" 5")).alias("text"))
+    tagged = features.tag_tokens(features.tokenize(words), lexicon=lexicon)
+    return tagged.groupBy("token", "tag").agg(F.count("pos").alias("n"))
+
+
 @query("bow_fit", f"SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT DISTINCT term FROM ({TRAIN_TOKENS_SQL}))")
 def bow_fit(spark, sf):
     return features.BagOfWords.fit(labelled(spark, sf)).with_index()
