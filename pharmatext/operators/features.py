@@ -274,7 +274,7 @@ def _in_order(rows: DataFrame, keys: list[str], value: Column, name: str) -> Dat
 def by_length(sequences: DataFrame, id_col: str = "id") -> DataFrame:
     """Sequences longer than three, with ``length`` and their ``place`` by (length, id).
 
-    The sequences are stored first: ranking reads them more than once.
+    The sequences are stored first: the range partitioning reads them twice.
     """
     long = sequences.withColumn("length", F.size("indices")).filter(F.col("length") > MIN_LENGTH)
     return with_global_rank(materialize(long, "sequences"), "length", id_col, name="place")

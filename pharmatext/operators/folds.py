@@ -12,8 +12,8 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold`` (0 .. k-1): k consecutive blocks by id in each class, the first ones larger.
 
-    The blocks follow from each row's position in its class and the class size, and the position
-    is computed in slices: no task holds a whole class.
+    The blocks follow from each row's position in its class and the class size; no task holds a
+    whole class. The result reads a stored table.
     """
     ranked = with_rank(df, id_col, [label], "_rank", "_size", slices)
     small = F.floor(F.col("_size") / k)

@@ -141,8 +141,8 @@ class TextClassifier:
 
     def validate(self, data: TextDataset, k_folds: int = 10) -> tuple[DataFrame, DataFrame]:
         """``(mean and deviation per metric, summed confusion matrix)`` over stratified folds."""
-        stored = materialize(data.table.select(data.id, data.text, data.label), "labelled")
-        folded = materialize(folds.stratified_folds(stored, k_folds, data.label, data.id), "folds")
+        table = data.table.select(data.id, data.text, data.label)
+        folded = folds.stratified_folds(table, k_folds, data.label, data.id)
         scored = materialize(self._out_of_fold(data, folded, k_folds), "out_of_fold")
         return metrics.cv_summary(scored), metrics.cv_confusion(scored)
 

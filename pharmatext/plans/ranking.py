@@ -1,102 +1,57 @@
 """Positions in a sorted order without sorting one group in one task.
 
-A window without (or with a coarse) partition key runs in a single task. Here the order column is
-cut into slices of about equal size, rows are numbered inside their slice, and the slice offsets
-come from a small (group, slice) count table. Every window partition is then about
-``rows / slices`` large, also when one group holds most rows.
+A window without (or with a coarse) partition key runs in a single task. Here the rows are
+range-partitioned by (group, order), sorted inside their partition and stored with their place in
+it; what is missing is only how many rows of the group lie in earlier partitions, which a table of
+one row per (group, partition) tells. A group that holds most rows is spread over many partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
 
-CODE_BYTES = 6
-
-
-def order_code(text: Column) -> Column:
-    """Number that grows with the byte order of a string (its first bytes, as a base-256 number)."""
-    digits = F.substring(F.hex(F.encode(text, "UTF-8")), 1, 2 * CODE_BYTES)
-    return F.conv(F.rpad(digits, 2 * CODE_BYTES, "0"), 16, 10).cast("double")
-
-
-def _slices(df: DataFrame, by: str, slices: int | None) -> DataFrame:
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_text = isinstance(df.schema[by].dataType, StringType)
-    keyed = df.withColumn("_order", order_code(F.col(by)) if is_text else F.col(by).cast("double"))
-    if n < 2:
-        return keyed.withColumn("_slice", F.lit(0)).drop("_order")
-    cut = QuantileDiscretizer(
-        numBuckets=n, inputCol="_order", outputCol="_cut", relativeError=min(0.01, 0.1 / n)
-    ).fit(keyed.select("_order"))
-    return cut.transform(keyed).withColumn("_slice", F.col("_cut").cast("int")).drop("_order", "_cut")
-
-
-def _attach(df: DataFrame, by: str, within: list[str], offset, slices: int | None) -> DataFrame:
-    """Number the rows of each (group, slice) cell and join the cell's offset columns to them.
-
-    ``offset`` turns the cell counts ``(_group, within.., _slice, _n)`` into the columns to attach.
-    One text key stands for the group, so that the window and the join ask for the same
-    partitioning: the rows are shuffled once.
-    """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in within]
-    sliced = _slices(df, by, slices).withColumn("_group", F.concat_ws("\u0001", *parts))
-    cells = sliced.groupBy("_group", *within, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    local = Window.partitionBy("_group", "_slice").orderBy(by)
-    numbered = sliced.withColumn("_local", F.row_number().over(local) - 1)
-    return numbered.join(offset(cells), ["_group", "_slice"])
-
-
-def _rows_before(order) -> Column:
-    return F.coalesce(
-        F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
+from pharmatext.plans.joins import BROADCAST_BYTES, table_size
+from pharmatext.plans.storage import materialize
 
 
 def with_rank(
-    df: DataFrame, by: str, within: list[str] | None = None, name: str = "rank",
-    total: str | None = None, slices: int | None = None,
+    df: DataFrame, by: str | list[str | Column], within: list[str] | None = None,
+    name: str = "rank", total: str | None = None, slices: int | None = None,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add the 0-based position of each row by ``by`` (unique, not null) inside its ``within`` group.
+    """Add the 0-based position of each row by ``by`` (unique) inside its ``within`` group.
 
-    ``total`` names an optional column with the group's row count. ``df`` is read three times (for
-    the slice borders, the cell counts and the rows): store it first if it is costly.
+    ``total`` names an optional column with the group's row count. One shuffle of the rows; the
+    result reads a stored table, so it is cheap to use more than once. ``slices`` is the number of
+    range partitions (the session's shuffle partitions if not given).
     """
-
-    def offset(cells: DataFrame) -> DataFrame:
-        group = Window.partitionBy("_group")
-        return cells.select(
-            "_group", "_slice",
-            _rows_before(group.orderBy("_slice")).alias("_offset"),
-            F.sum("_n").over(group).alias("_total"),
-        )
-
-    ranked = _attach(df, by, within or [], offset, slices)
-    extra = [(F.col("_offset") + F.col("_local")).cast("bigint").alias(name)]
+    within, order = within or [], [by] if isinstance(by, str) else list(by)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in within]
+    ordered = df.repartitionByRange(n, *within, *order).sortWithinPartitions(*within, *order)
+    # Within a partition the generated ids are consecutive and follow the sort.
+    stored = materialize(ordered.select(
+        "*", F.concat_ws("\u0001", *parts).alias("_group"), F.spark_partition_id().alias("_slice"),
+        F.monotonically_increasing_id().alias("_at")), "ranked")
+    cells = stored.groupBy("_group", "_slice").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_group")
+    before = F.sum("_n").over(group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = materialize(cells.select(
+        "_group", "_slice", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(group).alias("_total")), "rank_shifts")
+    if table_size(shifts, "_group")[1] <= limit:
+        shifts = F.broadcast(shifts)
+    extra = [(F.col("_at") + F.col("_shift")).cast("bigint").alias(name)]
     if total:
         extra.append(F.col("_total").cast("bigint").alias(total))
-    return ranked.select(*df.columns, *extra)
+    return stored.join(shifts, ["_group", "_slice"]).select(*df.columns, *extra)
 
 
 def with_global_rank(
     df: DataFrame, first: str, by: str, descending: bool = False, name: str = "rank",
     slices: int | None = None,
 ) -> DataFrame:
-    """0-based position by (``first``, ``by``) over the whole frame.
-
-    ``first`` is a whole number with few distinct values next to the row count (a length, a word
-    count), so that its histogram is small enough for one running sum.
-    """
-
-    def offset(cells: DataFrame) -> DataFrame:
-        sizes = cells.groupBy("_group", first).agg(F.sum("_n").alias("_n"))
-        order = Window.orderBy(F.col(first).desc() if descending else F.col(first))
-        starts = sizes.select("_group", _rows_before(order).alias("_start"))
-        in_group = _rows_before(Window.partitionBy("_group").orderBy("_slice"))
-        return cells.select("_group", "_slice", in_group.alias("_offset")).join(starts, "_group").select(
-            "_group", "_slice", (F.col("_start") + F.col("_offset")).alias("_offset"))
-
-    return _attach(df, by, [first], offset, slices).select(
-        *df.columns, (F.col("_offset") + F.col("_local")).cast("bigint").alias(name)
-    )
+    """0-based position by (``first``, ``by``) over the whole frame."""
+    lead = F.col(first).desc() if descending else F.col(first)
+    return with_rank(df, [lead, F.col(by)], name=name, slices=slices)

@@ -119,7 +119,7 @@ cv AS MATERIALIZED (SELECT id, fold, actual, label AS predicted FROM (
 
 
 def out_of_fold(spark, sf):
-    folded = materialize(folds.stratified_folds(labelled(spark, sf), K), "folds")
+    folded = folds.stratified_folds(labelled(spark, sf), K)
     return naive_bayes.cross_validate(folded, K).withColumnRenamed("label", "actual")
 
 
@@ -160,7 +160,7 @@ HELD_OUT_SQL = (
 @query("evaluate", f"""
 {HELD_OUT_SQL} SELECT metric, label, round(value, 6) AS value FROM ({metric_rows_sql("SELECT * FROM ev")})""")
 def evaluate(spark, sf):
-    data = materialize(folds.stratified_folds(labelled(spark, sf), K), "folds")
+    data = folds.stratified_folds(labelled(spark, sf), K)
     clf = TextClassifier()
     model = clf.fit(TextDataset(data.filter("fold <> 0")))
     rows, _ = clf.evaluate(TextDataset(data.filter("fold = 0")), model)
@@ -210,7 +210,7 @@ SELECT *, CAST(ntile({HOLD_OUT}) OVER (PARTITION BY label ORDER BY id) - 1 AS IN
 def clean_fit_evaluate(spark, sf):
     """Clean, fold, fit naive Bayes on all folds but the first, and its confusion matrix there."""
     cleaned = materialize(clean.clean(labelled(spark, sf)), "cleaned")
-    data = materialize(folds.stratified_folds(cleaned, HOLD_OUT), "folds")
+    data = folds.stratified_folds(cleaned, HOLD_OUT)
     model = naive_bayes.fit(data.filter("fold <> 0"))
     scored = model.predict(data.filter("fold = 0"), keep=["label"])
     return metrics.confusion_matrix(scored.withColumnRenamed("label", "actual"))

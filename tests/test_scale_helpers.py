@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from conftest import rows
 from pharmatext.operators.folds import stratified_folds
 from pharmatext.plans.joins import join_measured, join_table, table_size
-from pharmatext.plans.ranking import order_code, with_global_rank, with_rank
+from pharmatext.plans.ranking import with_global_rank, with_rank
 from pharmatext.plans.storage import materialize, shared_dir
 
 
@@ -33,14 +33,25 @@ def test_global_rank_and_text_order(spark, slices):
     assert rows(with_global_rank(df, "n", "term", descending=True, slices=slices)) == rows(plain)
     flat = df.withColumn("rank", (F.row_number().over(Window.orderBy("term")) - 1).cast("bigint"))
     assert rows(with_rank(df, "term", slices=slices)) == rows(flat)
-    assert sorted(words, key=lambda w: w.encode()) == [
-        r.term for r in df.orderBy(order_code(F.col("term")), "term").collect()]
 
 
-def test_no_window_runs_over_a_whole_class(spark):
-    plan = with_rank(skewed(spark), "id", ["label"], slices=8)._jdf.queryExecution().executedPlan().toString()
-    numbered = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
-    assert numbered and all("_slice" in line for line in numbered)
+def test_rank_without_broadcast(spark):
+    df = skewed(spark)
+    assert rows(with_rank(df, "id", ["label"], slices=4, limit=0)) == rows(with_rank(df, "id", ["label"], slices=4))
+
+
+def test_a_hot_group_is_spread_and_no_window_runs_over_rows(spark):
+    ranked = with_rank(skewed(spark), "id", ["label"], slices=8)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+    assert len(ranked.inputFiles()) >= 8
+
+
+def test_text_order_with_one_long_common_prefix(spark):
+    df = spark.range(3000).select(F.concat(F.lit("0" * 40), F.format_string("%05d", (F.col("id") * 7) % 3000)).alias("term"))
+    got = with_rank(df, "term", slices=6)
+    assert got.filter(F.substring("term", 41, 5).cast("bigint") != F.col("rank")).count() == 0
+    assert len(got.inputFiles()) >= 6
 
 
 @pytest.mark.parametrize("k", [2, 3, 10])
