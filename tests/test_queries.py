@@ -16,7 +16,7 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value + 0.0:.6g}"
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     return str(value)
 
 
