@@ -1,7 +1,6 @@
 """Hand-made pages of the four sites: the cases that the site tests look at."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from pharmatext.functions.markup import parse
