@@ -31,6 +31,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """For every document its class of near copies."""
+    from pharmatext.llm.near_dedup import near_classes
+
+    return near_classes(table(spark, sf, "documents")).drop("node")
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document."""

@@ -84,7 +84,7 @@ class Counter2:
 
 
 def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -> dict[str, int]:
-    """Token counts of frequent pre-tokens: each task's commonest of up to ``SAMPLE_ROWS`` rows, at
+    """Token counts of frequent pre-tokens: each task's commonest of about ``SAMPLE_ROWS`` rows, at
     most ``FREQUENT`` in all. Which words are in it changes only the speed."""
 
     def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,8 @@ def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -
         top = [(w, n) for w, n in seen.most_common(SAMPLE_TOP) if len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    sample = docs.select(text_col).limit(SAMPLE_ROWS) if docs.count() > SAMPLE_ROWS else docs.select(text_col)
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))  # rows picked where they lie: nothing moves
+    sample = docs.select(text_col) if share == 1.0 else docs.select(text_col).sample(share, seed=1)
     top = (
         sample.mapInArrow(commonest, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
