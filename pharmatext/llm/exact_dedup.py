@@ -35,7 +35,8 @@ def state_of(source_path: str, spark, schema, id_col: str, text_col: str, digest
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-        "spark.sql.streaming.metricsEnabled": "false",
+        # a task closes its part of the state when it is done: each open part holds some MB of disk and memory
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }
     before = {k: spark.conf.get(k, None) for k in setting}
     log, checkpoint = shared_path(spark, "dedup-log"), shared_path(spark, "dedup-state")
