@@ -29,11 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from pharmatext.llm.components import components
+from pharmatext.llm.counting import summed
 from pharmatext.llm.storage import written
 from pharmatext.llm.words import chunks, mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 16, 5
-COUNTERS, SLICE = 1 << 20, 1 << 12
+COUNTERS = 1 << 20
 _TABLE_BITS = 17
 
 
@@ -60,44 +61,19 @@ def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a shingle of each hashed counter, over all rows, and the number of rows."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(COUNTERS, dtype=np.int64), 0
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        seen = None
         for batch in batches:
+            seen = np.zeros(COUNTERS + 1, dtype=np.int64) if seen is None else seen
             column = batch.column(0).to_pylist()
-            rows += len(column)
+            seen[COUNTERS] += len(column)
             for a, b in chunks(column):
-                h, bounds = shingle_hashes(*word_hashes(column[a:b]))
-                h, _, _ = _distinct(h, bounds)
+                h, _, _ = _distinct(*shingle_hashes(*word_hashes(column[a:b])))
                 np.add.at(seen, _counters(h), 1)
-        if rows:
-            yield _sliced(seen, rows)
-
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, dtype=np.int64)
-        for raw in table.column("counts"):
-            total += np.frombuffer(raw.as_buffer(), dtype=np.int64)
-        rows = sum(table.column("rows").to_pylist())
-        # of the group's name only the slice is read in the end
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()), "rows": pa.array([rows], pa.int64())})
-
-    schema = "slice int, part int, counts binary, rows long"
-    local = texts.mapInArrow(tally, schema)
-    some = local.groupBy("slice", "part").applyInArrow(add, schema)
-    whole = some.groupBy("slice").applyInArrow(add, schema).collect()  # COUNTERS numbers in all
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    for r in whole:
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
-    return out, (whole[0]["rows"] if whole else 0)
-
-
-def _sliced(seen: np.ndarray, rows: int) -> pa.RecordBatch:
-    """The counters as rows of ``SLICE`` each; ``part`` is a small random number to sum in two steps."""
-    parts = seen.reshape(-1, SLICE)
-    part = int(mix(np.array([int(seen.sum()) + rows]))[0] % np.uint64(64))
-    return pa.RecordBatch.from_arrays([
-        pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()),
-        pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([rows] * len(parts), pa.int64()),
-    ], names=["slice", "part", "counts", "rows"])
+        return seen
+
+    out = summed(texts, tally, COUNTERS + 1)
+    return out[:COUNTERS], int(out[COUNTERS])
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:

@@ -39,6 +39,17 @@ def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_classes(table(spark, sf, "documents")).drop("node")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity scores of all documents by a model of the labels that aren't held out."""
+    from pharmatext.llm.toxicity import scores, train
+
+    docs = table(spark, sf, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = train(docs.select("doc_id", "text"), table(spark, sf, "labels").filter(~held_out))
+    return scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document."""
@@ -70,6 +81,16 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return neighbour_likeness(table(spark, sf, "documents"))
 
 
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """For every document whether the resampling towards good text takes it."""
+    from pharmatext.llm.quality import train, with_sample
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf, "labels"))
+    return with_sample(docs, model, drop_text=True)
+
+
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""

@@ -41,15 +41,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the place of each text's first word (one entry more than texts)."""
+def _words(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Starts and ends of all words in the joined bytes, the sums that give hashes, and where each text's words begin."""
     parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     bounds = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=bounds[1:])
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     n = len(data)
-    if not n:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(parts) + 1, dtype=np.int64)
     inside = _WORD[data]
     first, last = inside.copy(), inside.copy()
     before, after = inside[:-1].copy(), inside[1:].copy()
@@ -59,11 +57,30 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     first[1:] &= ~before
     last[:-1] &= ~after
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    powers, inverses = _powers(n)
+    powers, inverses = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(hashes ^ (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    return starts, ends, sums, inverses, np.searchsorted(starts, bounds)
+
+
+def _hash(starts: np.ndarray, ends: np.ndarray, sums: np.ndarray, inverses: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * inverses[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the place of each text's first word (one entry more than texts)."""
+    starts, ends, sums, inverses, bounds = _words(texts)
+    return _hash(starts, ends, sums, inverses), bounds
+
+
+def stem_hashes(texts: list[str | None], sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, text of each) of all words, then for each size of the first bytes of all longer words."""
+    starts, ends, sums, inverses, bounds = _words(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    yield _hash(starts, ends, sums, inverses), text
+    for size in sizes:
+        longer = ends - starts > size
+        yield _hash(starts[longer], starts[longer] + size, sums, inverses), text[longer]
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,3 +127,38 @@ def text_shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> Iterato
         hashes, bounds = shingle_hashes(*word_hashes(texts[a:b]), size)
         for i in range(b - a):
             yield hashes[bounds[i] : bounds[i + 1]]
+
+
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[[*b" \t\n\r\x0b\x0c"]] = 0
+_KIND[_WORD] = 1
+_KIND[ord("A") : ord("Z") + 1] = 1
+
+
+def token_runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and shape of each run of word characters or of other signs, in original case, and the
+    bounds by text. A shape is 0 lower case, 1 upper case, 2 capital, 3 with a digit, or the sign's hash."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    bounds = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.cumsum([len(p) for p in parts], out=bounds[1:])
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    n = len(data)
+    kind = _KIND[data]
+    edge = np.ones(n + 1, dtype=bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[bounds] = True
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    filled = kind[starts] > 0 if n else np.empty(0, dtype=bool)
+    starts, ends = starts[filled], ends[filled]
+    powers, inverses = _powers(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    hashes = _hash(starts, ends, sums, inverses)
+    upper, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
+    lower = (data >= 97) & (data <= 122)
+    within = lambda flags: np.concatenate([[0], np.cumsum(flags)])[ends] - np.concatenate([[0], np.cumsum(flags)])[starts]
+    n_upper, n_digit, n_lower = within(upper), within(digit), within(lower)
+    shapes = np.where(n_digit > 0, 3, np.where((n_upper > 1) & (n_lower == 0), 1, np.where(n_upper > 0, 2, 0))).astype(np.uint64)
+    shapes = np.where(kind[starts] == 2, hashes | np.uint64(8), shapes) if n else shapes
+    return hashes, shapes, np.searchsorted(starts, bounds)
