@@ -65,6 +65,14 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 WINDOW same AS (PARTITION BY norm)"""
 
 
+@query("op5_pseudonyms")
+def op5_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its personal values replaced by keyed pseudonyms."""
+    from pharmatext.llm.pseudonyms import with_pseudonyms
+
+    return with_pseudonyms(table(spark, sf, "documents").select("doc_id", "text"), key="a key of the caller's")
+
+
 @query("op7_exact_dedup", EXACT_SQL)
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """For every document the one that stays of those with the same text."""
