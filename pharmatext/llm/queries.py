@@ -58,6 +58,14 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier one holds."""
+    from pharmatext.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf, "documents"))
+
+
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
