@@ -50,6 +50,14 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op3_pieces")
+def op3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    from pharmatext.llm.pieces import encode
+
+    return encode(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document."""
