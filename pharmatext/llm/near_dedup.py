@@ -6,11 +6,12 @@ all documents are kept in a table of 2^20 hashed counters, so what is broadcast
 
 Improved consistent weighted sampling draws ``bands * rows`` samples of each text; two texts agree on
 a sample with the probability of their weighted Jaccard similarity. Texts that agree on all samples of
-a band meet in a bucket. Within a bucket no group is paired with itself: all members are compared with
-a few hubs (the most typical member first). Who does not join the bucket's largest class becomes a hub
-in a later round and is compared with every member, so no link between members is lost. Each
-compared pair counts only if the weighted Jaccard similarity of the whole texts is at least ``threshold``.
-Classes are the connected components of these links.
+a band meet in a bucket. Within a bucket all members are compared with one hub, the most typical
+member. Who is not in the bucket's largest class then is compared with every member of another class
+that it can be like at all: what both share with the hub, and what no other text shares with them,
+bounds their similarity, so members of a large group that are merely similar form no pairs, and no
+link inside a bucket is lost. A pair counts if the weighted Jaccard similarity of the whole texts is
+at least ``threshold``. Classes are the connected components of these links.
 
 Texts with the same shingles in the same order are one text from the start, so copies cost nothing.
 Texts without any word are alike only if identical; null counts as empty. Texts of one to four words
@@ -26,7 +27,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.components import components
 from pharmatext.llm.counting import summed
@@ -137,80 +138,84 @@ def signatures(rows: DataFrame, idf: Broadcast, bands: int, per_band: int) -> Da
     return rows.mapInArrow(work, "id long, node binary, rarity double, bands array<long>")
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two texts given as ascending distinct shingles and their weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = float(np.minimum(a[1][i], b[1][j]).sum())
-    return least / (float(a[1].sum()) + float(b[1].sum()) - least)
+def _weigh(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct shingles of a text and their weights."""
+    h, counts = np.unique(shingle_hashes(*word_hashes([text]))[0], return_counts=True)
+    return h, table[_counters(h)].astype(np.float64) * counts
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    """The pairs (hub, node) whose whole texts are similar enough."""
-
-    def weigh(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, counts = np.unique(shingle_hashes(*word_hashes([text]))[0], return_counts=True)
-        return h, table[_counters(h)].astype(np.float64) * counts
+def measured(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """Pairs (hub, node) with the weights of both whole texts and of what they share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hub, known = idf.value, None, None
         for batch in batches:
-            keep = []
+            shared, own, hubs = [], [], []
             for h, a, b in zip(batch.column("hub").to_pylist(), batch.column("hub_text").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if h != hub:
-                    hub, known = h, weigh(a, table)
-                keep.append(weighted_jaccard(known, weigh(b, table)) >= threshold)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("hub"), batch.column("node"))], names=["hub", "node"])
+                    hub, known = h, _weigh(a, table)
+                other = _weigh(b, table)
+                _, i, j = np.intersect1d(known[0], other[0], assume_unique=True, return_indices=True)
+                shared.append(float(np.minimum(known[1][i], other[1][j]).sum()))
+                own.append(float(other[1].sum()))
+                hubs.append(float(known[1].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node"), *[pa.array(x, pa.float64()) for x in (shared, own, hubs)]], names=["hub", "node", "shared", "w", "w_hub"])
 
     met = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    return met.select("hub", "hub_text", "node", "text").mapInArrow(work, "hub binary, node binary")
+    return met.select("hub", "hub_text", "node", "text").mapInArrow(work, "hub binary, node binary, shared double, w double, w_hub double")
+
+
+def _likeness(shared: Column, w1: Column, w2: Column) -> Column:
+    return shared / (w1 + w2 - shared)
 
 
-def _hubs(free: DataFrame, many: int) -> DataFrame:
-    """(bucket, hub, hub_rarity): some of each bucket's free members, the most typical first. Each pick is
-    a minimum, so a task sends one row for each bucket, however large the bucket is."""
-    me = F.struct("node", "rarity")
-    picks = [F.min(F.struct("rarity", "node", me.alias("me")))["me"]]
-    picks += [F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", me.alias("me")))["me"] for i in range(1, many)]
-    found = free.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
-    return found.select("bucket", F.explode("hubs").alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.rarity").alias("hub_rarity"))
+def own_weights(texts: DataFrame, idf: Broadcast, part: float) -> DataFrame:
+    """(node, own): the weight of shingles that no other text of the table has, at least of those among
+    the rarest ones that make up ``part`` of the text's weight."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, tokens, weights = [], [], []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h, w = _weigh(text, idf.value)
+                order = np.argsort(-idf.value[_counters(h)], kind="stable")
+                n = int(np.searchsorted(np.cumsum(w[order]), part * w.sum())) + 1
+                tokens.append(h[order[:n]].view(np.int64))
+                weights.append(w[order[:n]])
+                nodes += [node] * len(tokens[-1])
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(weights))], names=["node", "token", "weight"])
+
+    tokens = texts.mapInArrow(rarest, "node binary, token long, weight double")
+    return tokens.groupBy("token").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("weight").alias("weight")) \
+        .filter("n = 1").groupBy("node").agg(F.sum("weight").alias("own"))
 
 
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], idf: Broadcast, threshold: float) -> DataFrame:
     """(a, b): enough links to make up every class of the nodes (node, rarity, bands)."""
-    spark = nodes.sparkSession
     placed = nodes.filter("bands IS NOT NULL").select("node", "rarity", F.explode("bands").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = written(placed.join(crowded, "bucket"), "near-members")
+    # the hub of a bucket is its most typical member: a minimum, so each task sends one row for a bucket
+    hubs = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rarity", "node"))["node"].alias("hub")).filter("n > 1")
+    members = written(placed.join(hubs, "bucket").select("bucket", "node", "hub"), "near-members")
     texts = written(texts_of(members.select("node").distinct()), "near-texts")
-    found = spark.createDataFrame([], "a binary, b binary")
-    compared = spark.createDataFrame([], "hub binary, node binary")
-    were_hubs = spark.createDataFrame([], "bucket long, node binary")
-    free, root_of, many = members, None, 2
-    while True:
-        hubs = written(_hubs(free, many), "near-hubs")
-        met = members.join(hubs, "bucket").filter("node != hub")
-        # the more typical of two is the hub, so that a pair met in several buckets is one pair
-        first = F.struct("hub_rarity", "hub") < F.struct("rarity", "node")
-        pairs = met.select(F.when(first, F.col("hub")).otherwise(F.col("node")).alias("hub"), F.when(first, F.col("node")).otherwise(F.col("hub")).alias("node")).distinct()
-        if root_of is not None:  # members of one class need no further link
-            pairs = pairs.join(root_of.withColumnRenamed("root", "r1"), "node", "left")
-            pairs = pairs.join(root_of.select(F.col("node").alias("hub"), F.col("root").alias("r2")), "hub", "left")
-            pairs = pairs.filter("coalesce(r1, node) != coalesce(r2, hub)").select("hub", "node").join(compared, ["hub", "node"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        good = verified(pairs, texts, idf, threshold).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        found = written(found.unionByName(good), "near-links")
-        compared = compared.unionByName(pairs)
-        were_hubs = were_hubs.unionByName(hubs.select("bucket", F.col("hub").alias("node")))
-        root_of = components(found)
-        # who is outside the largest class of the bucket meets all its members later, as a hub
-        classed = members.join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        per_class = classed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        mixed = per_class.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1")
-        outside = classed.join(mixed, "bucket").filter("root != main").select("bucket", "node", "rarity")
-        free = written(outside.join(were_hubs, ["bucket", "node"], "left_anti"), "near-free")
-        if free.isEmpty():
-            return found
-        many = min(64, many * 4)
+    first = written(measured(members.filter("node != hub").select("hub", "node").distinct(), texts, idf), "near-first")
+    found = first.filter(_likeness(F.col("shared"), F.col("w"), F.col("w_hub")) >= threshold).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    root_of = components(found)
+    # Members outside their bucket's largest class are compared with all others of the bucket that they can be
+    # like at all. Of two members that share s1 and s2 with the hub, and have o1 and o2 that no text shares,
+    # the common weight is at most min(s1, s2) + min(w1 - s1 - o1, w2 - s2 - o2).
+    classed = members.filter("node != hub").join(root_of, "node", "left").join(first, ["hub", "node"]).join(own_weights(texts, idf, 1.1 - threshold), "node", "left")
+    classed = classed.join(root_of.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    classed = classed.select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"), "shared", "w", F.greatest(F.lit(0.0), F.col("w") - F.col("shared") - F.coalesce("own", F.lit(0.0))).alias("rest"))
+    classed = written(classed, "near-classed")
+    per_class = classed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = per_class.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1")
+    free = classed.join(main, "bucket").filter("root != main").select("bucket", *[F.col(c).alias(f"f_{c}") for c in ("node", "root", "shared", "w", "rest")])
+    most = F.least("shared", "f_shared") + F.least("rest", "f_rest")
+    near = (F.col("root") != F.col("f_root")) & (_likeness(most, F.col("w"), F.col("f_w")) >= threshold - 1e-9)
+    pairs = classed.join(free, (classed["bucket"] == free["bucket"]) & near).select(F.least("node", "f_node").alias("hub"), F.greatest("node", "f_node").alias("node")).distinct()
+    second = measured(pairs, texts, idf).filter(_likeness(F.col("shared"), F.col("w"), F.col("w_hub")) >= threshold)
+    return found.unionByName(second.select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
