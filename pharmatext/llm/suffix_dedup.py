@@ -136,7 +136,8 @@ def suffix_order(text: np.ndarray, enough: int | None = None, unit: int = 1) ->
         low[open_[before]] = mid[before] + 1
         high[open_[~before]] = mid[~before]
     out = np.empty(n, dtype=np.int64)
-    at = low + np.arange(len(rest))
+    # among suffixes that agree on ``enough`` places any order will do, but places must ascend
+    at = np.maximum.accumulate(low) + np.arange(len(rest))
     out[at] = rest
     others = np.ones(n, dtype=bool)
     others[at] = False
