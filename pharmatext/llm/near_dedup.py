@@ -250,3 +250,11 @@ def _texts_of(narrow: DataFrame, owners: DataFrame) -> DataFrame:
 
     met = narrow.join(owners, narrow["id"].eqNullSafe(owners["owner"])).select("node", "text")
     return met.mapInArrow(work, "node binary, text string").dropDuplicates(["node"])
+
+
+def kept_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, that with the least id, with the columns of ``docs``; of repeated rows one."""
+    classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col)
+    ids = classes.filter("kept").select(F.col("doc_id").alias("_near_id")).distinct()
+    stays = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
+    return stays.dropDuplicates([id_col])
