@@ -114,8 +114,10 @@ def _regrouped(rows: DataFrame, state: DataFrame, id_col: str, text_col: str, di
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text, one."""
-    groups = exact_groups(docs, id_col, text_col)
-    winners = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    winners = exact_groups(docs, id_col, text_col).filter("kept")
+    winners = written(winners.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_n")), "dedup-kept")
     own = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256))
     met = own.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    return met.dropDuplicates([id_col, "_own"]).drop("_own")
+    # only repeated rows make winners repeat; without any there is nothing to drop
+    once = met if winners.filter("_n > 1").isEmpty() else met.dropDuplicates([id_col, "_own"])
+    return once.drop("_own")

@@ -254,7 +254,8 @@ def _texts_of(narrow: DataFrame, owners: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the least id, with the columns of ``docs``; of repeated rows one."""
-    classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col)
-    ids = classes.filter("kept").select(F.col("doc_id").alias("_near_id")).distinct()
+    classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col).filter("kept")
+    ids = written(classes.groupBy(F.col("doc_id").alias("_near_id")).agg(F.count("*").alias("_near_n")), "near-kept")
     stays = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    return stays.dropDuplicates([id_col])
+    # only repeated rows make ids repeat; without any there is nothing to drop
+    return stays if ids.filter("_near_n > 1").isEmpty() else stays.dropDuplicates([id_col, text_col])
