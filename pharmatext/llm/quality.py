@@ -1,10 +1,10 @@
 """Quality by importance resampling: target against raw text, sampled by Gumbel top-k.
 
-Two generative models of hashed n-grams are counted over all rows: one of the target (rows labelled
-good), one of the raw text (all rows). The n-grams are words and signs, pairs of them, and triples of
+Two generative models of hashed n-grams are counted: one of the target (rows labelled good, of a
+bounded sample of labelled rows), one of the raw text (all rows, in the same scan, which moves no text). The n-grams are words and signs, pairs of them, and triples of
 their shapes (lower case, capital, upper case, digits, which sign, whether it repeats one of the two
 before). A row's log ratio is the sum of ``ln(p_target / p_raw)`` over its n-grams; per n-gram it is
-compared with a cut that separates a bounded sample of labelled rows best.
+compared with a cut that separates the sample of labelled rows best.
 
 The log weight of a row is ``sharpness * n * (log ratio per n-gram - cut)``. Each row's weight gets
 Gumbel noise (a digest of its id), and the k largest are taken, where k is the number of rows above
@@ -28,7 +28,8 @@ from pharmatext.llm.words import chunks, mix, token_runs
 
 BITS = 15
 SIZE = 3 << BITS
-CALIBRATION_ROWS = 20_000
+#: Labelled rows that the target model and the cut are fitted on, at most about so many.
+LABELLED_ROWS = 50_000
 SHARPNESS = 8.0
 
 
@@ -74,11 +75,18 @@ def score(texts: list[str | None], ratios: np.ndarray) -> tuple[np.ndarray, np.n
     return counts, sums / np.maximum(counts, 1)
 
 
-def count_models(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram counts of rows with label 1 and of all rows."""
-    marked = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("_id"), F.lit(True).alias("_good")).distinct()
+def _labelled(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(_id, _label) of about ``LABELLED_ROWS`` labelled ids at most, picked by a digest; an id with both labels is left out."""
+    marked = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_label"), F.max(label_col).alias("_most"))
+    marked = marked.filter("_label = _most AND _id IS NOT NULL").select("_id", "_label")
+    share = min(1.0, LABELLED_ROWS / max(1, marked.count()))
+    return marked.filter(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def count_models(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram counts of the rows marked good and of all rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(marked, rows["id"] == marked["_id"], "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
+    rows = rows.join(F.broadcast(marked.filter("_label = 1")), rows["id"] == F.col("_id"), "left").select("text", F.col("_label").isNotNull().alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
@@ -116,15 +124,14 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    target, raw = count_models(docs, labels, label_col, id_col, text_col)
+    marked = written(_labelled(labels, label_col, id_col), "quality-labels")
+    target, raw = count_models(docs, marked, id_col, text_col)
     if not target.any():
         return QualityModel(np.zeros(SIZE), float("-inf"))
     ratios = log_ratios(target, raw)
-    marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label"))
-    share = min(1.0, CALIBRATION_ROWS / max(1, marked.count()))
-    some = F.broadcast(marked.filter(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000)))  # about CALIBRATION_ROWS ids
-    seen = docs.join(some, F.col(id_col).cast("long") == F.col("_id")).select("label", _score_column(docs, ratios, text_col).alias("s")).select("label", "s.*").filter("n > 0").toArrow()
-    return QualityModel(ratios, best_cut(np.array(seen.column("mean").to_pylist(), dtype=float), np.array(seen.column("label").to_pylist())))
+    scored = docs.join(F.broadcast(marked), F.col(id_col).cast("long") == F.col("_id")).select("_label", _score_column(docs, ratios, text_col).alias("s"))
+    seen = scored.select("_label", "s.*").filter("n > 0").toArrow()
+    return QualityModel(ratios, best_cut(np.array(seen.column("mean").to_pylist(), dtype=float), np.array(seen.column("_label").to_pylist())))
 
 
 def _score_column(docs: DataFrame, ratios: np.ndarray, text_col: str) -> Column:
