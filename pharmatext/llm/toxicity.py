@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pharmatext.llm.words import chunks, mix, stem_hashes
 
 BITS, STEMS = 18, (6, 7)
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 #: Terms that name groups of people; each is one word as ``words`` sees them.
 IDENTITY_TERMS = (
     "women men woman man female male girls boys gay lesbian bisexual transgender queer straight muslim muslims "
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     got = rows.mapInArrow(_described, "id long, label int, places binary, counts binary, named array<int>").toArrow()
     got = got.sort_by([("id", "ascending"), ("label", "ascending")])
     places = [np.frombuffer(b, dtype=np.int32) for b in got.column("places").to_pylist()]
-    text = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    text = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) for p in places])
     place = np.concatenate([*places, np.empty(0, dtype=np.int32)])
     value = np.log1p(np.concatenate([*[np.frombuffer(b, dtype=np.int32) for b in got.column("counts").to_pylist()], np.empty(0, dtype=np.int32)])).astype(np.float32)
     return fit(text, place, value, np.array(got.column("label").to_pylist()), got.column("named").to_pylist())
