@@ -39,7 +39,7 @@ def special_strings(model_path: str) -> list[str]:
     return sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
 
 
-class Counter2:
+class TokenCounter:
     """Counts tokens of texts: broadcast table first, then this worker's cache, then the library."""
 
     def __init__(self, model_path: str, frequent: dict[str, int]):
@@ -88,7 +88,7 @@ def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -
     most ``FREQUENT`` in all. Which words are in it changes only the speed."""
 
     def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = Counter2(model_path, {}), Counter()
+        counter, seen = TokenCounter(model_path, {}), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(counter.pieces(text or "")[0])
@@ -103,7 +103,7 @@ def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -
         sample.mapInArrow(commonest, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     )
-    counter = Counter2(model_path, {})
+    counter = TokenCounter(model_path, {})
     return {r.word: counter.count(r.word) for r in top}
 
 
@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, model_path: str, max_tokens: int = 1024, id_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
-            counter = counter or Counter2(model_path, known.value)
+            counter = counter or TokenCounter(model_path, known.value)
             texts = batch.column("text").to_pylist()
             n_bytes = [len((t or "").encode()) for t in texts]
             n_tokens = [counter.count(t) if t else 0 for t in texts]
