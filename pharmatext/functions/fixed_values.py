@@ -40,3 +40,24 @@ DRUGRATINGZ_STARS = ["effectiveness", "no side effects", "convenience", "value"]
 
 # Reviews per page.
 PAGE_SIZE = {"webmd": 5, "drugs": 25}
+
+# What the heading of a review page says on three of the sites.
+REVIEW_HEADINGS = {
+    "webmd": "User Reviews & Ratings - ",
+    "drugs": "User Reviews for ",
+    "drugratingz": "drug reviews",
+}
+
+# Sites whose page title starts with the drug's name.
+FIRST_WORDS_OF_TITLES = ("everydayhealth", "drugratingz")
+
+# What a front page without reviews says.
+NO_REVIEWS_YET = "Be the first to share your experience with this treatment."
+
+# Search pages: what stands before and after the key.
+SEARCH_URL = {
+    "webmd": ("https://www.webmd.com/drugs/2/search?type=drugs&query=", ""),
+    "drugs": ("https://www.drugs.com/search.php?searchterm=", ""),
+    "everydayhealth": ("https://www.everydayhealth.com/drugs/", "/reviews"),
+    "drugratingz": ("https://www.drugratingz.com/searchResults.jsp?thingname=", "&1=&2="),
+}

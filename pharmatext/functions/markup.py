@@ -1,286 +1,370 @@
 """Fetched page -> reviews, run inside ``mapInPandas`` tasks on the standard library's parser.
 
-Each task reads pages one by one and gives review rows with the site's raw texts; cleaning and
-number parsing stay column expressions (``functions.sites``).
+What each site's markup means is a table of rules (``SITES``), read by one extractor; a further site is
+one more entry. Cleaning and number parsing stay column expressions (``functions.sites``). A page that
+the parser cannot read gives one row with the reason in ``error`` and no review.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 
+from pharmatext.functions.fixed_values import FIRST_WORDS_OF_TITLES, NO_REVIEWS_YET, REVIEW_HEADINGS
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = {"script", "style", "template"}
-NBSP = "\u00a0"
-
-RAW_SCHEMA = (
-    "page_id bigint, site string, url string, drug string, pos int, comment_raw string, "
-    "stars array<string>, date_raw string, user_raw string"
-)
-PAGE_COLUMNS = ["page_id", "site", "url", "drug"]
-RAW_COLUMNS = PAGE_COLUMNS + ["pos", "comment_raw", "stars", "date_raw", "user_raw"]
+NBSP = " "
 ROWS_PER_BATCH = 10_000
 
 
-class Element:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def walk(self) -> Iterator[Element]:
-        """Elements below this one in page order (no recursion: pages may nest deeply)."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-
-    def text(self) -> str:
-        parts, stack = [], list(reversed(self.children))
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            elif node.tag not in NO_TEXT:
-                stack.extend(reversed(node.children))
-        return "".join(parts)
-
-    def has_class(self, name: str) -> bool:
-        """One class of the list, or the whole class attribute."""
-        value = self.attrs.get("class") or ""
-        return value == name or name in value.split()
-
-    def all(self, tag: str, cls: str | None = None, **attrs: str) -> Iterator[Element]:
-        for node in self.walk():
-            if (
-                node.tag == tag
-                and (cls is None or node.has_class(cls))
-                and all(node.attrs.get(k) == v for k, v in attrs.items())
-            ):
-                yield node
-
-    def first(self, tag: str, cls: str | None = None, **attrs: str) -> Element | None:
-        return next(self.all(tag, cls, **attrs), None)
-
-
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
+# ---- pages as flat lists: an element is a number, and what is below it is a range of numbers ----
+
+class Page(HTMLParser):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
+        self.tags, self.attrs, self.ends = [""], [{}], [0]
+        self.text_from, self.text_to, self.texts = [0], [0], []
+        self.by_tag: dict[str, list[int]] = {}
+        self._open, self._silent = [0], 0
+        self.feed(html)
+        self.close()
+        while self._open:
+            self._end()
+
+    def _end(self) -> None:
+        node = self._open.pop()
+        self.ends[node], self.text_to[node] = len(self.tags), len(self.texts)
+        self._silent -= self.tags[node] in NO_TEXT
 
     def handle_starttag(self, tag, attrs):
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values[name] = value or ""
-        node = Element(tag, values)
-        self.open[-1].children.append(node)
+        node = len(self.tags)
+        self.tags.append(tag)
+        self.attrs.append({name: value or "" for name, value in attrs})
+        self.ends.append(node + 1)
+        self.text_from.append(len(self.texts))
+        self.text_to.append(len(self.texts))
+        self.by_tag.setdefault(tag, []).append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._open.append(node)
+            self._silent += tag in NO_TEXT
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._end()
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
+        if any(self.tags[node] == tag for node in self._open[1:]):
+            while self.tags[self._open[-1]] != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def parse(html: str) -> Element:
-    builder = _TreeBuilder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def _text(node: Element | None) -> str | None:
-    return None if node is None else node.text()
-
-
-# Each rule gives (comment, star texts, date, user) of the reviews on a page, in page order.
-
-def _webmd(page: Element):
-    for box in page.all("div", "userPost"):
-        comment = next(
-            (p for p in box.all("p") if re.match("comFul", p.attrs.get("id") or "")), None
-        )
-        stars = [s.text() for s in box.all("span", "current-rating")][:3]
-        yield _text(comment), stars, _text(box.first("div", "date")), _text(box.first("p", "reviewerInfo"))
-
-
-def _drugs(page: Element):
-    for box in page.all("div", "ddc-comment"):
-        content = box.first("p", "ddc-comment-content")
-        score = box.first("div", "rating-score")
-        user = box.first("span", "user-name user-type user-type-1_standard_member") or box.first(
-            "span", "user-name user-type user-type-2_non_member")
-        yield (
-            _text(content and content.first("span")),
-            [] if score is None else [score.text()],
-            _text(box.first("span", "comment-date text-color-muted")),
-            _text(user),
-        )
-
-
-def _everydayhealth(page: Element):
-    for box in page.all("div", itemprop="review"):
-        score = box.first("span", itemprop="reviewRating")
-        time = box.first("span", "time")
-        yield (
-            _text(box.first("p", itemprop="reviewBody")),
-            [] if score is None else [score.text()],
-            None if time is None else time.attrs.get("content"),
-            None,
-        )
-
-
-def _drugratingz(page: Element):
-    for row_class in ("ratingstableodd", "ratingstableeven"):
-        for row in page.all("tr", row_class):
-            description = row.first("span", "description")
-            if description is None:
-                continue
-            cells = [
-                c for c in row.all("td", align="center")
-                if "valign" in c.attrs and c.first("a") is None and c.first("img") is None
-            ]
-            dates = [
-                c.text().strip().replace(NBSP, " ") for c in row.all("td", valign="top")
-                if "align" not in c.attrs and c.first("a") is None
-            ]
-            stars = [c.text().replace(NBSP, "") for c in cells][:4]
-            yield description.text(), stars, dates[0] if dates else None, None
-
-
-RULES = {
-    "webmd": _webmd,
-    "drugs": _drugs,
-    "everydayhealth": _everydayhealth,
-    "drugratingz": _drugratingz,
-}
+        if not self._silent:
+            self.texts.append(data)
 
+    def text(self, node: int = 0) -> str:
+        return "".join(self.texts[self.text_from[node] : self.text_to[node]])
 
-def extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``PAGE_COLUMNS + html`` batches to raw review batches of bounded size."""
-    rows = []
-    for batch in batches:
-        keys = zip(*[batch[c] for c in PAGE_COLUMNS])
-        for key, html in zip(keys, batch["html"]):
-            for i, review in enumerate(RULES[key[1]](parse(html))):
-                rows.append((*key, i, *review))
-                if len(rows) >= ROWS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=RAW_COLUMNS)
-                    rows = []
-    yield pd.DataFrame(rows, columns=RAW_COLUMNS)
-
-
-# What a front page says about its number of reviews (webmd, drugs) or pages (everydayhealth).
+    def below(self, where: Where, node: int = 0) -> Iterator[int]:
+        """Elements below ``node`` that fit, in page order."""
+        found = self.by_tag.get(where.tag, [])
+        for k in range(bisect_left(found, node + 1), len(found)):
+            if found[k] >= self.ends[node]:
+                return
+            if where.fits(self, found[k]):
+                yield found[k]
+
+    def first(self, where: Where, node: int = 0) -> int | None:
+        return next(self.below(where, node), None)
+
+
+def parse(html: str) -> Page:
+    return Page(html)
+
+
+# ---- rules ----
+
+ANY, ABSENT = object(), object()
+
+
+@dataclass(frozen=True)
+class Where:
+    """Elements of a tag: with a class (one of the list, or the whole attribute), with attribute values
+    (``ANY``: whatever value, ``ABSENT``: none, a trailing ``*``: values that start so), and without
+    elements of some tags below."""
+
+    tag: str
+    cls: str | None = None
+    attrs: tuple[tuple[str, object], ...] = ()
+    without: tuple[str, ...] = ()
+
+    def fits(self, page: Page, node: int) -> bool:
+        own = page.attrs[node]
+        if self.cls is not None:
+            value = own.get("class", "")
+            if value != self.cls and self.cls not in value.split():
+                return False
+        for name, wanted in self.attrs:
+            value = own.get(name)
+            if wanted is ANY or wanted is ABSENT:
+                if (value is None) == (wanted is ANY):
+                    return False
+            elif value is None or not (value.startswith(wanted[:-1]) if wanted.endswith("*") else value == wanted):
+                return False
+        return not any(page.first(Where(tag), node) is not None for tag in self.without)
+
+
+@dataclass(frozen=True)
+class Take:
+    """The text (or an attribute) of the first element at the end of a path of ``Where``; of several
+    paths the first that leads somewhere. ``many``: up to so many elements of the last step."""
+
+    paths: tuple[tuple[Where, ...], ...]
+    attr: str | None = None
+    many: int = 0
+    drop: str = ""
+
+    def nodes(self, page: Page, node: int) -> list[int]:
+        for path in self.paths:
+            at: int | None = node
+            for step in path[:-1]:
+                at = None if at is None else page.first(step, at)
+            if at is not None:
+                found = page.below(path[-1], at)
+                got = [x for _, x in zip(range(self.many or 1), found)]
+                if got:
+                    return got
+        return []
+
+    def values(self, page: Page, node: int) -> list[str | None]:
+        raw = [page.text(x) if self.attr is None else page.attrs[x].get(self.attr) for x in self.nodes(page, node)]
+        return [r.replace(self.drop, "") if r and self.drop else r for r in raw]
+
+    def value(self, page: Page, node: int = 0) -> str | None:
+        return next(iter(self.values(page, node)), None)
+
+
+def take(*path: Where, **more) -> Take:
+    return Take((path,), **more)
+
+
+@dataclass(frozen=True)
+class Count:
+    """Where a front page states its count: not on pages that lack ``needs`` or say ``refused``."""
+
+    at: Take
+    needs: Where
+    refused: str | None = None
+    cell: int = 0
+    word: int | None = None
+
+    def read(self, page: Page) -> str | None:
+        box = page.first(self.needs)
+        if box is None or self.refused and self.refused in page.text(box):
+            return None
+        values = self.at.values(page, 0)
+        told = values[self.cell] if len(values) > self.cell else None
+        if told is None or self.word is None:
+            return told
+        words = told.split()
+        if self.word < 0:  # the first word that is a number
+            return next((w for w in words if w.isdigit()), None)
+        return words[self.word] if len(words) > self.word else None
+
+
+@dataclass(frozen=True)
+class Hits:
+    """Links of a search result page: the first of ``links`` that exists, or the link in a cell of every row."""
+
+    base: str
+    links: tuple[tuple[Take, bool], ...] = ()
+    rows: tuple[Where, ...] = ()
+    cell: int = 0
+    own_page_word: str | None = None
+
+    def read(self, page: Page, url: str) -> Iterator[tuple]:
+        if self.own_page_word is not None and self.own_page_word in (take(Where("title")).value(page) or "").split():
+            yield 0, None, url, False
+        for at, is_hop in self.links:
+            node = next(iter(at.nodes(page, 0)), None)
+            if node is not None:
+                yield 0, None, self.base + page.attrs[node].get("href", ""), is_hop
+                return
+        place = 0
+        for kind in self.rows:
+            for row in page.below(kind):
+                cells = [x for _, x in zip(range(self.cell + 1), page.below(Where("td", attrs=(("align", "center"),)), row))]
+                link = page.first(Where("a"), cells[self.cell]) if len(cells) > self.cell else None
+                if link is not None:
+                    yield place, page.text(cells[self.cell]), self.base + page.attrs[link].get("href", ""), False
+                place += 1
+
+
+@dataclass(frozen=True)
+class Site:
+    """``heading``: where the text that marks a review page stands; ``name``: where the drug's name stands,
+    after ``name_after`` and before ``name_before``, whole or its first word."""
+
+    boxes: tuple[Where, ...]
+    comment: Take
+    stars: Take
+    date: Take
+    user: Take | None
+    heading: Take
+    name: Take
+    first_word: bool
+    name_before: str = ""
+    skip_without_comment: bool = False
+    count: Count | None = None
+    hits: Hits | None = None
+
+
+H1, TITLE = take(Where("h1")), take(Where("title"))
+
+SITES: dict[str, Site] = {
+    "webmd": Site(
+        boxes=(Where("div", "userPost"),),
+        comment=take(Where("p", attrs=(("id", "comFul*"),))),
+        stars=take(Where("span", "current-rating"), many=3),
+        date=take(Where("div", "date")),
+        user=take(Where("p", "reviewerInfo")),
+        heading=H1, name=H1, first_word=False,
+        count=Count(take(Where("span", "totalreviews")), Where("div", attrs=(("id", "heading"),)), NO_REVIEWS_YET, word=-1),
+        hits=Hits("https://www.webmd.com", ((take(Where("a", "drug-review")), False), (take(Where("ul", "exact-match"), Where("a")), True))),
+    ),
+    "drugs": Site(
+        boxes=(Where("div", "ddc-comment"),),
+        comment=take(Where("p", "ddc-comment-content"), Where("span")),
+        stars=take(Where("div", "rating-score"), many=1),
+        date=take(Where("span", "comment-date text-color-muted")),
+        user=Take(tuple((Where("span", f"user-name user-type user-type-{kind}"),) for kind in ("1_standard_member", "2_non_member"))),
+        heading=H1, name=H1, first_word=True, name_before=" (Page",
+        count=Count(take(Where("table", "data-list ddc-table-sortable"), Where("tfoot"), Where("tr"), Where("th"), many=3), Where("table", "data-list ddc-table-sortable"), cell=2),
+        hits=Hits("https://www.drugs.com", ((take(Where("p", "user-reviews-title mgb-1"), Where("a")), False),)),
+    ),
+    "everydayhealth": Site(
+        boxes=(Where("div", attrs=(("itemprop", "review"),)),),
+        comment=take(Where("p", attrs=(("itemprop", "reviewBody"),))),
+        stars=take(Where("span", attrs=(("itemprop", "reviewRating"),)), many=1),
+        date=take(Where("span", "time"), attr="content"),
+        user=None,
+        heading=take(Where("span", attrs=(("itemprop", "name"),))), name=TITLE, first_word=True,
+        count=Count(take(Where("div", "review-pagination"), Where("section", "review-pagination__section--info")), Where("div", "review-details clearfix"), word=2),
+        hits=Hits("", own_page_word="Reviews"),
+    ),
+    "drugratingz": Site(
+        boxes=(Where("tr", "ratingstableodd"), Where("tr", "ratingstableeven")),
+        comment=take(Where("span", "description")),
+        stars=take(Where("td", attrs=(("align", "center"), ("valign", ANY)), without=("a", "img")), many=4, drop=NBSP),
+        date=take(Where("td", attrs=(("valign", "top"), ("align", ABSENT)), without=("a",))),
+        user=None,
+        heading=H1, name=TITLE, first_word=True, skip_without_comment=True,
+        hits=Hits("https://www.drugratingz.com", rows=(Where("tr", "ratingstableeven"), Where("tr", "ratingstableodd")), cell=2),
+    ),
+}
 
-def _webmd_total(page: Element) -> str | None:
-    head = page.first("div", id="heading")
-    if head is None or "Be the first to share your experience with this treatment." in head.text():
-        return None
-    words = (_text(page.first("span", "totalreviews")) or "").split()
-    return next((w for w in words if w.isdigit()), None)
 
+# ---- what is read from a page ----
 
-def _drugs_total(page: Element) -> str | None:
-    table = page.first("table", "data-list ddc-table-sortable")
-    foot = table and table.first("tfoot")
-    row = foot and foot.first("tr")
-    cells = list(row.all("th")) if row else []
-    return cells[2].text() if len(cells) > 2 else None
+def is_review_page(site: str, page: Page) -> bool:
+    told, phrase = SITES[site].heading.value(page), REVIEW_HEADINGS.get(site, "")
+    return told is not None and phrase in told
 
 
-def _everydayhealth_total(page: Element) -> str | None:
-    if page.first("div", "review-details clearfix") is None:
+def drug_name(site: str, page: Page) -> str | None:
+    rule, phrase = SITES[site], "" if site in FIRST_WORDS_OF_TITLES else REVIEW_HEADINGS.get(site, "")
+    told = rule.name.value(page)
+    if told is None:
         return None
-    box = page.first("div", "review-pagination")
-    words = (_text(box and box.first("section", "review-pagination__section--info")) or "").split()
-    return words[2] if len(words) > 2 else None
-
-
-TOTALS = {
-    "webmd": _webmd_total,
-    "drugs": _drugs_total,
-    "everydayhealth": _everydayhealth_total,
-    "drugratingz": lambda page: None,
-}
-
-FRONT_COLUMNS = ["page_id", "site", "url", "drug", "is_reviews"]
-FRONT_SCHEMA = "page_id bigint, site string, url string, drug string, is_reviews boolean, total_raw string"
-
-
-def front_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per front page, with the text that states its count."""
-    for batch in batches:
-        told = [TOTALS[site](parse(html)) for site, html in zip(batch["site"], batch["html"])]
-        yield batch[FRONT_COLUMNS].assign(total_raw=pd.Series(told, dtype=object, index=batch.index))
+    if not rule.first_word:
+        return told.replace(phrase, "")
+    if phrase:
+        if phrase not in told:
+            return None
+        told = told.split(phrase, 1)[1].split(rule.name_before, 1)[0]
+    return next(iter(told.split()), None)
+
+
+def reviews(site: str, page: Page) -> Iterator[tuple]:
+    """(comment, star texts, date, user) of the reviews on a page, box kind by box kind."""
+    rule = SITES[site]
+    for kind in rule.boxes:
+        for box in page.below(kind):
+            comment = rule.comment.value(page, box)
+            if comment is None and rule.skip_without_comment:
+                continue
+            date = rule.date.value(page, box)
+            yield comment, rule.stars.values(page, box), date, rule.user and rule.user.value(page, box)
 
 
-# Search result pages: (place, review count text, address, is a hop) per hit.
+def _read(html: str) -> tuple[Page | None, str | None]:
+    """The page, or why it cannot be read."""
+    try:
+        return parse(html), None
+    except Exception as e:  # whatever a parser says about one page must not end the job
+        return None, f"{type(e).__name__}: {e}"[:200]
 
-def _webmd_hits(page: Element, url: str):
-    link = page.first("a", "drug-review")
-    if link is not None:
-        yield 0, None, "https://www.webmd.com" + link.attrs.get("href", ""), False
-        return
-    exact = page.first("ul", "exact-match")
-    link = exact and exact.first("a")
-    if link:
-        yield 0, None, "https://www.webmd.com" + link.attrs.get("href", ""), True
 
+RAW_SCHEMA = (
+    "page_id bigint, site string, url string, drug string, pos int, comment_raw string, "
+    "stars array<string>, date_raw string, user_raw string, error string"
+)
+PAGE_COLUMNS = ["page_id", "site", "url"]
+RAW_COLUMNS = [*PAGE_COLUMNS, "drug", "pos", "comment_raw", "stars", "date_raw", "user_raw", "error"]
 
-def _drugs_hits(page: Element, url: str):
-    title = page.first("p", "user-reviews-title mgb-1")
-    link = title and title.first("a")
-    if link:
-        yield 0, None, "https://www.drugs.com" + link.attrs.get("href", ""), False
 
+def extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``PAGE_COLUMNS + html`` batches to raw review batches of bounded size."""
+    rows = []
+    for batch in batches:
+        for key, html in zip(zip(*[batch[c] for c in PAGE_COLUMNS]), batch["html"]):
+            page, error = _read(html)
+            if page is None:
+                rows.append((*key, *[None] * 6, error))
+                continue
+            drug = drug_name(key[1], page)
+            for i, review in enumerate(reviews(key[1], page)):
+                rows.append((*key, drug, i, *review, None))
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=RAW_COLUMNS)
+                    rows = []
+    yield pd.DataFrame(rows, columns=RAW_COLUMNS)
 
-def _everydayhealth_hits(page: Element, url: str):
-    if "Reviews" in (_text(page.first("title")) or "").split():
-        yield 0, None, url, False
 
+FACT_COLUMNS = ["page_id", "site", "url", "drug", "is_reviews", "total_raw", "error"]
+FACT_SCHEMA = "page_id bigint, site string, url string, drug string, is_reviews boolean, total_raw string, error string"
 
-def _drugratingz_hits(page: Element, url: str):
-    rows = [*page.all("tr", "ratingstableeven"), *page.all("tr", "ratingstableodd")]
-    for i, row in enumerate(rows):
-        cells = list(row.all("td", align="center"))
-        link = cells[2].first("a") if len(cells) > 2 else None
-        if link is not None:
-            yield i, cells[2].text(), "https://www.drugratingz.com" + link.attrs.get("href", ""), False
 
+def fact_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per page: its drug, whether it shows reviews, and the text that states its count."""
+    for batch in batches:
+        rows = []
+        for key, html in zip(zip(*[batch[c] for c in PAGE_COLUMNS]), batch["html"]):
+            page, error = _read(html)
+            if page is None:
+                rows.append((*key, None, False, None, error))
+                continue
+            rule = SITES[key[1]]
+            rows.append((*key, drug_name(key[1], page), is_review_page(key[1], page), rule.count and rule.count.read(page), None))
+        yield pd.DataFrame(rows, columns=FACT_COLUMNS)
 
-HITS = {
-    "webmd": _webmd_hits,
-    "drugs": _drugs_hits,
-    "everydayhealth": _everydayhealth_hits,
-    "drugratingz": _drugratingz_hits,
-}
 
 SEARCH_COLUMNS = ["page_id", "site", "name", "pos", "n_raw", "url", "is_hop"]
 SEARCH_SCHEMA = "page_id bigint, site string, name string, pos int, n_raw string, url string, is_hop boolean"
 
 
 def search_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The hits on each search result page."""
+    """The hits on each search result page; a page that cannot be read has none."""
     for batch in batches:
-        pages = zip(*[batch[c] for c in ("page_id", "site", "name", "url", "html")])
-        rows = [
-            (page_id, site, name, *hit)
-            for page_id, site, name, url, html in pages
-            for hit in HITS[site](parse(html), url)
-        ]
+        rows = []
+        for page_id, site, name, url, html in zip(*[batch[c] for c in ("page_id", "site", "name", "url", "html")]):
+            page, _ = _read(html)
+            if page is not None and SITES[site].hits:
+                rows += [(page_id, site, name, *hit) for hit in SITES[site].hits.read(page, url)]
         yield pd.DataFrame(rows, columns=SEARCH_COLUMNS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pharmatext.functions.fixed_values import PAGE_SIZE, SITE_PREFIXES
+from pharmatext.functions.fixed_values import PAGE_SIZE, SEARCH_URL, SITE_PREFIXES
 
 
 def strip(text: Column) -> Column:
@@ -31,33 +31,6 @@ def element_text(html: Column, tag: str) -> Column:
     return F.when(html.contains(f"<{tag}"), plain)
 
 
-def is_review_page(site: Column, html: Column) -> Column:
-    """Front-page test of each site; a page that fails it gives no reviews."""
-    h1 = element_text(html, "h1")
-    return F.coalesce(
-        by_site(site, {
-            "webmd": h1.contains("User Reviews & Ratings - "),
-            "drugs": h1.contains("User Reviews for "),
-            "everydayhealth": html.rlike(r"<span[^>]*itemprop=[\"']name[\"']"),
-            "drugratingz": h1.contains("drug reviews"),
-        }),
-        F.lit(False),
-    )
-
-
-def drug_name(site: Column, html: Column) -> Column:
-    """Drug name that the heading or title of a page gives."""
-    h1, title = element_text(html, "h1"), element_text(html, "title")
-    named = F.get(F.split(h1, r"User Reviews for | \(Page"), 1)
-    first_word = lambda c: F.nullif(F.get(F.split(strip(c), r"\s+"), 0), F.lit(""))
-    return by_site(site, {
-        "webmd": F.replace(h1, F.lit("User Reviews & Ratings - "), F.lit("")),
-        "drugs": first_word(named),
-        "everydayhealth": first_word(title),
-        "drugratingz": first_word(title),
-    })
-
-
 def clean_comment(site: Column, comment: Column) -> Column:
     """Remove what each site's markup adds to a comment."""
     keep = F.greatest(F.length(comment) - 7, F.lit(0))
@@ -75,8 +48,8 @@ def parse_star(text: Column) -> Column:
 
 
 def digits(text: Column | str) -> Column:
-    """The digits of a text as a number; null without any."""
-    return F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).cast("bigint")
+    """The digits of a text as a number; null without any, or if no number is that long."""
+    return F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).try_cast("bigint")
 
 
 def page_count(site: Column, total: Column) -> Column:
@@ -92,16 +65,13 @@ def page_count(site: Column, total: Column) -> Column:
     }).cast("bigint")
 
 
-def page_urls(site: Column, url: Column, pages: Column) -> Column:
-    """Array of the page addresses below a front page; empty for no pages."""
-    from_one = F.when(pages > 0, F.sequence(F.lit(1), pages.cast("int"))).otherwise(F.array().cast("array<int>"))
-    number = lambda n: n.cast("string")
+def page_url(site: Column, url: Column, n: Column) -> Column:
+    """Address of the n-th page (from 1) below a front page."""
     return by_site(site, {
-        "webmd": F.transform(from_one, lambda n: F.concat(
-            url, F.lit("&pageIndex="), number(n - 1), F.lit("&sortby=3&conditionFilter=-1"))),
-        "drugs": F.transform(from_one, lambda n: F.concat(url, F.lit("?page="), number(n))),
-        "everydayhealth": F.transform(from_one, lambda n: F.concat(url, F.lit("/"), number(n))),
-        "drugratingz": F.transform(from_one, lambda n: url),
+        "webmd": F.concat(url, F.lit("&pageIndex="), (n - 1).cast("string"), F.lit("&sortby=3&conditionFilter=-1")),
+        "drugs": F.concat(url, F.lit("?page="), n.cast("string")),
+        "everydayhealth": F.concat(url, F.lit("/"), n.cast("string")),
+        "drugratingz": url,
     })
 
 
@@ -124,14 +94,6 @@ def search_key(site: Column, name: Column) -> Column:
     })
 
 
-SEARCH_URL = {
-    "webmd": ("https://www.webmd.com/drugs/2/search?type=drugs&query=", ""),
-    "drugs": ("https://www.drugs.com/search.php?searchterm=", ""),
-    "everydayhealth": ("https://www.everydayhealth.com/drugs/", "/reviews"),
-    "drugratingz": ("https://www.drugratingz.com/searchResults.jsp?thingname=", "&1=&2="),
-}
-
-
 def search_url(site: Column, name: Column) -> Column:
     key = search_key(site, name)
     return by_site(site, {

@@ -14,9 +14,25 @@ def route_pages(pages: DataFrame, prefixes: dict[str, str] = SITE_PREFIXES) -> D
     return pages.withColumn("site", sites.site_of(F.col("url"), prefixes))
 
 
+def _readable(pages: DataFrame) -> DataFrame:
+    """``(page_id, site, url, html)`` of pages of known sites that were fetched."""
+    known = pages if "site" in pages.columns else route_pages(pages)
+    return known.filter(F.col("site").isNotNull() & F.col("html").isNotNull()).select("page_id", "site", "url", "html")
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """``(page_id, site, url, drug, is_reviews, total_raw, error)`` of pages of known sites, from their markup."""
+    return _readable(pages).mapInPandas(markup.fact_batches, markup.FACT_SCHEMA)
+
+
 def rejected_pages(pages: DataFrame, prefixes: dict[str, str] = SITE_PREFIXES) -> DataFrame:
-    """Pages whose address belongs to no known site."""
-    return route_pages(pages, prefixes).filter(F.col("site").isNull()).drop("site")
+    """``(page_id, url, reason)`` of pages that can give no reviews: their address belongs to no known site,
+    nothing was fetched, or the parser cannot read them."""
+    routed = route_pages(pages, prefixes)
+    unrouted = routed.filter(F.col("site").isNull()).select("page_id", "url", F.lit("unknown site").alias("reason"))
+    empty = routed.filter(F.col("site").isNotNull() & F.col("html").isNull()).select("page_id", "url", F.lit("no page").alias("reason"))
+    broken = page_facts(routed).filter(F.col("error").isNotNull()).select("page_id", "url", F.col("error").alias("reason"))
+    return unrouted.unionByName(empty).unionByName(broken)
 
 
 def _star_map(names: list[str]) -> Column:
@@ -32,14 +48,11 @@ def extract_reviews(
 ) -> DataFrame:
     """Reviews on pages ``(page_id, url, html)``, one scan and no shuffle.
 
-    Pages of no known site, or without reviews, give no rows. ``pos`` is the review's place on its
-    page.
+    Pages of no known site, without reviews, or that cannot be read (see ``rejected_pages``) give no
+    rows. ``pos`` is the review's place on its page.
     """
     site = F.col("site")
-    known = route_pages(pages).filter(site.isNotNull() & F.col("html").isNotNull())
-    raw = known.select(
-        "page_id", "site", "url", sites.drug_name(site, F.col("html")).alias("drug"), "html"
-    ).mapInPandas(markup.extract_batches, markup.RAW_SCHEMA)
+    raw = _readable(pages).mapInPandas(markup.extract_batches, markup.RAW_SCHEMA).filter(F.col("error").isNull())
     user = F.col("user_raw")
     reviews = raw.select(
         "page_id", "pos", "site",
@@ -49,7 +62,8 @@ def extract_reviews(
         }).alias("rating_map"),
         F.when(site.isin("drugs", "everydayhealth"), sites.parse_star(F.get("stars", 0)))
         .alias("rating_scalar"),
-        "date_raw", "drug", "url",
+        F.when(site == "drugratingz", sites.strip(F.replace("date_raw", F.lit("\u00a0"), F.lit(" ")))).otherwise(F.col("date_raw")).alias("date_raw"),
+        "drug", "url",
         F.when(site == "webmd", sites.strip(F.replace(user, F.lit("Reviewer: "), F.lit(""))))
         .otherwise(user).alias("user_id"),
     )
@@ -57,10 +71,19 @@ def extract_reviews(
     return reviews.drop(*unwanted)
 
 
+FRONTIER_CHUNK = 1000
+
+
 def page_frontier(fronts: DataFrame) -> DataFrame:
-    """Front pages ``(site, url, pages)`` to one row per page to fetch; 0 pages give no row."""
-    urls = sites.page_urls(F.col("site"), F.col("url"), F.col("pages"))
-    return fronts.select("site", "url", F.posexplode(urls).alias("page_no", "page_url"))
+    """Front pages ``(site, url, pages)`` to one row per page to fetch; 0 pages give no row.
+
+    Numbers are made in chunks, so a page that claims very many is no large array.
+    """
+    n = F.col("pages").cast("bigint")
+    chunks = fronts.filter(n > 0).select("site", "url", n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / FRONTIER_CHUNK))).alias("_c"))
+    first = F.col("_c") * FRONTIER_CHUNK
+    numbers = chunks.select("site", "url", F.explode(F.sequence(first, F.least(first + FRONTIER_CHUNK, F.col("_n")) - 1)).alias("_k"))
+    return numbers.select("site", "url", F.col("_k").try_cast("int").alias("page_no"), sites.page_url(F.col("site"), F.col("url"), F.col("_k") + 1).alias("page_url"))
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
@@ -75,9 +98,12 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
 
 def _per_name(names: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """Join a name list with a table unique on ``name``: repeated names meet it once."""
-    counted = names.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     joined = counted.join(table, "name", how)
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    # copies come back in two steps, chunks and then rows, with the chunks dealt out in between
+    chunks = joined.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / FRONTIER_CHUNK))))
+    part = F.least(F.lit(FRONTIER_CHUNK).cast("bigint"), F.col("_n") - F.col("_c") * FRONTIER_CHUNK)
+    return chunks.hint("rebalance").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), part))).drop("_n", "_c", "_i")
 
 
 def resolve_names(names: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -129,12 +155,7 @@ def front_pages(pages: DataFrame) -> DataFrame:
 
     A page that fails its site's test has 0 pages.
     """
-    site = F.col("site")
-    known = route_pages(pages).filter(site.isNotNull() & F.col("html").isNotNull())
-    told = known.select(
-        "page_id", "site", "url", "html", sites.drug_name(site, F.col("html")).alias("drug"),
-        sites.is_review_page(site, F.col("html")).alias("is_reviews"),
-    ).mapInPandas(markup.front_batches, markup.FRONT_SCHEMA)
+    site, told = F.col("site"), page_facts(pages)
     pages_told = F.when(F.col("is_reviews"), sites.page_count(site, sites.digits("total_raw"))).otherwise(0)
     return told.select("page_id", "site", "url", "drug", "is_reviews", pages_told.cast("bigint").alias("pages"))
 

@@ -57,8 +57,8 @@ def front_pages(spark, sf):
 SELECT doc_id AS page_id, {SITE_SQL} AS site, coalesce(quality = 1, false) AS is_reviews
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def page_is_reviews(spark, sf):
-    return front_pages(spark, sf).select(
-        "page_id", "site", sites.is_review_page(F.col("site"), F.col("html")).alias("is_reviews"))
+    fronts = front_pages(spark, sf).withColumn("url", F.lit(""))
+    return collect.page_facts(fronts).select("page_id", "site", "is_reviews")
 
 
 TITLE_SQL = """replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
@@ -76,7 +76,23 @@ FROM pages""")
 def drug_name(spark, sf):
     titled = table(spark, sf, "pages").select("page_id", F.lit("everydayhealth").alias("site"), "html")
     both = front_pages(spark, sf).select("page_id", "site", "html").unionByName(titled)
-    return both.select("page_id", "site", sites.drug_name(F.col("site"), F.col("html")).alias("drug"))
+    return collect.page_facts(both.withColumn("url", F.lit(""))).select("page_id", "site", "drug")
+
+
+@query("rejected_pages", f"""
+SELECT doc_id AS page_id, {PREFIX_SQL} || doc_id AS url, CASE WHEN quality = 0 THEN 'AssertionError' ELSE 'no page' END AS reason
+FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 0) = 0
+UNION ALL SELECT -page_id - 1, url, 'unknown site' FROM pages""")
+def rejected_pages(spark, sf):
+    """Low-quality documents as pages with a declaration that no parser reads, unlabelled ones as pages not fetched."""
+    prefix = sites.by_site(F.col("lang"), {k: F.lit(SITE_PREFIXES[v]) for k, v in SITE_BY_LANG.items()})
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    known = docs.select(
+        F.col("doc_id").alias("page_id"), F.concat(prefix, F.col("doc_id").cast("string")).alias("url"),
+        F.when(F.col("quality") == 0, F.concat(F.lit("<![text["), "text", F.lit("]]>"))).when(F.col("quality") == 1, F.concat(F.lit("<p>"), "text")).alias("html"))
+    other = table(spark, sf, "pages").select((-F.col("page_id") - 1).alias("page_id"), "url", "html")
+    found = collect.rejected_pages(known.unionByName(other))
+    return found.withColumn("reason", F.regexp_replace("reason", "(?s):.*", ""))
 
 
 # ---- reviews on pages: every document rendered as a page of the site ----
@@ -404,9 +420,8 @@ def collect_from_names(spark, sf):
                        total.alias("n_reviews"), front.alias("url"))
     fronts = docs.select(front.alias("url"), F.lit("webmd").alias("site"), total.alias("total"))
     count = sites.page_count(F.lit("webmd"), total)
-    five = F.transform(
-        sites.page_urls(F.lit("webmd"), front, count),
-        lambda url, no: F.struct(url.alias("url"), F.slice("lines", no * 5 + 1, F.lit(5)).alias("lines")))
+    five = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda n: F.struct(
+        sites.page_url(F.lit("webmd"), front, n).alias("url"), F.slice("lines", n * 5 - 4, F.lit(5)).alias("lines")))
     paged = docs.select("doc_id", "source", F.posexplode(five).alias("no", "page"))
     fetched = paged.select(
         (F.col("doc_id") * 100000 + F.col("no")).alias("page_id"), "page.url",

@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import rows
-from pharmatext.functions.markup import parse
+from pharmatext.functions.markup import Where, parse
 from pharmatext.operators import collect
 from pharmatext.plans.dataset import ReviewDataset
 from pharmatext.sources.pages import PAGE_SCHEMA, stream_pages
@@ -51,9 +51,31 @@ def test_optional_columns_are_off_by_default(spark):
 def test_unknown_sites_and_empty_pages_give_no_rows(spark):
     found = pages(spark, ("https://elsewhere.org/x", webmd_page(3)), (W, webmd_page(0)), (W, None), (D, "<p>"))
     assert collect.extract_reviews(found).count() == 0
+    assert rows(collect.rejected_pages(found), "page_id", "reason") == [(0, "unknown site"), (2, "no page")]
+
+
+def test_odd_pages_do_not_end_the_job(spark):
+    broken = (W, "<![foo[" + webmd_page(2) + "]]>")
+    upper = (W, webmd_page(2, "User Reviews &amp; Ratings - St. John&#39;s Wort&reg;").replace("h1>", "H1>"))
+    commented = (W, "<!-- <h1>User Reviews &amp; Ratings - Old</h1> -->" + webmd_page(1, "User Reviews &amp; Ratings - New"))
+    found = pages(spark, broken, upper, commented)
+    got = collect.extract_reviews(found).groupBy("page_id", "drug").count().orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, "St. John's Wort\u00ae", 2), (2, "New", 1)]
+    facts = {r.page_id: (r.is_reviews, r.error is None) for r in collect.page_facts(found).collect()}
+    assert facts == {0: (False, False), 1: (True, True), 2: (True, True)}
     assert rows(collect.rejected_pages(found), "page_id") == [(0,)]
 
 
+def test_huge_counts(spark):
+    html = webmd_page(0) + f'<div id="heading">x</div><span class="totalreviews">{"9" * 24} reviews</span>'
+    assert collect.front_pages(pages(spark, (W, html))).first().pages == 0
+    fronts = spark.createDataFrame([("drugs", "d", 250_000_000)], "site string, url string, pages bigint")
+    assert collect.page_frontier(fronts).limit(3).count() == 3
+    small = spark.createDataFrame([("drugs", "d", 2500)], "site string, url string, pages bigint")
+    numbers = sorted(r.page_no for r in collect.page_frontier(small).collect())
+    assert numbers == list(range(2500))
+
+
 def test_drugs_nullable_rating_and_user_classes(spark):
     def review(i, rating, user):
         score = f'<div class="rating-score">{rating}</div>' if rating else ""
@@ -169,8 +191,8 @@ def test_from_names_to_reviews(spark):
 def test_parser_matches_the_lenient_rules():
     root = parse("<div class='a b'>1<p>2<br>3</div>4<b>5</i></b><script>x<y</script><p/>6")
     assert root.text() == "123456"
-    assert root.first("div", "b").text() == "123" and root.first("div", "a b") is not None
-    assert root.first("div", "c") is None
+    assert root.text(root.first(Where("div", "b"))) == "123" and root.first(Where("div", "a b")) is not None
+    assert root.first(Where("div", "c")) is None
 
 
 def test_streams_equal_the_batch_and_survive_a_restart(spark, tmp_path):
