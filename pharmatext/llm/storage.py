@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,3 +32,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """Number of shuffle tasks the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so once the driver has collected
+    the frames that made them, which long jobs can't wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

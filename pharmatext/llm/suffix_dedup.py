@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pharmatext.llm.storage import tasks
+from pharmatext.llm.storage import release, tasks, written
 from pharmatext.llm.words import _powers, chunks, mix
 
 LENGTH, GRAM = 50, 20
@@ -238,34 +238,53 @@ def _pieces(rows: DataFrame, grams: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array(f, pa.int64()), pa.array(p, pa.binary())], names=["gram", "id", "row", "start", "piece"])
 
     # one list for each document; its size is bounded by the text's
-    lists = grams.groupBy("id").agg(F.collect_list("gram").alias("grams"))
+    lists = written(grams.groupBy("id").agg(F.collect_list("gram").alias("grams")), "grams")
+    release(rows.sparkSession)
     return rows.join(lists, "id").select("id", "row", "text", "grams").mapInArrow(cut, "gram long, id long, row long, start long, piece binary")
 
 
 def _marks(pieces: DataFrame) -> DataFrame:
     """(id, row, spans): runs of window starts to mark, as pairs of first and last start."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
 
-        def work() -> pa.RecordBatch:
-            ids = np.array([h[1] for h in held], dtype=np.int64)
-            out = []
-            for (_, key, row, start, _), least in zip(held, earliest([h[4] for h in held], ids), strict=True):
-                gone = np.flatnonzero(np.diff(np.concatenate([[0], (least < key).astype(np.int8), [0]])))
-                out += [(key, row, start + a, start + b - 1) for a, b in zip(gone[::2].tolist(), gone[1::2].tolist(), strict=True)]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "row", "first", "last"])
+        def work(rows: pa.Table) -> pa.RecordBatch:
+            gram, key, row, start = (rows.column(c).to_numpy() for c in ("gram", "id", "row", "start"))
+            pieces_ = rows.column("piece").to_pylist()
+            seen: dict[bytes, int] = {}
+            number = np.array([seen.setdefault(p, len(seen)) for p in pieces_])
+            sizes = np.array([len(p) for p in pieces_])
+            opens = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            group = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(gram))))
+            # pieces of a gram that are all equal need no sorting
+            alike = (np.maximum.reduceat(number, opens) == np.minimum.reduceat(number, opens))[group]
+            gone = alike & (np.minimum.reduceat(key, opens)[group] < key)
+            out = [np.stack([key[gone], row[gone], start[gone], start[gone] + sizes[gone] - LENGTH])]
+            others = np.flatnonzero(~alike)
+            if len(others):
+                found = []
+                for i, least in zip(others.tolist(), earliest([pieces_[i] for i in others.tolist()], key[others]), strict=True):
+                    turns = np.flatnonzero(np.diff(np.concatenate([[0], (least < key[i]).view(np.int8), [0]])))
+                    found += [(key[i], row[i], start[i] + x, start[i] + y - 1) for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+                out.append(np.array(found, dtype=np.int64).reshape(-1, 4).T)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], names=["id", "row", "first", "last"])
 
         for batch in batches:
-            for item in zip(*[batch.column(c).to_pylist() for c in ("gram", "id", "row", "start", "piece")], strict=True):
-                if size >= GROUP_BYTES and item[0] != held[-1][0]:
-                    yield work()
-                    held, size = [], 0
-                held.append(item)
-                size += len(item[4])
+            if size >= GROUP_BYTES:  # up to where the last gram of what is held ends
+                last, gram = held[-1].column("gram")[-1].as_py(), batch.column("gram").to_numpy()
+                end = int(np.searchsorted(gram, last, side="right"))
+                held.append(batch.slice(0, end))
+                batch = batch.slice(end)
+                if not batch.num_rows:
+                    continue
+                yield work(pa.Table.from_batches(held))
+                held, size = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("piece").nbytes
         if held:
-            yield work()
+            yield work(pa.Table.from_batches(held))
 
     n = tasks(pieces.sparkSession)
     laid = pieces.repartition(n, "gram").sortWithinPartitions("gram")
@@ -301,6 +320,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of one id are told apart by their text
     marked = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     marks = _marks(_pieces(marked.filter("id IS NOT NULL"), _repeated_grams(rows)))
-    spans = marks.groupBy(F.col("id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = written(marks.groupBy(F.col("id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    release(docs.sparkSession)
     met = marked.join(spans, (F.col("id") == F.col("m_id")) & (F.col("row") == F.col("m_row")), "left").select("id", "text", "spans")
     return met.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
