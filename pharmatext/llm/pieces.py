@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pharmatext.llm.storage import written
+from pharmatext.llm.storage import tasks, written
 from pharmatext.llm.words import _hash, _powers, chunks
 
 BLANK = "▁"
@@ -120,18 +120,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
 # ---- the lattice ----
 
 def edges(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, edges): for each word its substrings that are pieces, as structs with their places."""
+    """(word, n, edges): for each word its substrings that are pieces, as structs with their places.
+
+    Words are dealt out once; their substrings stay in that task until they are edges of the word. An
+    empty substring matches an entry of its own, so words without any piece stay too.
+    """
     longest = max(len(p) for p, n in zip(table.pieces, table.normal, strict=True) if n)
-    n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
-    pieces = table.frame(words.sparkSession)
+    dealt, n = words.select("word", "n").repartition(tasks(words.sparkSession), "word"), F.length("word")
+    starts = dealt.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("word", "n", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
+    pieces = table.frame(words.sparkSession).unionByName(words.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, id int, score double"))
     met = spans.withColumn("piece", F.substr("word", F.col("s") + 1, F.col("l"))).join(F.broadcast(pieces), "piece")  # the file's pieces
     inner = F.expr("(shiftleft(1L, s + l) - 1) & ~(shiftleft(1L, s + 1) - 1)")
     edge = F.struct((-F.col("score")).alias("cost"), F.col("s"), (F.col("s") + F.col("l")).alias("e"), "id", inner.alias("inner"), F.expr("shiftleft(1L, s) | shiftleft(1L, s + l)").alias("ends"))
-    found = met.select("word", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    # words without any piece
-    return words.select("word").join(found, "word", "left")
+    return met.select("word", "n", edge.alias("edge")).groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _fallback(table: PieceTable, char: Column) -> Column:
@@ -146,15 +148,12 @@ def _ids_between(table: PieceTable, stops: Column) -> Column:
     """Ids of the path through the sorted places ``stops``."""
     def ids(i: Column) -> Column:
         s, e = F.element_at(stops, i), F.element_at(stops, i + 1)
-        own = F.filter(F.coalesce(F.col("edges"), F.expr("array()").cast(EDGES)), lambda x: (x["s"] == s) & (x["e"] == e))
+        own = F.filter(F.col("edges"), lambda x: (x["s"] == s) & (x["e"] == e))
         return F.when(F.size(own) > 0, F.array(own[0]["id"])).otherwise(_fallback(table, F.substr("word", s + 1, F.lit(1))))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(stops) - 1), ids))
 
 
-EDGES = "array<struct<cost:double,s:int,e:int,id:int,inner:bigint,ends:bigint>>"
-
-
 def merged_stops(edges_: Column, n: Column) -> Column:
     """The fold of BPE files. The state is the set of symbol borders, as bits."""
     def step(mask: Column, _: Column) -> Column:
@@ -185,10 +184,10 @@ def viterbi_stops(edges_: Column, n: Column, unknown_cost: float) -> Column:
 
 
 def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) of every word of a table of distinct words."""
+    """(word, n, ids) of every word of a table of distinct words and their counts."""
     short, long = words.filter(F.length("word") <= LATTICE_CHARS), words.filter(F.length("word") > LATTICE_CHARS)
     lattice = edges(short, table)
-    known, n = F.coalesce(F.col("edges"), F.expr("array()").cast(EDGES)), F.length("word")
+    known, n = F.col("edges"), F.length("word")
     if table.kind == UNIGRAM:
         worst = min(s for s, k in zip(table.scores, table.normal, strict=True) if k)
         stops = viterbi_stops(known, n, 10.0 - worst)
@@ -209,9 +208,9 @@ def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
                 else:  # a word after a line break: shield it from that blank by a break
                     got = library.encode("\n" + w, num_threads=1)
                     out.append(got[(1 if got[0] == blank else 0) + len(library.encode("\n", num_threads=1)) - 1 :])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    return lattice.select("word", ids.alias("ids")).unionByName(long.select("word").mapInArrow(by_library, "word string, ids array<int>"))
+    return lattice.select("word", "n", ids.alias("ids")).unionByName(long.select("word", "n").mapInArrow(by_library, "word string, n long, ids array<int>"))
 
 
 # ---- texts ----
@@ -287,7 +286,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     table = PieceTable.read(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     counts = written(word_counts(rows.select("text")), "words")
-    encoded = written(encoded_words(counts, table).join(counts, "word"), "encoded-words")
+    encoded = written(encoded_words(counts, table), "encoded-words")
     shared = spark.sparkContext.broadcast(frequent_words(encoded, most))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

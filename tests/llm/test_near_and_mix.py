@@ -272,7 +272,7 @@ def test_viterbi_is_the_best_path(spark):
     table = pieces.PieceTable("", tuple(names), tuple(scores), tuple(i > 0 for i in range(len(names))), None, 0, pieces.UNIGRAM)
     random_ = random.Random(6)
     words = sorted({" " + "".join(random_.choice("abx") for _ in range(random_.randint(0, 7))) for _ in range(60)})
-    found = {r.word: r.ids for r in pieces.encoded_words(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
+    found = {r.word: r.ids for r in pieces.encoded_words(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), table).collect()}
     cost = dict(zip(names[1:], scores[1:], strict=True))
     unknown = min(scores) - 10.0
 
