@@ -22,11 +22,11 @@ def text_key(text: Column) -> Column:
 def dedup_text(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """Keep the first row (lowest id) of each distinct text; nulls count as equal.
 
-    The first row is an aggregate, combined before the shuffle: copies of one text are reduced to
-    one row per task, and no task holds a whole group.
+    Only digests and ids are grouped, combined before the shuffle: copies of one text are reduced to
+    one row per task, and no task holds a whole group. Texts move once, to meet the ids that stay.
     """
-    first = F.min_by(F.struct(*df.columns), F.col(id_col)).alias("_row")
-    return df.groupBy(text_key(F.col(text)).alias("_key")).agg(first).select("_row.*")
+    first = df.groupBy(text_key(F.col(text)).alias("_key")).agg(F.min(id_col).alias(id_col))
+    return df.join(first.select(id_col), id_col, "left_semi").select(*df.columns)
 
 
 def clean(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "id") -> DataFrame:

@@ -126,13 +126,13 @@ def append_reviews(stored: DataFrame, new: DataFrame) -> DataFrame:
 def pages_to_do(pages: DataFrame, done: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Pages whose url was not collected before; the rest of an interrupted run."""
     urls = done.select("url").distinct()
-    return join_measured(pages, urls, "url", F.col("page_id"), "left_anti", limit)
+    return join_measured(pages, urls, "url", "left_anti", limit)
 
 
 def pages_of(pages: DataFrame, urls: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Fetched pages whose url is in a list."""
     wanted = urls.select("url").distinct()
-    return join_measured(pages, wanted, "url", F.col("page_id"), "left_semi", limit)
+    return join_measured(pages, wanted, "url", "left_semi", limit)
 
 
 def collect_from_names(
@@ -180,6 +180,6 @@ def follow_hops(hits: DataFrame, pages: DataFrame) -> DataFrame:
         "page_id", F.lit("webmd").alias("site"), F.col("url").alias("name"), "url", "html")
     links = search_hits(landed).filter(~F.col("is_hop")).groupBy(F.col("name").alias("url")).agg(
         F.min_by("url", "page_id").alias("_to"))
-    moved = join_measured(hops, links, "url", F.struct("page_id", "name"), "inner")
+    moved = join_measured(hops, links, "url", "inner")
     moved = moved.withColumn("url", F.col("_to")).withColumn("is_hop", F.lit(False)).select(*hits.columns)
     return hits.filter(~F.col("is_hop")).unionByName(moved)

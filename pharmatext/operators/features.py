@@ -48,7 +48,7 @@ def token_arrays(
         kept = F.filter(found, lambda t: ~rules.rule_tag(t).isin(wanted))
         return df.select(*keep, kept.alias("tokens"))
     rows = df.select(*keep, F.posexplode_outer(found).alias("pos", "token"))
-    tagged = tag_tokens(rows, "token", lexicon, keep[0])
+    tagged = tag_tokens(rows, "token", lexicon)
     kept = F.when(F.col("pos").isNotNull() & ~F.col("tag").isin(wanted), F.struct("pos", "token"))
     # One text per group: it was one row of the input.
     texts = tagged.groupBy(*keep).agg(F.array_sort(F.collect_list(kept)).alias("_p"))
@@ -68,14 +68,14 @@ def token_rows(
 
 
 def tag_tokens(
-    rows: DataFrame, token: str = "token", lexicon: DataFrame | None = None, spread: str = "id"
+    rows: DataFrame, token: str = "token", lexicon: DataFrame | None = None
 ) -> DataFrame:
     """Add ``tag``: from a lexicon ``(term, tag)`` where it has the word, else by rule."""
     by_rule = rules.rule_tag(F.col(token))
     if lexicon is None:
         return rows.withColumn("tag", by_rule)
     known = lexicon.select(F.col("term").alias(token), F.col("tag").alias("_tag"))
-    joined = join_table(rows, known, token, F.col(spread), table_size(lexicon, "term")[1])
+    joined = join_table(rows, known, token, table_size(lexicon, "term")[1])
     return joined.withColumn("tag", F.coalesce("_tag", by_rule)).drop("_tag")
 
 
@@ -113,7 +113,7 @@ class BagOfWords:
         rows = token_rows(df, text, [id_col], self.remove_tags, self.lexicon)
         counts = rows.groupBy(id_col, "term").agg(F.count("term").alias("n"))
         known = self.terms.withColumn("_known", F.lit(True))
-        joined = join_table(counts, known, "term", F.col(id_col), self.n_bytes, limit=limit)
+        joined = join_table(counts, known, "term", self.n_bytes, limit=limit)
         per_text = Window.partitionBy(id_col).orderBy("term")
         whole = per_text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         marked = joined.withColumn("_k", F.count("_known").over(whole)).withColumn(
@@ -131,13 +131,19 @@ def tf_idf(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     counts = materialize(rows.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")), "term_counts")
     doc_freq = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "doc_freq")
     n_texts = df.count()
-    joined = join_table(counts, doc_freq, "term", F.col(id_col), table_size(doc_freq, "term")[1], how="inner")
+    joined = join_table(counts, doc_freq, "term", table_size(doc_freq, "term")[1], how="inner")
     idf = F.log(F.lit(float(n_texts + 1)) / (F.col("df") + 1))
     return joined.select(id_col, "term", "n", "df", (F.col("n") * idf).alias("weight"))
 
 
 # ---- word vectors: a table (term, idx, vec), idx = position in the file from 0 ----
 
+def first_places(table: DataFrame) -> DataFrame:
+    """One row for each word, that of its first place; rows without a word drop. Only words and places are grouped."""
+    first = table.filter(F.col("term").isNotNull()).groupBy("term").agg(F.min("idx").alias("idx"))
+    return table.join(first, ["term", "idx"], "left_semi")
+
+
 @dataclass
 class WordVectors:
     """Word vectors with what the joins need to know about them."""
@@ -150,9 +156,9 @@ class WordVectors:
 
     @staticmethod
     def of(table: DataFrame) -> WordVectors:
-        """Write the table once, then measure it."""
+        """Write the table once, then measure it; of a word that stands twice the first place counts."""
         return WordVectors.stored(materialize(
-            table.select("term", F.col("idx").cast("bigint").alias("idx"), "vec"), "word_vectors"))
+            first_places(table.select("term", F.col("idx").cast("bigint").alias("idx"), "vec")), "word_vectors"))
 
     @staticmethod
     def stored(table: DataFrame) -> WordVectors:
@@ -203,7 +209,7 @@ def mean_vectors(
             *keys, array_to_vector("_new").alias("features"))
     counts = token_rows(df, text, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
     known = vectors.table.select("term", array_to_vector("vec").alias("_v"))
-    joined = join_table(counts, known, "term", F.col(id_col), 2 * vectors.n_bytes, limit=join_limit)
+    joined = join_table(counts, known, "term", 2 * vectors.n_bytes, limit=join_limit)
     hit = F.col("_v").isNotNull()
     zero = array_to_vector(F.array_repeat(F.lit(0.0), vectors.dim))
     sums = joined.groupBy(*keys).agg(
@@ -237,7 +243,7 @@ def tokens_to_indices(
             *keys, F.col("_new").alias("indices"))
     rows = df.select(*keys, F.posexplode_outer(rules.tokens(F.col(text))).alias("pos", "term"))
     known = vectors.table.select("term", (F.col("idx") + 1).cast("int").alias("_i"))
-    joined = join_table(rows, known, "term", F.col(id_col), vectors.n_bytes, limit=join_limit)
+    joined = join_table(rows, known, "term", vectors.n_bytes, limit=join_limit)
     return _in_order(joined, keys, F.coalesce("_i", F.lit(0)), "indices")
 
 
@@ -260,7 +266,7 @@ def indices_to_tokens(
             id_col, F.col("_new").alias("tokens"))
     rows = sequences.select(id_col, F.posexplode_outer("indices").alias("pos", "_i"))
     known = vectors.table.select((F.col("idx") + 1).cast("int").alias("_i"), "term")
-    joined = join_table(rows, known, "_i", F.struct(id_col, "pos"), vectors.n_bytes, limit=join_limit)
+    joined = join_table(rows, known, "_i", vectors.n_bytes, limit=join_limit)
     return _in_order(joined, [id_col], F.col("term"), "tokens")
 
 

@@ -15,16 +15,12 @@ from pharmatext.operators.features import token_rows
 from pharmatext.plans.joins import BROADCAST_BYTES, ROW_BYTES, join_table
 from pharmatext.plans.storage import materialize
 
-MAX_CLASSES = 1000
 SCORE_DECIMALS = 4
 
 
 def class_counts(df: DataFrame, label: str) -> dict[float, int]:
-    """Rows per class in label order; a class set beyond 1000 is an error, not a driver load."""
-    filled = df.filter(F.col(label).isNotNull())
-    found = filled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct values in label column {label}")
+    """Rows per class in label order, without null labels. The class set goes to the driver."""
+    found = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     return {r[label]: r.n for r in sorted(found, key=lambda r: r[label])}
 
 
@@ -69,7 +65,7 @@ class NaiveBayesModel:
         n = range(len(self.labels))
         model = self.table.select("term", *[self.log_theta(i).alias(f"_l{i}") for i in n])
         rows = token_rows(df, text, keys, self.remove_tags, self.lexicon)
-        joined = join_table(rows, model, "term", F.col(id_col), self.n_bytes, limit=limit)
+        joined = join_table(rows, model, "term", self.n_bytes, limit=limit)
         sums = joined.groupBy(*keys).agg(
             *[F.sum(F.coalesce(F.col(f"_l{i}"), F.lit(0.0))).alias(f"_s{i}") for i in n])
         scores = [F.col(f"_s{i}") + F.lit(math.log(self.priors[i])) for i in n]
@@ -104,7 +100,8 @@ class NaiveBayesModel:
 
 def fit(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "id",
         remove_tags: list[str] | None = None, lexicon: DataFrame | None = None) -> NaiveBayesModel:
-    """Count terms per class: one shuffle of (term, counts) after a map-side combine."""
+    """Count terms per class: one shuffle of (term, counts) after a map-side combine. Texts without a label don't count."""
+    df = df.filter(F.col(label).isNotNull())
     sizes = class_counts(df, label)
     labels = list(sizes)
     keep = [label] if lexicon is None else [id_col, label]
@@ -129,12 +126,11 @@ def cross_validate(
     """Predictions ``(id, fold, label, predicted)`` of k models, each blind to the fold it scores.
 
     The terms are counted once per (class, fold). What fold f's model knows is the total minus the
-    fold's own count; a term only seen in fold f is outside that model's vocabulary.
+    fold's own count; a term only seen in fold f is outside that model's vocabulary. Texts without a label are left out.
     """
-    cells = df.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES * k + 1).collect()
+    df = df.filter(F.col(label).isNotNull())
+    cells = df.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n")).collect()
     labels = sorted({r[label] for r in cells})
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct values in label column {label}")
     folds, classes = range(k), range(len(labels))
     rows = token_rows(df, text, [label, fold]).filter(F.col("term").isNotNull())
     name = lambda c, f: f"c{c}_{f}"
@@ -171,7 +167,7 @@ def cross_validate(
     keys = [id_col, fold, label]
     n_bytes = sums.b + sums.n * (ROW_BYTES + 8 * k * len(labels))
     docs = token_rows(df, text, keys)
-    joined = join_table(docs, model, "term", F.col(id_col), n_bytes, limit=limit)
+    joined = join_table(docs, model, "term", n_bytes, limit=limit)
     scored = joined.groupBy(*keys).agg(*[
         F.sum(F.coalesce(F.get(f"_l{c}", F.col(fold)), F.lit(0.0))).alias(f"_s{c}") for c in classes])
 

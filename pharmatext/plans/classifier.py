@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,6 +31,8 @@ class ModelSpec:
     learner: str = "nb"
     representation: str | None = None
     remove_tags: list[str] = field(default_factory=list)
+    hashed_terms: int = learners.HASHED_TERMS  # columns of the term counts of rf and svm
+    depth: int = learners.MAX_DEPTH  # of the trees of rf
 
     def checked(self) -> ModelSpec:
         """The spec with its default filled in; a pair that cannot work is an error."""
@@ -42,7 +44,7 @@ class ModelSpec:
             raise ValueError(f"{self.learner} works with {', '.join(allowed)}, not with {wanted}")
         if wanted == "pos" and not self.remove_tags:
             raise ValueError("the pos representation needs the tags to remove")
-        return ModelSpec(self.learner, wanted, self.remove_tags if wanted == "pos" else [])
+        return replace(self, representation=wanted, remove_tags=self.remove_tags if wanted == "pos" else [])
 
 
 @dataclass
@@ -65,8 +67,8 @@ class TrainedModel:
         """Learner, spec, word vectors and lexicon below one path."""
         spark = SparkSession.active()
         row = (self.spec.learner, self.spec.representation, ",".join(self.spec.remove_tags),
-               self.lexicon is not None)
-        columns = "learner string, representation string, remove_tags string, has_lexicon boolean"
+               self.lexicon is not None, self.spec.hashed_terms, self.spec.depth)
+        columns = "learner string, representation string, remove_tags string, has_lexicon boolean, hashed_terms int, depth int"
         spark.createDataFrame([row], columns).coalesce(1).write.mode(mode).parquet(f"{path}/spec")
         if isinstance(self.fitted, NaiveBayesModel):
             self.fitted.save(f"{path}/learner", mode)
@@ -81,7 +83,7 @@ class TrainedModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> TrainedModel:
         row = spark.read.parquet(f"{path}/spec").first()
-        spec = ModelSpec(row.learner, row.representation, row.remove_tags.split(",") if row.remove_tags else [])
+        spec = ModelSpec(row.learner, row.representation, row.remove_tags.split(",") if row.remove_tags else [], row.hashed_terms, row.depth)
         lexicon = spark.read.parquet(f"{path}/lexicon") if row.has_lexicon else None
         vectors = None
         if spec.representation in ("embedding", "matrix"):
@@ -100,7 +102,7 @@ def vectorize(spec: ModelSpec, df: DataFrame, text: str, keys: list[str],
         return features.mean_vectors(df, vectors, text, keys[0], keys[1:])
     if spec.representation == "matrix":
         return learners.conv_features(df, vectors, text, keys[0], keys[1:])
-    return learners.hashed_counts(df, text, keys, remove_tags=spec.remove_tags, lexicon=lexicon)
+    return learners.hashed_counts(df, text, keys, spec.hashed_terms, spec.remove_tags, lexicon)
 
 
 class TextClassifier:
@@ -108,8 +110,8 @@ class TextClassifier:
 
     def __init__(self, learner: str = "nb", representation: str | None = None,
                  vectors: WordVectors | None = None, remove_tags: list[str] | None = None,
-                 lexicon: DataFrame | None = None):
-        self.spec = ModelSpec(learner, representation, list(remove_tags or [])).checked()
+                 lexicon: DataFrame | None = None, hashed_terms: int = learners.HASHED_TERMS, depth: int = learners.MAX_DEPTH):
+        self.spec = ModelSpec(learner, representation, list(remove_tags or []), hashed_terms, depth).checked()
         self.vectors, self.lexicon = vectors, lexicon
 
     def fit(self, data: TextDataset, output: str | None = None) -> TrainedModel:
@@ -119,11 +121,12 @@ class TextClassifier:
             fitted = naive_bayes.fit(df, text, label, id_col, self.spec.remove_tags or None, self.lexicon)
         else:
             rows = vectorize(self.spec, df, text, [id_col, label], self.vectors, self.lexicon)
-            fit = {"rf": learners.fit_forest, "cnn": learners.fit_conv}.get(self.spec.learner)
-            if fit:
-                fitted = fit(rows, label)
+            if self.spec.learner == "rf":
+                fitted = learners.fit_forest(rows, label, depth=self.spec.depth)
+            elif self.spec.learner == "cnn":
+                fitted = learners.fit_conv(rows, label)
             else:
-                dim = self.vectors.dim if self.spec.representation == "embedding" else learners.HASHED_TERMS
+                dim = self.vectors.dim if self.spec.representation == "embedding" else self.spec.hashed_terms
                 fitted = learners.fit_svm(rows, dim, label)
         model = TrainedModel(self.spec, fitted, self.vectors, self.lexicon)
         if output:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pharmatext.functions.ratings import label_threshold
 from pharmatext.operators import clean, collect, labelling, stats
+from pharmatext.plans.ranking import with_rank
 from pharmatext.plans.storage import materialize
 from pharmatext.sources import text_files
 
@@ -66,9 +67,14 @@ class ReviewDataset(TextDataset):
         return ReviewDataset(flat, id=id_col, **options).cleaned_and_labelled()
 
     def cleaned_and_labelled(self) -> ReviewDataset:
-        source = "label" if "label" in self.table.columns else self.stars
-        cleaned = clean.clean(self.table, self.text, source, self.id)
-        return self.with_table(labelling.label_stars(cleaned, self.stars, self.num_classes))
+        """Labels come from the star type; where a site rates with one number, from that number."""
+        table = self.table
+        if "label" in table.columns:
+            return self.with_table(clean.clean(table, self.text, "label", self.id))
+        given = [F.col(c).cast("double") for c in (self.stars, "rating_scalar") if c in table.columns]
+        rated = table.withColumn("_rating", F.coalesce(*given, F.lit(None).cast("double")))
+        cleaned = clean.clean(rated, self.text, "_rating", self.id)
+        return self.with_table(labelling.label_stars(cleaned, "_rating", self.num_classes).drop("_rating"))
 
     def label_by_threshold(self, positive: float = 4.0, negative: float = 2.0) -> ReviewDataset:
         label = label_threshold(self.table[self.stars], positive, negative)
@@ -106,7 +112,8 @@ class ReviewDataset(TextDataset):
         flat = labelling.explode_ratings(reviews, star_types, "rating_map")
         stored = labelling.explode_ratings(self.table, star_types, "rating_map").drop("label")
         united = collect.append_reviews(stored, flat.withColumnRenamed("review_id", self.id))
-        return self.with_table(united).cleaned_and_labelled()
+        grown = self.with_table(united).cleaned_and_labelled()
+        return grown.with_table(materialize(grown.table, "reviews"))  # later growth starts from here
 
     def _next_id(self) -> int:
         last = self.table.agg({self.id: "max"}).first()[0]
@@ -114,6 +121,9 @@ class ReviewDataset(TextDataset):
 
 
 def number_reviews(reviews: DataFrame, start: int = 0) -> DataFrame:
-    """``review_id`` from the page's id and the place on it: in page order, without a sort."""
-    number = F.lit(start) + F.shiftleft(F.col("page_id"), 20) + F.col("pos")
-    return reviews.select(number.alias("review_id"), "*").drop("page_id", "pos")
+    """``review_id`` in the order of pages and places on them. The reviews are stored first, so the pages
+    are parsed once; only page ids and places are sorted."""
+    stored = materialize(reviews, "extracted")
+    places = with_rank(stored.select("page_id", "pos"), ["page_id", "pos"], name="_rank")
+    numbered = stored.join(places, ["page_id", "pos"])
+    return numbered.select((F.lit(start) + F.col("_rank")).alias("review_id"), *[c for c in reviews.columns if c not in ("page_id", "pos")])

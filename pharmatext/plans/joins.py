@@ -1,17 +1,18 @@
 """Joins of a token-sized frame with a vocabulary-sized table.
 
 Word frequencies follow a power law, so a plain shuffle join on the word puts a large share of all
-rows in one task. The table is broadcast while its measured size is small; beyond that the join key
-is salted.
+rows in one task. The table is broadcast while its measured size is small; beyond that adaptive
+execution splits the hot keys of a shuffle join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from pharmatext.plans.storage import materialize
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_BYTES = 64  # what a row of a broadcast table needs beside its key
-SALTS = 32
 
 
 def table_size(table: DataFrame, key: str, row_bytes: int = ROW_BYTES) -> tuple[int, int]:
@@ -22,30 +23,19 @@ def table_size(table: DataFrame, key: str, row_bytes: int = ROW_BYTES) -> tuple[
 
 
 def join_table(
-    rows: DataFrame,
-    table: DataFrame,
-    on: str,
-    spread: Column,
-    n_bytes: int,
-    how: str = "left",
-    limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    rows: DataFrame, table: DataFrame, on: str, n_bytes: int, how: str = "left", limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``rows`` (large, skewed on ``on``) with ``table`` (unique on ``on``, ``n_bytes`` large).
 
-    ``spread`` is a column of ``rows`` that varies within one key (the document id); it picks the
-    salt, so that one hot key is spread over ``salts`` tasks. The table is repeated per salt.
+    Beyond ``limit`` it is a shuffle join whose hot keys the engine splits at run time (adaptive
+    execution): a part of the table is read again only where a split needs it.
     """
-    if n_bytes <= limit:
-        return rows.join(F.broadcast(table), on, how)
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    return rows.join(F.broadcast(table) if n_bytes <= limit else table, on, how)
 
 
 def join_measured(
-    rows: DataFrame, table: DataFrame, on: str, spread: Column, how: str,
-    limit: int = BROADCAST_BYTES,
+    rows: DataFrame, table: DataFrame, on: str, how: str, limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``join_table`` with a table that is measured first (one pass over its key column)."""
-    return join_table(rows, table, on, spread, table_size(table, on)[1], how, limit)
+    """``join_table`` with a table that is stored and measured first, so that it is computed once."""
+    table = materialize(table, "join_side")
+    return join_table(rows, table, on, table_size(table, on)[1], how, limit)

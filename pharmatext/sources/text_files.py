@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from pharmatext.functions.fixed_values import NA_STRINGS
 from pharmatext.functions.sites import strip
 from pharmatext.operators.labelling import explode_ratings
 from pharmatext.plans.joins import BROADCAST_BYTES, table_size
 
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def with_line_order(df: DataFrame, name: str = "id") -> DataFrame:
@@ -38,21 +38,42 @@ def _clean_na(value: Column) -> Column:
     return F.when(~value.isin(NA_STRINGS), value)
 
 
+def _inferred(raw: DataFrame) -> StructType:
+    """The narrowest type that all values of each text column have, missing ones aside."""
+    kinds = {"int": IntegerType(), "bigint": LongType(), "double": DoubleType(), "boolean": BooleanType()}
+    checks = []
+    for i, name in enumerate(raw.columns):
+        value = _clean_na(F.col(f"`{name}`"))
+        checks.append(F.count(value).alias(f"n{i}"))
+        checks += [F.count(value.try_cast(kind)).alias(f"{kind}{i}") for kind in kinds]
+        checks.append(F.count_if(value.rlike("^(?i:true|false)$")).alias(f"truth{i}"))
+    seen = raw.agg(*checks).first()
+
+    def kind(i: int):
+        if not seen[f"n{i}"]:
+            return StringType()
+        if seen[f"truth{i}"] == seen[f"n{i}"]:
+            return BooleanType()
+        return next((kinds[k] for k in ("int", "bigint", "double") if seen[f"{k}{i}"] == seen[f"n{i}"]), StringType())
+
+    return StructType([StructField(name, kind(i)) for i, name in enumerate(raw.columns)])
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: StructType | str | None = None,
-    id_col: str | None = None,
+    id_col: str | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header; the usual missing-value strings become null.
 
     Give a ``schema`` for typed columns: types come from casts after the missing values are gone.
-    Without one, types are inferred from a pass over the data. Quoted fields may hold line breaks,
-    so one file is one task: store large sets as many files. A missing path is an error.
+    Without one, types (whole number, number, truth value, else text; never a date) are inferred from
+    a pass over the values that are not missing. With ``multi_line`` quoted fields may hold line
+    breaks, and one file is one task; without, large files are split. A missing path is an error.
     """
-    reader = spark.read.options(**CSV_OPTIONS)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower())
     if schema is None:
-        table = reader.option("inferSchema", "true").csv(path)
-        typed = table.schema
-        raw = table
+        raw = reader.csv(path)
+        typed = _inferred(raw)
     else:
         typed = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         raw = reader.schema(StructType([StructField(f.name, StringType()) for f in typed])).csv(path)
@@ -60,9 +81,8 @@ def read_csv(
     columns = []
     for field in typed.fields:
         value = F.col(f"`{field.name}`")
-        if schema is not None or isinstance(field.dataType, StringType):
-            value = _clean_na(value)
-        if schema is not None and not isinstance(field.dataType, StringType):
+        value = _clean_na(value)
+        if not isinstance(field.dataType, StringType):
             value = value.try_cast(field.dataType)
         columns.append(value.alias(field.name))
     return numbered.select(*columns, *([id_col] if id_col else []))

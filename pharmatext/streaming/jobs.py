@@ -1,14 +1,13 @@
 """Collecting and scoring as streams; the stream's checkpoint holds what is done.
 
-Both jobs write with ``foreachBatch``: a batch that is run again after a failure overwrites its own
-output folder, so every row is stored once.
+Collecting writes through the file sink, whose commits are exactly-once. Scoring writes with
+``foreachBatch``: a batch that is run again after a failure overwrites its own output folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from pharmatext.operators.clean import text_key
 from pharmatext.operators.collect import extract_reviews
@@ -27,36 +26,18 @@ def collect_stream(pages: DataFrame, output: str, checkpoint: str, **columns: bo
     )
 
 
-def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """What earlier batches stored; the output of a failed run of this batch does not count."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < before)
-    except AnalysisException:
-        return None
-
-
 def collect_distinct_stream(
     pages: DataFrame, output: str, checkpoint: str, **columns: bool
 ) -> StreamingQuery:
-    """As ``collect_stream``, with each comment stored once, over all batches.
+    """As ``collect_stream``, with each comment stored once (one of its copies), over all batches.
 
-    Only digests of the stored comments are read back for the check.
+    The digests seen so far are the stream's keyed state, so a batch costs what it brings, not what
+    went before. For long streams set the RocksDB state store, which keeps them on disk.
     """
-
-    def store(batch: DataFrame, number: int) -> None:
-        # A frame inside foreachBatch belongs to the stream's own session.
-        spark = batch.sparkSession
-        order = F.struct("page_id", "pos")
-        first = batch.groupBy(text_key(F.col("comment")).alias("text_key")).agg(
-            F.min_by(F.struct(*batch.columns), order).alias("_row")).select("text_key", "_row.*")
-        old = _stored(spark, output, number)
-        if old is not None:
-            first = first.join(old.select("text_key"), "text_key", "left_anti")
-        first.write.mode("overwrite").parquet(f"{output}/batch={number}")
-
-    reviews = extract_reviews(pages, **columns)
+    reviews = extract_reviews(pages, **columns).withColumn("text_key", text_key(F.col("comment")))
     return (
-        reviews.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        reviews.dropDuplicates(["text_key"]).writeStream.format("parquet")
+        .option("path", output).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 

@@ -342,7 +342,7 @@ def search_page_hits(spark, sf):
         "page_id", F.concat(F.lit("https://www.webmd.com/drugs/drug-"), number).alias("url"),
         F.concat(F.lit('<a class="drug-review" href="/drugs/drugreview-'), number, F.lit('">r</a>')).alias("html"))
     hits = collect.follow_hops(materialize(collect.search_hits(results), "hits"), between)
-    ordered = hits.withColumn("name", F.struct("site", "name")).withColumn("pos", F.col("page_id") * 1000 + F.col("pos"))
+    ordered = hits.withColumn("name", F.struct("site", "name")).withColumn("pos", F.col("page_id").cast("decimal(19,0)") * (1 << 31) + F.col("pos"))
     return collect.best_candidates(ordered).select("name.site", "name.name", "url")
 
 

@@ -199,9 +199,7 @@ FROM (SELECT doc_id AS page_id, source, string_split(text, chr(10)) AS _l FROM d
 
 STRIP_SQL = r"'^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g'"
 
-# ---- word vectors: the words seen at least five times, most frequent first ----
-
-MIN_COUNT = 5
+# ---- word vectors: all words, most frequent first ----
 
 
 def word_vector_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +211,7 @@ def word_vector_table(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     n = vectors.count()
     words = tokenize(texts(spark, sf)).groupBy(F.col("token").alias("term")).agg(F.count("pos").alias("n"))
-    words = materialize(words.filter(F.col("n") >= MIN_COUNT), "words")
+    words = materialize(words, "words")
     ranked = with_global_rank(words, "n", "term", descending=True, name="idx")
     digest = F.conv(F.substring(F.md5(F.encode("term", "UTF-8")), 1, 8), 16, 10).cast("bigint")
     return ranked.withColumn("vec_id", digest % n).join(vectors, "vec_id").select("term", "idx", "vec")
@@ -223,5 +221,4 @@ WORD_VECTORS_SQL = f"""
 SELECT term, idx, embedding AS vec FROM (
   SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS idx,
          ('0x' || substr(md5(term), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id
-  FROM (SELECT term, count(*) AS n FROM ({token_rows_sql(TEXTS_SQL)}) GROUP BY term)
-  WHERE n >= {MIN_COUNT}) JOIN embeddings USING (vec_id)"""
+  FROM (SELECT term, count(*) AS n FROM ({token_rows_sql(TEXTS_SQL)}) GROUP BY term)) JOIN embeddings USING (vec_id)"""

@@ -291,3 +291,40 @@ def test_results_do_not_depend_on_partitions(spark, data):
         assert run(1) == run(7)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_repeated_words_count_at_their_first_place_on_every_path(spark):
+    from pharmatext.operators.features import WordVectors, indices_to_tokens, mean_vectors, tokens_to_indices
+
+    table = spark.createDataFrame([("pill", 0, [1.0, 1.0]), ("dose", 1, [4.0, 4.0]), ("pill", 2, [9.0, 9.0])], "term string, idx bigint, vec array<float>")
+    vectors = WordVectors.of(table)
+    assert vectors.n_words == 2
+    texts = spark.createDataFrame([(1, "dose pill"), (2, "pill pill unknown")], "id bigint, text string")
+    for limit in (1 << 27, 0):
+        got = {r.id: (r.indices) for r in tokens_to_indices(texts, vectors, limit=limit, join_limit=limit).collect()}
+        assert got == {1: [2, 1], 2: [1, 1, 0]}
+        back = indices_to_tokens(tokens_to_indices(texts, vectors), vectors, limit=limit, join_limit=limit)
+        assert {r.id: r.tokens for r in back.collect()} == {1: ["dose", "pill"], 2: ["pill", "pill", None]}
+        means = {r.id: list(r.features) for r in mean_vectors(texts, vectors, limit=limit, join_limit=limit).collect()}
+        assert means == {1: [2.5, 2.5], 2: [1.0, 1.0]}
+
+
+def test_texts_without_a_label_do_not_count(spark):
+    from pharmatext.operators import naive_bayes
+
+    rows_ = [(i, f"word{i % 3} common", float(i % 2), i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows_, "id bigint, text string, label double, fold int")
+    more = df.unionByName(spark.createDataFrame([(99, "stray other", None, 1)], df.schema))
+    assert sorted(map(tuple, naive_bayes.fit(more).terms().collect())) == sorted(map(tuple, naive_bayes.fit(df).terms().collect()))
+    assert sorted(map(tuple, naive_bayes.cross_validate(more, 2).collect())) == sorted(map(tuple, naive_bayes.cross_validate(df, 2).collect()))
+
+
+def test_hash_width_and_depth_are_saved_with_the_model(spark, tmp_path):
+    from pharmatext.plans.classifier import TextClassifier, TrainedModel
+    from pharmatext.plans.dataset import TextDataset
+
+    df = spark.createDataFrame([(i, f"good fine {i}" if i % 2 else f"bad awful {i}", float(i % 2)) for i in range(20)], "id bigint, text string, label double")
+    TextClassifier("rf", hashed_terms=64, depth=3).fit(TextDataset(df), output=str(tmp_path / "m"))
+    loaded = TrainedModel.load(spark, str(tmp_path / "m"))
+    assert (loaded.spec.hashed_terms, loaded.spec.depth) == (64, 3)
+    assert loaded.predict(df, keep=["label"]).filter("predicted != label").count() == 0

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pharmatext.functions.markup import Where, parse
 from pharmatext.operators import collect
-from pharmatext.plans.dataset import ReviewDataset
+from pharmatext.plans.dataset import ReviewDataset, number_reviews
 from pharmatext.sources.pages import PAGE_SCHEMA, stream_pages
 from pharmatext.streaming.jobs import collect_distinct_stream, collect_stream
 
@@ -151,7 +151,7 @@ def test_best_candidate_ties_and_misses(spark):
     assert rows(collect.names_not_found(names, hits)) == [("ACE",), ("garbage",)]
 
 
-def test_salted_page_joins_equal_plain_ones(spark):
+def test_shuffled_page_joins_equal_broadcast_ones(spark):
     urls = ["https://hot"] * 60 + [f"https://u{i}" for i in range(40)]
     found = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], PAGE_SCHEMA)
     done = spark.createDataFrame([("https://hot",), ("https://u1",)], "url string")
@@ -168,6 +168,35 @@ def test_dataset_grows_and_labels(spark):
     assert {r.label for r in more.table.collect()} == {1.0}
 
 
+def test_dataset_takes_map_and_number_sites_and_parses_once(spark):
+    drugs = ('<h1>User Reviews for Abilify (Page 1)</h1>' + "".join(
+        f'<div class="ddc-comment"><p class="ddc-comment-content"><span>text {i}</span></p><div class="rating-score">{i}.0</div></div>' for i in (1, 2, 4, 5)))
+    found = pages(spark, (W, webmd_page(3)), (D, drugs))
+    parsed = spark.sparkContext.accumulator(0)
+    data = ReviewDataset.empty(spark).collect(counted(found, parsed))
+    assert sorted((r.site, r.label) for r in data.table.collect()) == [("drugs", 0.0)] * 2 + [("drugs", 1.0)] * 2 + [("webmd", 1.0)] * 3
+    more = data.collect(counted(pages(spark, (D, drugs.replace("text", "other"))), parsed))
+    assert more.table.count() == 11 and more.stats().count() == 2
+    assert parsed.value == 3
+
+
+def counted(found, parsed):
+    """The pages, counting how often each is read."""
+    def read(batches):
+        for b in batches:
+            parsed.add(b.num_rows)
+            yield b
+
+    return found.mapInArrow(read, found.schema)
+
+
+def test_review_ids_of_far_apart_pages(spark):
+    far = [(1, 0), (1, 1 << 21), (1 + (1 << 44), 0), (1 + (1 << 44), 5)]
+    reviews = spark.createDataFrame([(p, q, f"t{p}-{q}") for p, q in far], "page_id bigint, pos bigint, comment string")
+    numbered = number_reviews(reviews, 10)
+    assert rows(numbered, "review_id", "comment") == [(10 + i, f"t{p}-{q}") for i, (p, q) in enumerate(far)]
+
+
 def test_from_names_to_reviews(spark):
     front = W + "?drugid=8953"
     results = spark.createDataFrame([

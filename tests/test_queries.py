@@ -52,4 +52,4 @@ def test_scores_every_row_within_the_labels(spark, sf, name):
     assert {r.predicted for r in found} <= labels
     right = sum(r.predicted == r.label for r in found) / len(found)
     largest = max(sum(r.label == x for r in found) for x in labels) / len(found)
-    assert right >= largest  # at least as good on the training rows as the largest class
+    assert right >= largest + 0.3 * (1 - largest)  # well beyond what a constant answer gets right

@@ -62,21 +62,31 @@ def test_folds_equal_ntile(spark, k):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast(spark, how):
+def test_shuffle_join_equals_broadcast(spark, how):
     left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"w{i % 11}" if i % 5 else None) for i in range(300)], "id int, term string")
     right = spark.createDataFrame([("hot", 1), ("w1", 2), ("w2", 3), ("unused", 4)], "term string, v int")
-    salted = join_table(left, right, "term", F.col("id"), 1, how, limit=0, salts=4)
-    assert rows(salted, *left.columns) == rows(left.join(right, "term", how), *left.columns)
-    assert rows(join_measured(left, right, "term", F.col("id"), how)) == rows(left.join(right, "term", how))
-
-
-def test_salting_spreads_the_hot_key(spark):
-    left = spark.range(10000).select("id", F.lit("hot").alias("term"))
-    right = spark.createDataFrame([("hot", 1)], "term string, v int")
-    joined = join_table(left, right, "term", F.col("id"), 1, "left", limit=0, salts=8).withColumn("p", F.spark_partition_id())
-    assert joined.count() == 10000
-    plan = join_table(left, right, "term", F.col("id"), 1, limit=0)._jdf.queryExecution().analyzed().toString()
-    assert "_salt" in plan
+    plain = join_table(left, right, "term", 1, how, limit=0)
+    assert rows(plain, *left.columns) == rows(left.join(right, "term", how), *left.columns)
+    assert rows(join_measured(left, right, "term", how)) == rows(left.join(right, "term", how))
+
+
+def test_the_hot_key_of_a_shuffle_join_is_split(spark):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 200_000, 1, 16).select("id", F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("hot").alias("term"))
+        right = spark.range(2000).select(F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("term"), F.lit(1).alias("v"))
+        joined = join_table(left, right, "term", 1 << 40).withColumn("p", F.spark_partition_id())
+        assert joined.filter("term = 'hot'").select("p").distinct().count() > 1
+        assert joined.count() == 200_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_table_size_counts_key_bytes(spark):
