@@ -11,6 +11,7 @@ column are read, so further columns of any name don't matter.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ PATTERN = (
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Bounds of the two tiers (entries) and of the rows from which the first is learned.
-FREQUENT, CACHED, SAMPLE_ROWS, SAMPLE_TOP = 1 << 16, 1 << 19, 20_000, 1 << 14
+FREQUENT, CACHED, SAMPLE_ROWS, SAMPLE_TOP = 1 << 16, 1 << 17, 20_000, 1 << 14
 
 
 def special_strings(model_path: str) -> list[str]:
@@ -83,12 +84,24 @@ class TokenCounter:
         return total
 
 
+_IN_WORKER: dict[str, TokenCounter] = {}
+
+
+def in_worker(model_path: str, frequent: dict[str, int]) -> TokenCounter:
+    """The counter of this worker process: it and its cache outlive the task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
+    if model_path not in _IN_WORKER:
+        _IN_WORKER[model_path] = TokenCounter(model_path, frequent)
+    _IN_WORKER[model_path].frequent = frequent
+    return _IN_WORKER[model_path]
+
+
 def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -> dict[str, int]:
     """Token counts of frequent pre-tokens: each task's commonest of about ``SAMPLE_ROWS`` rows, at
     most ``FREQUENT`` in all. Which words are in it changes only the speed."""
 
     def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = TokenCounter(model_path, {}), Counter()
+        counter, seen = in_worker(model_path, {}), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(counter.pieces(text or "")[0])
@@ -115,7 +128,7 @@ def token_counts(docs: DataFrame, model_path: str, max_tokens: int = 1024, id_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
-            counter = counter or TokenCounter(model_path, known.value)
+            counter = counter or in_worker(model_path, known.value)
             texts = batch.column("text").to_pylist()
             n_bytes = [len((t or "").encode()) for t in texts]
             n_tokens = [counter.count(t) if t else 0 for t in texts]
