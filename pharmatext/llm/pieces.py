@@ -13,7 +13,7 @@ Characters without a piece become byte pieces (or the unknown piece where the fi
 more than ``LATTICE_CHARS`` characters, whose lattice would be long, are encoded by the library.
 
 Words go back to the texts in two tiers. A table of the most frequent words (at most ``FREQUENT``,
-about 60 MB) is broadcast as arrays; other words are looked up by a join on the word and reach their
+about 30 MB) is broadcast as arrays; other words are looked up by a join on the word and reach their
 text by its id. Null and empty texts have no ids. Rows of one id are told apart by a digest of the
 text; repeated rows get the same ids. White space other than blanks is kept, so decoding gives the
 text back, but for the sign that the library itself uses for a blank.
@@ -33,7 +33,7 @@ from pharmatext.llm.words import _hash, _powers, chunks
 
 BLANK = "▁"
 LATTICE_CHARS = 62
-FREQUENT = 1 << 21
+FREQUENT = 1 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -218,14 +218,22 @@ def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
 class Vocabulary:
     """Frequent words as arrays: sorted hashes, and the ids of each."""
 
-    def __init__(self, words: list[str], ids: list[np.ndarray]):
-        parts = [w.encode("utf-8", "surrogatepass") for w in words]
-        hashes = np.concatenate([np.empty(0, dtype=np.uint64), *[_whole_hashes(parts[i : i + 50_000]) for i in range(0, len(parts), 50_000)]])
+    def __init__(self, words: pa.StringArray, ids: pa.ListArray):
+        words = words.cast(pa.large_string())  # offsets of 64 bits, whatever the session gives
+        starts = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(words.buffers()[2], dtype=np.uint8) if len(words) else np.empty(0, dtype=np.uint8)
+        parts = [np.empty(0, dtype=np.uint64)]
+        for i in range(0, len(words), 50_000):
+            ends = starts[i : i + 50_001]
+            parts.append(_whole_hashes(data[ends[0] : ends[-1]], ends - ends[0]))
+        hashes = np.concatenate(parts)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        sizes = np.array([len(ids[i]) for i in order], dtype=np.int64)
+        at = ids.offsets.to_numpy().astype(np.int64) if len(ids) else np.zeros(1, dtype=np.int64)
+        sizes = np.diff(at)[order]
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = np.concatenate([ids[i] for i in order]).astype(np.int32) if words else np.empty(0, dtype=np.int32)
+        take = np.repeat(at[:-1][order] - self.bounds[:-1], sizes) + np.arange(self.bounds[-1])
+        self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)[take] if len(ids) else np.empty(0, dtype=np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
@@ -235,11 +243,8 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def _whole_hashes(parts: list[bytes]) -> np.ndarray:
-    """The hash of each byte string, as ``words_in`` would give it."""
-    bounds = np.zeros(len(parts) + 1, dtype=np.int64)
-    np.cumsum([len(p) for p in parts], out=bounds[1:])
-    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+def _whole_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes, as ``words_in`` would give it."""
     powers, inverses = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
@@ -255,14 +260,13 @@ def frequent_words(encoded: DataFrame, most: int = FREQUENT) -> Vocabulary:
         if held > most:
             break
         least = n
+    none = Vocabulary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
     if least is None:
-        return Vocabulary([], [])
-    got = encoded.filter(F.col("n") >= least).select("word", "ids").toArrow().combine_chunks()
+        return none
+    got = encoded.filter(F.col("n") >= least).select("word", "ids").toArrow()
     if not got.num_rows:
-        return Vocabulary([], [])
-    flat = got.column("ids").combine_chunks()
-    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    return Vocabulary(got.column("word").to_pylist(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        return none
+    return Vocabulary(*[pa.concat_arrays(got.column(c).chunks) for c in ("word", "ids")])
 
 
 def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
