@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from pharmatext.llm.words import process_wide
+
 #: The split pattern of byte-level BPE files, with the white space that their library knows.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = (
@@ -84,16 +86,12 @@ class TokenCounter:
         return total
 
 
-_IN_WORKER: dict[str, TokenCounter] = {}
-
-
 def in_worker(model_path: str, frequent: dict[str, int]) -> TokenCounter:
     """The counter of this worker process: it and its cache outlive the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
-    if model_path not in _IN_WORKER:
-        _IN_WORKER[model_path] = TokenCounter(model_path, frequent)
-    _IN_WORKER[model_path].frequent = frequent
-    return _IN_WORKER[model_path]
+    counter = process_wide(f"counter of {model_path}", lambda: TokenCounter(model_path, frequent))
+    counter.frequent = frequent
+    return counter
 
 
 def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -> dict[str, int]:

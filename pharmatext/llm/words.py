@@ -6,7 +6,9 @@ hashes are 64-bit and depend on the characters alone, so every worker computes t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -17,7 +19,15 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def process_wide(name: str, make: Callable[[], object]):
+    """An object that this process keeps from task to task. It lives outside this module, whose own
+    variables are sent along with each function."""
+    store = sys.modules.setdefault("_pharmatext_llm_state", types.ModuleType("_pharmatext_llm_state"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,12 +43,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    known = process_wide("powers", list)
+    if not known or len(known[0]) < n:
+        known.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(max(n, 2 * CHUNK_BYTES), base, dtype=np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            known.append(np.cumprod(steps, dtype=np.uint64))
+    return known[0][:n], known[1][:n]
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, ...]:
