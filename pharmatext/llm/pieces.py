@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pharmatext.llm.storage import tasks, written
+from pharmatext.llm.storage import setting, tasks, written
 from pharmatext.llm.words import _hash, _powers, chunks
 
 BLANK = "▁"
 LATTICE_CHARS = 62
 FREQUENT = 1 << 20
+#: Words are dealt to so many parts for each task, so that the edges of one part are grouped in memory.
+PARTS_PER_TASK, GROUPED_IN_MEMORY = 8, 1 << 16
 UNIGRAM, BPE = 1, 2
 
 
@@ -126,7 +128,7 @@ def edges(words: DataFrame, table: PieceTable) -> DataFrame:
     empty substring matches an entry of its own, so words without any piece stay too.
     """
     longest = max(len(p) for p, n in zip(table.pieces, table.normal, strict=True) if n)
-    dealt, n = words.select("word", "n").repartition(tasks(words.sparkSession), "word"), F.length("word")
+    dealt, n = words.select("word", "n").repartition(PARTS_PER_TASK * tasks(words.sparkSession), "word"), F.length("word")
     starts = dealt.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "n", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
     pieces = table.frame(words.sparkSession).unionByName(words.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, id int, score double"))
@@ -156,12 +158,13 @@ def _ids_between(table: PieceTable, stops: Column) -> Column:
 
 def merged_stops(edges_: Column, n: Column) -> Column:
     """The fold of BPE files. The state is the set of symbol borders, as bits."""
-    def step(mask: Column, _: Column) -> Column:
-        fits = F.filter(edges_, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
-        return F.when(F.size(fits) > 0, mask.bitwiseAND(F.bitwise_not(fits[0]["inner"]))).otherwise(mask)
+    def step(mask: Column, longer_: Column) -> Column:
+        fits = F.filter(longer_, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
+        return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
+    longer = F.filter(edges_, lambda x: x["inner"] != 0)
     full = (F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1).cast("long")
-    mask = F.aggregate(F.sequence(F.lit(1), n), full, step)
+    mask = F.transform(F.array(longer), lambda e: F.aggregate(F.sequence(F.lit(1), n), full, lambda m, _: step(m, e)))[0]
     return F.transform(F.array(mask), lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", m, i) == 1))[0]
 
 
@@ -290,7 +293,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     table = PieceTable.read(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     counts = written(word_counts(rows.select("text")), "words")
-    encoded = written(encoded_words(counts, table), "encoded-words")
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_IN_MEMORY)):
+        encoded = written(encoded_words(counts, table), "encoded-words")
     shared = spark.sparkContext.broadcast(frequent_words(encoded, most))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

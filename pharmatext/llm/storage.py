@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,5 +40,18 @@ def tasks(spark: SparkSession) -> int:
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps: it does so once the driver has collected
     the frames that made them, which long jobs can't wait for."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees on one side the second finds free on the other
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs started inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

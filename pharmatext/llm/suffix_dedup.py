@@ -59,7 +59,7 @@ def windows(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         least = np.minimum(least[:-step], least[step:])
         have += step
     starts = np.arange(len(least))
-    text = np.searchsorted(bounds, starts, side="right") - 1
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))[: len(least)]
     inside = starts + length <= bounds[text + 1]
     starts, text, place = starts[inside], text[inside], (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(starts):
@@ -216,7 +216,14 @@ def _repeated_grams(rows: DataFrame) -> DataFrame:
     return met.repartition(n, "gram").sortWithinPartitions("gram", "id").mapInArrow(shared, "id long, gram long")
 
 
-def _pieces(rows: DataFrame, grams: DataFrame) -> DataFrame:
+def _gram_lists(rows: DataFrame) -> DataFrame:
+    """(id, grams): the repeated minimisers of each document, a list bounded by its text."""
+    lists = written(_repeated_grams(rows).groupBy("id").agg(F.collect_list("gram").alias("grams")), "grams")
+    release(rows.sparkSession)
+    return lists
+
+
+def _pieces(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """(gram, id, row, start, piece): the text under the windows of repeated grams."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,9 +244,6 @@ def _pieces(rows: DataFrame, grams: DataFrame) -> DataFrame:
                     g, k, m, f, p = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array(f, pa.int64()), pa.array(p, pa.binary())], names=["gram", "id", "row", "start", "piece"])
 
-    # one list for each document; its size is bounded by the text's
-    lists = written(grams.groupBy("id").agg(F.collect_list("gram").alias("grams")), "grams")
-    release(rows.sparkSession)
     return rows.join(lists, "id").select("id", "row", "text", "grams").mapInArrow(cut, "gram long, id long, row long, start long, piece binary")
 
 
@@ -319,8 +323,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # rows of one id are told apart by their text
     marked = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marks = _marks(_pieces(marked.filter("id IS NOT NULL"), _repeated_grams(rows)))
+    marks = _marks(_pieces(marked.filter("id IS NOT NULL"), _gram_lists(rows)))
     spans = written(marks.groupBy(F.col("id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    del marks
     release(docs.sparkSession)
     met = marked.join(spans, (F.col("id") == F.col("m_id")) & (F.col("row") == F.col("m_row")), "left").select("id", "text", "spans")
     return met.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
