@@ -125,6 +125,29 @@ class BagOfWords:
         )
 
 
+@dataclass
+class TfIdf:
+    """Document frequencies of the training texts, and weights of any texts against them."""
+
+    doc_freq: DataFrame
+    n_texts: int
+    n_bytes: int
+
+    @staticmethod
+    def fit(df: DataFrame, text: str = "text", id_col: str = "id") -> TfIdf:
+        pairs = token_rows(df, text, [id_col]).filter(F.col("term").isNotNull()).distinct()
+        doc_freq = materialize(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "doc_freq")
+        return TfIdf(doc_freq, df.count(), table_size(doc_freq, "term")[1])
+
+    def transform(self, df: DataFrame, text: str = "text", id_col: str = "id", limit: int = BROADCAST_BYTES) -> DataFrame:
+        """``(id, term, n, df, weight)`` with weight = n * ln((texts + 1) / (df + 1)); unknown terms drop."""
+        rows = token_rows(df, text, [id_col]).filter(F.col("term").isNotNull())
+        counts = rows.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+        joined = join_table(counts, self.doc_freq, "term", self.n_bytes, "inner", limit)
+        idf = F.log(F.lit(float(self.n_texts + 1)) / (F.col("df") + 1))
+        return joined.select(id_col, "term", "n", "df", (F.col("n") * idf).alias("weight"))
+
+
 def tf_idf(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """``(id, term, n, df, weight)`` with weight = n * ln((texts + 1) / (df + 1))."""
     rows = token_rows(df, text, [id_col]).filter(F.col("term").isNotNull())

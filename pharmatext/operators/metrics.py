@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pharmatext.operators.naive_bayes import class_counts
+from pharmatext.plans.storage import materialize
 
 
 def pair_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -47,13 +47,11 @@ def confusion_matrix(df: DataFrame) -> DataFrame:
 
     Predictions outside the label set are left out.
     """
-    labels = list(class_counts(df, "actual"))
-    row = df.groupBy("actual").agg(*[
-        F.sum((F.col("predicted") == label).cast("bigint")).alias(f"n{i}") for i, label in enumerate(labels)])
-    cells = F.array(*[
-        F.struct(F.lit(label).alias("predicted"), F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("n"))
-        for i, label in enumerate(labels)])
-    return row.select("actual", F.explode(cells).alias("x")).select("actual", "x.predicted", "x.n")
+    pairs = materialize(pair_counts(df).filter(F.col("actual").isNotNull()), "pairs")  # the rows are read once
+    labels = sorted(r[0] for r in pairs.select("actual").distinct().collect())
+    found = F.map_from_entries(F.collect_list(F.when(F.col("predicted").isNotNull(), F.struct("predicted", "n"))))
+    each = pairs.groupBy("actual").agg(found.alias("_n")).withColumn("predicted", F.explode(F.array(*[F.lit(x) for x in labels])))
+    return each.select("actual", "predicted", F.coalesce(F.try_element_at("_n", F.col("predicted")), F.lit(0).cast("bigint")).alias("n"))
 
 
 def metric_rows(df: DataFrame, by: list[str] | None = None) -> DataFrame:

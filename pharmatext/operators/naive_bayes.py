@@ -121,7 +121,8 @@ def fit(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "
 
 def cross_validate(
     df: DataFrame, k: int, text: str = "text", label: str = "label", id_col: str = "id",
-    fold: str = "fold", limit: int = BROADCAST_BYTES,
+    fold: str = "fold", limit: int = BROADCAST_BYTES, remove_tags: list[str] | None = None,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions ``(id, fold, label, predicted)`` of k models, each blind to the fold it scores.
 
@@ -132,7 +133,8 @@ def cross_validate(
     cells = df.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n")).collect()
     labels = sorted({r[label] for r in cells})
     folds, classes = range(k), range(len(labels))
-    rows = token_rows(df, text, [label, fold]).filter(F.col("term").isNotNull())
+    keep = [label, fold] if lexicon is None else [id_col, label, fold]
+    rows = token_rows(df, text, keep, remove_tags, lexicon).filter(F.col("term").isNotNull())
     name = lambda c, f: f"c{c}_{f}"
     in_cell = lambda c, f: (F.col(label) == labels[c]) & (F.col(fold) == f)
     counts = materialize(rows.groupBy("term").agg(*[
@@ -166,7 +168,7 @@ def cross_validate(
         F.array(*[log_theta(c, f) for f in folds]).alias(f"_l{c}") for c in classes])
     keys = [id_col, fold, label]
     n_bytes = sums.b + sums.n * (ROW_BYTES + 8 * k * len(labels))
-    docs = token_rows(df, text, keys)
+    docs = token_rows(df, text, keys, remove_tags, lexicon)
     joined = join_table(docs, model, "term", n_bytes, limit=limit)
     scored = joined.groupBy(*keys).agg(*[
         F.sum(F.coalesce(F.get(f"_l{c}", F.col(fold)), F.lit(0.0))).alias(f"_s{c}") for c in classes])

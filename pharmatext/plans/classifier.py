@@ -120,19 +120,21 @@ class TextClassifier:
         if self.spec.learner == "nb":
             fitted = naive_bayes.fit(df, text, label, id_col, self.spec.remove_tags or None, self.lexicon)
         else:
-            rows = vectorize(self.spec, df, text, [id_col, label], self.vectors, self.lexicon)
-            if self.spec.learner == "rf":
-                fitted = learners.fit_forest(rows, label, depth=self.spec.depth)
-            elif self.spec.learner == "cnn":
-                fitted = learners.fit_conv(rows, label)
-            else:
-                dim = self.vectors.dim if self.spec.representation == "embedding" else self.spec.hashed_terms
-                fitted = learners.fit_svm(rows, dim, label)
+            fitted = self._fit_rows(vectorize(self.spec, df, text, [id_col, label], self.vectors, self.lexicon), label)
         model = TrainedModel(self.spec, fitted, self.vectors, self.lexicon)
         if output:
             model.save(output)
         return model
 
+    def _fit_rows(self, rows: DataFrame, label: str) -> PipelineModel:
+        """Fit a learner of the ML library on ``(features, label)``."""
+        if self.spec.learner == "rf":
+            return learners.fit_forest(rows, label, depth=self.spec.depth)
+        if self.spec.learner == "cnn":
+            return learners.fit_conv(rows, label)
+        dim = self.vectors.dim if self.spec.representation == "embedding" else self.spec.hashed_terms
+        return learners.fit_svm(rows, dim, label)
+
     def _scored(self, data: TextDataset, model: TrainedModel) -> DataFrame:
         scored = model.predict(data.table, data.text, data.id, [data.label])
         return scored.withColumnRenamed(data.label, "actual")
@@ -150,15 +152,18 @@ class TextClassifier:
         return metrics.cv_summary(scored), metrics.cv_confusion(scored)
 
     def _out_of_fold(self, data: TextDataset, folded: DataFrame, k: int) -> DataFrame:
-        if self.spec.learner == "nb" and self.spec.representation == "bow":
-            scored = naive_bayes.cross_validate(folded, k, data.text, data.label, data.id)
+        if self.spec.learner == "nb":
+            scored = naive_bayes.cross_validate(
+                folded, k, data.text, data.label, data.id, remove_tags=self.spec.remove_tags or None, lexicon=self.lexicon)
             return scored.withColumnRenamed(data.label, "actual")
+        # features don't depend on the fold: made once for all fits
+        keys = [data.id, data.label, "fold"]
+        rows = materialize(vectorize(self.spec, folded, data.text, keys, self.vectors, self.lexicon), "fold_features")
         parts = []
         for i in range(k):
-            train = data.with_table(folded.filter(F.col("fold") != i))
-            test = data.with_table(folded.filter(F.col("fold") == i))
-            part = self._scored(test, self.fit(train)).withColumn("fold", F.lit(i))
-            parts.append(part.withColumn("actual", F.col("actual").cast("double")))
+            fitted = self._fit_rows(rows.filter(F.col("fold") != i), data.label)
+            part = learners.predict(fitted, rows.filter(F.col("fold") == i), keys)
+            parts.append(part.select(data.id, F.col(data.label).cast("double").alias("actual"), "fold", "predicted"))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)

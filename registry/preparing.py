@@ -76,13 +76,13 @@ def url_list_sink(spark, sf):
 
 @query("embedding_scan", f"""
 SELECT term, idx, CAST(len(vec) AS INTEGER) AS dim, CAST(vec[1] AS DOUBLE) AS first_value,
-       round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 4) AS total
+       round(list_sum(list_transform(vec, lambda x, i: CAST(x AS DOUBLE) * i)), 4) AS total
 FROM ({WORD_VECTORS_SQL})""")
 def embedding_scan(spark, sf):
     vectors = features.WordVectors.of(word_vector_table(spark, sf))
     path = new_path(spark, "word2vec")
     word_vectors.write_word_vectors(vectors.table, path, vectors.n_words, vectors.dim)
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return word_vectors.read_word_vectors(spark, path).select(
         "term", "idx", F.size("vec").alias("dim"), F.col("vec")[0].cast("double").alias("first_value"),
         F.round(total, 4).alias("total"))

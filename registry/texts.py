@@ -123,6 +123,17 @@ def tfidf(spark, sf):
     return features.tf_idf(texts(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
+@query("tfidf_fitted", f"""
+WITH cnt AS (SELECT id, term, count(*) AS n FROM ({TOKENS_SQL}) GROUP BY id, term),
+dfs AS (SELECT term, count(DISTINCT id) AS df FROM ({TRAIN_TOKENS_SQL}) GROUP BY term)
+SELECT id, term, n, df, round(n * ln(((SELECT count(*) FROM ({LABELLED_SQL})) + 1) / CAST(df + 1 AS DOUBLE)), 6) AS weight
+FROM cnt JOIN dfs USING (term)""")
+def tfidf_fitted(spark, sf):
+    """Weights learned from the labelled documents, for all documents."""
+    fitted = features.TfIdf.fit(labelled(spark, sf))
+    return fitted.transform(texts(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
 def vectors(spark, sf):
     return features.WordVectors.of(word_vector_table(spark, sf))
 
@@ -143,10 +154,11 @@ def mean_embedding(spark, sf):
 
 @query("lookup_table", f"""
 SELECT idx + 1 AS idx, CAST(vec[1] AS DOUBLE) AS first_value,
-       round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM ({WORD_VECTORS_SQL})
+       round(list_sum(list_transform(vec, lambda x, i: CAST(x AS DOUBLE) * i)), 4) AS total FROM ({WORD_VECTORS_SQL})
 UNION ALL SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE""")
 def lookup_table(spark, sf):
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    # each value weighs by its place, so an exchange of two values shows
+    total = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return vectors(spark, sf).lookup().select(
         "idx", F.col("vec")[0].cast("double").alias("first_value"), F.round(total, 4).alias("total"))
 
