@@ -58,18 +58,17 @@ def windows(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    starts = np.arange(len(least))
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))[: len(least)]
-    inside = starts + length <= bounds[text + 1]
-    starts, text, place = starts[inside], text[inside], (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    if not len(starts):
-        return none, none, none, none.astype(np.uint64)
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    owner = text[first]
-    return owner, starts[first] - bounds[owner], starts[last] - bounds[owner], hashes[place[first]]
+    valid = np.ones(len(least), dtype=bool)
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        valid[max(start, end - length + 1) : end] = False  # windows that would leave the text
+    place = least.astype(np.uint32)
+    same = valid[1:] & valid[:-1] & (place[1:] == place[:-1])
+    first, last = valid.copy(), valid.copy()
+    first[1:] &= ~same
+    last[:-1] &= ~same
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    owner = np.searchsorted(bounds, first, side="right") - 1
+    return owner, first - bounds[owner], last - bounds[owner], hashes[place[first]]
 
 
 # ---- difference-cover suffix sort ----
