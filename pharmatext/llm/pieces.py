@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pharmatext.llm.storage import setting, tasks, written
+from pharmatext.llm.storage import release, setting, tasks, written
 from pharmatext.llm.words import _hash, _powers, chunks
 
 BLANK = "▁"
@@ -295,6 +295,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     counts = written(word_counts(rows.select("text")), "words")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_IN_MEMORY)):
         encoded = written(encoded_words(counts, table), "encoded-words")
+    release(spark)
     shared = spark.sparkContext.broadcast(frequent_words(encoded, most))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,6 +344,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     missing = rows.mapInArrow(others, "id long, row long, word string").join(encoded.select("word", "ids"), "word")
     # a text's own rare words: no more than the text itself
-    rare = missing.groupBy(F.col("id").alias("r_id"), F.col("row").alias("r_row")).agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
+    rare = written(missing.groupBy(F.col("id").alias("r_id"), F.col("row").alias("r_row")).agg(F.collect_list(F.struct("word", "ids")).alias("rare")), "rare-words")
+    release(spark)
     met = rows.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("row") == F.col("r_row")), "left").select("id", "text", "rare")
     return met.mapInArrow(finish, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")

@@ -101,7 +101,6 @@ def suffix_order(text: np.ndarray, enough: int | None = None, unit: int = 1) ->
     t = np.zeros(n + 3, dtype=np.int64)
     t[:n] = text
     places = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])  # the cover: 1 and 2 modulo 3
-    split = len(range(1, n + (n % 3 == 1), 3))
     triples = (t[places] * base + t[places + 1]) * base + t[places + 2]
     order, names, different = _ranks(triples)
     if different < len(places) and (enough is None or 3 * unit < enough + 2):
@@ -115,25 +114,12 @@ def suffix_order(text: np.ndarray, enough: int | None = None, unit: int = 1) ->
     rest = np.arange(0, n, 3)
     top = int(rank.max()) + 1
     rest = rest[np.argsort(t[rest] * top + rank[rest + 1], kind="stable")]
-    # how many sampled suffixes stand before each of the others: a binary search of all at once
-    low, high = np.zeros(len(rest), dtype=np.int64), np.full(len(rest), len(sampled), dtype=np.int64)
-    first, second = t[rest], t[rest + 1]
-    r1, r2 = rank[rest + 1], rank[rest + 2]
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_]) // 2
-        s = sampled[mid]
-        one = s % 3 == 1
-        a, b = t[s], first[open_]
-        tie = a == b
-        a2 = np.where(one, rank[s + 1], t[s + 1])
-        b2 = np.where(one, r1[open_], second[open_])
-        tie2 = tie & ~one & (a2 == b2)
-        before = (a < b) | (tie & (a2 < b2)) | (tie2 & (rank[s + 2] < r2[open_]))
-        low[open_[before]] = mid[before] + 1
-        high[open_[~before]] = mid[~before]
+    # how many sampled suffixes stand before each of the others: those at 1 modulo 3 compare by a place and a
+    # rank, those at 2 by two places and a rank, as both sides then are sampled
+    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    before_one = np.searchsorted(np.sort(t[one] * top + rank[one + 1]), t[rest] * top + rank[rest + 1])
+    before_two = np.searchsorted(np.sort((t[two] * base + t[two + 1]) * top + rank[two + 2]), (t[rest] * base + t[rest + 1]) * top + rank[rest + 2])
+    low = before_one + before_two
     out = np.empty(n, dtype=np.int64)
     # among suffixes that agree on ``enough`` places any order will do, but places must ascend
     at = np.maximum.accumulate(low) + np.arange(len(rest))
