@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 SHINGLE_WORDS = 5
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
