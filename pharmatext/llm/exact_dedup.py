@@ -34,7 +34,7 @@ def state_of(source_path: str, spark, schema, id_col: str, text_col: str, digest
     setting = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
         # a task closes its part of the state when it is done: each open part holds some MB of disk and memory
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pharmatext.llm.storage import tasks
+from pharmatext.llm.storage import small_batches, tasks
 from pharmatext.llm.words import mix, text_shingles
 
 BINS, BITS = 256, 8
@@ -165,6 +165,7 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if ready:
                 yield emit(ready)
 
+    small_batches(docs.sparkSession)
     laid = in_order_with_next(docs, id_col, text_col)
     out = laid.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.components import components
 from pharmatext.llm.counting import summed
-from pharmatext.llm.storage import written
+from pharmatext.llm.storage import small_batches, written
 from pharmatext.llm.words import chunks, mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 16, 5
@@ -221,6 +221,7 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], idf: Bro
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size, kept) of every row; the least id of a class is its id and stays."""
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     df, n = document_frequencies(narrow.select("text"))
     idf = spark.sparkContext.broadcast(idf_table(df, n))

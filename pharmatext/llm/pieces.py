@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pharmatext.llm.storage import release, setting, tasks, written
+from pharmatext.llm.storage import release, setting, small_batches, tasks, written
 from pharmatext.llm.words import _hash, _powers, chunks
 
 BLANK = "▁"
@@ -290,6 +290,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     from hashlib import sha256
 
     spark = docs.sparkSession
+    small_batches(spark)
     table = PieceTable.read(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     counts = written(word_counts(rows.select("text")), "words")

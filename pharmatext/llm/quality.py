@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.counting import summed
-from pharmatext.llm.storage import written
+from pharmatext.llm.storage import small_batches, written
 from pharmatext.llm.words import chunks, mix, token_runs
 
 BITS = 15
@@ -124,6 +124,7 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    small_batches(docs.sparkSession)
     marked = written(_labelled(labels, label_col, id_col), "quality-labels")
     target, raw = count_models(docs, marked, id_col, text_col)
     if not target.any():
@@ -176,6 +177,7 @@ def kth_largest(values: DataFrame, column: str, k: int, few: int = 4096) -> floa
 
 def with_sample(docs: DataFrame, model: QualityModel, seed: int = 3, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text", prefix: str = "", drop_text: bool = False) -> DataFrame:
     """``docs`` with (n_ngrams, log_ratio, log_weight, kept), stored once (without the texts on request)."""
+    small_batches(docs.sparkSession)
     s = F.col(f"{prefix}scored")
     scored = docs.withColumn(f"{prefix}scored", _score_column(docs, model.ratios, text_col))
     cut = model.cut if np.isfinite(model.cut) else -1e3

@@ -55,3 +55,11 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers by ``rows`` at a time, unless the session asks for less: at the
+    engine's own 10,000 a batch of long texts would take more memory than the work on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

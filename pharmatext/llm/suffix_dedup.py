@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pharmatext.llm.storage import release, tasks, written
+from pharmatext.llm.storage import release, small_batches, tasks, written
 from pharmatext.llm.words import _powers, chunks, mix
 
 LENGTH, GRAM = 50, 20
@@ -305,6 +305,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[4], pa.binary())] if with_text else []), names=names + ["kept"] * with_text)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # rows of one id are told apart by their text
     marked = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from pharmatext.llm.storage import small_batches
 from pharmatext.llm.words import process_wide
 
 #: The split pattern of byte-level BPE files, with the white space that their library knows.
@@ -120,6 +121,7 @@ def frequent_lengths(docs: DataFrame, model_path: str, text_col: str = "text") -
 
 def token_counts(docs: DataFrame, model_path: str, max_tokens: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; one scan, no exchange."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(frequent_lengths(narrow, model_path))
 
