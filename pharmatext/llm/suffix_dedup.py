@@ -68,7 +68,8 @@ def windows(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     last[:-1] &= ~same
     first, last = np.flatnonzero(first), np.flatnonzero(last)
     owner = np.searchsorted(bounds, first, side="right") - 1
-    return owner, first - bounds[owner], last - bounds[owner], hashes[place[first]]
+    # 48 bits name a gram well enough: two grams of one name only make their pieces meet
+    return owner, first - bounds[owner], last - bounds[owner], hashes[place[first]] >> np.uint64(16)
 
 
 # ---- difference-cover suffix sort ----
@@ -308,7 +309,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # rows of one id are told apart by their text
-    marked = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF))
     marks = _marks(_pieces(marked.filter("id IS NOT NULL"), _gram_lists(rows)))
     spans = written(marks.groupBy(F.col("id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     del marks
