@@ -308,8 +308,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # rows of one id are told apart by their text
-    marked = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF))
+    # rows of one id are told apart by their text; where no id repeats there is nothing to tell apart
+    repeated = not rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty()
+    row = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF) if repeated else F.lit(0).cast("long")
+    marked = rows.withColumn("row", row)
     marks = _marks(_pieces(marked.filter("id IS NOT NULL"), _gram_lists(rows)))
     spans = written(marks.groupBy(F.col("id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     del marks
