@@ -170,25 +170,28 @@ def _likeness(shared: Column, w1: Column, w2: Column) -> Column:
 
 
 def own_weights(texts: DataFrame, idf: Broadcast, part: float) -> DataFrame:
-    """(node, own): the weight of shingles that no other text of the table has, at least of those among
-    the rarest ones that make up ``part`` of the text's weight."""
+    """(node, own): the weight of shingles that none of the other texts holds anywhere, at least of those
+    among the rarest ones that make up ``part`` of the text's weight. Every shingle of a text counts as
+    held; only the rarest bring along their text, as two halves of its digest, and their weight."""
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, tokens, weights = [], [], []
+            parts = []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, w = _weigh(text, idf.value)
                 order = np.argsort(-idf.value[_counters(h)], kind="stable")
                 n = int(np.searchsorted(np.cumsum(w[order]), part * w.sum())) + 1
-                tokens.append(h[order[:n]].view(np.int64))
-                weights.append(w[order[:n]])
-                nodes += [node] * len(tokens[-1])
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(weights))], names=["node", "token", "weight"])
+                high, low = np.frombuffer(node, dtype=">i8").astype(np.int64)
+                parts.append((h[order].view(np.int64), np.full(len(h), high), np.full(len(h), low), w[order], np.arange(len(h)) >= n))
+            if parts:
+                token, high, low, weight, common = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(token), *[pa.array(c, mask=common) for c in (high, low, weight)]], names=["token", "high", "low", "weight"])
 
-    tokens = texts.mapInArrow(rarest, "node binary, token long, weight double")
-    return tokens.groupBy("token").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("weight").alias("weight")) \
-        .filter("n = 1").groupBy("node").agg(F.sum("weight").alias("own"))
+    # columns of fixed size, so that grouping needs no sort
+    tokens = texts.mapInArrow(held, "token long, high long, low long, weight double")
+    alone = tokens.groupBy("token").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("high", "low", "weight")]).filter("n = 1 AND weight IS NOT NULL")
+    node = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("high", "low")]))
+    return alone.groupBy("high", "low").agg(F.sum("weight").alias("own")).select(node.alias("node"), "own")
 
 
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], idf: Broadcast, threshold: float) -> DataFrame:
@@ -202,15 +205,19 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], idf: Bro
     found = first.filter(_likeness(F.col("shared"), F.col("w"), F.col("w_hub")) >= threshold).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     root_of = components(found)
     # Members outside their bucket's largest class are compared with all others of the bucket that they can be
-    # like at all. Of two members that share s1 and s2 with the hub, and have o1 and o2 that no text shares,
-    # the common weight is at most min(s1, s2) + min(w1 - s1 - o1, w2 - s2 - o2).
-    classed = members.filter("node != hub").join(root_of, "node", "left").join(first, ["hub", "node"]).join(own_weights(texts, idf, 1.1 - threshold), "node", "left")
-    classed = classed.join(root_of.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-    classed = classed.select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"), "shared", "w", F.greatest(F.lit(0.0), F.col("w") - F.col("shared") - F.coalesce("own", F.lit(0.0))).alias("rest"))
-    classed = written(classed, "near-classed")
+    # like at all. Of two members that share s1 and s2 with the hub, and have o1 and o2 that no other text of
+    # such buckets holds, the common weight is at most min(s1, s2) + min(w1 - s1 - o1, w2 - s2 - o2).
+    classed = members.filter("node != hub").join(root_of, "node", "left").join(first, ["hub", "node"])
+    classed = written(classed.select("bucket", "hub", "node", F.coalesce("root", "node").alias("root"), "shared", "w"), "near-classed")
     per_class = classed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = per_class.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1")
-    free = classed.join(main, "bucket").filter("root != main").select("bucket", *[F.col(c).alias(f"f_{c}") for c in ("node", "root", "shared", "w", "rest")])
+    mixed = classed.join(main, "bucket")
+    # hubs are among the texts: what a text shares with its hub is not its own
+    unsettled = mixed.select("node").unionByName(mixed.select(F.col("hub").alias("node"))).distinct()
+    own = own_weights(texts.join(unsettled, "node", "left_semi"), idf, 1.1 - threshold)
+    rest = F.greatest(F.lit(0.0), F.col("w") - F.col("shared") - F.coalesce("own", F.lit(0.0)))
+    classed = written(mixed.join(own, "node", "left").select("bucket", "node", "root", "main", "shared", "w", rest.alias("rest")), "near-mixed")
+    free = classed.filter("root != main").select("bucket", *[F.col(c).alias(f"f_{c}") for c in ("node", "root", "shared", "w", "rest")])
     most = F.least("shared", "f_shared") + F.least("rest", "f_rest")
     near = (F.col("root") != F.col("f_root")) & (_likeness(most, F.col("w"), F.col("f_w")) >= threshold - 1e-9)
     pairs = classed.join(free, (classed["bucket"] == free["bucket"]) & near).select(F.least("node", "f_node").alias("hub"), F.greatest("node", "f_node").alias("node")).distinct()

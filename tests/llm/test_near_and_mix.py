@@ -82,6 +82,41 @@ def test_a_large_group_of_near_copies(spark):
     assert len(wrong) <= 2  # sampling may miss a link at the threshold
 
 
+def test_no_link_inside_a_bucket_is_lost(spark):
+    """Insertions, appended words and truncations inside a family whose members share a template."""
+    random_ = random.Random(6)
+    base = prose(78, 150).split()
+    fresh = lambda n: [f"new{random_.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(36):  # one pair in each class, so no link stands in for another
+        one = base + fresh(40)
+        at = random_.randrange(len(base))
+        for words in (one, (one + fresh(18), one[:at] + fresh(12) + one[at:], one[:-12])[k % 3]):
+            rows.append((len(rows), " ".join(words)))
+    narrow = spark.createDataFrame(rows, "id long, text string")
+    df, n = near_dedup.document_frequencies(narrow.select("text"))
+    idf = spark.sparkContext.broadcast(near_dedup.idf_table(df, n))
+    signed = near_dedup.signatures(narrow, idf, near_dedup.BANDS, near_dedup.ROWS).withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
+    texts_of = lambda wanted: signed.join(wanted, "node").join(narrow, "id").select("node", "text")
+    ids = {bytes(r.node): r.id for r in signed.collect()}
+    edges = [(ids[bytes(r.a)], ids[bytes(r.b)]) for r in near_dedup.links(signed.select("node", "rarity", "bands"), texts_of, idf, 0.8).collect()]
+    wanted = weighted_classes(rows)
+    assert len(set(wanted.values())) < 50
+    assert classes(edges, range(len(rows))) == wanted
+
+
+def test_own_weight_is_held_by_no_other_text(spark):
+    one = [f"a{i}" for i in range(60)]
+    texts = spark.createDataFrame([(b"0" * 16, " ".join(one)), (b"1" * 16, " ".join(one + [f"b{i}" for i in range(20)])), (b"\xff" * 16, "one more text of its own")], "node binary, text string")
+    idf = spark.sparkContext.broadcast(np.where(np.arange(near_dedup.COUNTERS) % 2, 1.0, 2.0).astype(np.float32))
+    found = {bytes(r.node): r.own for r in near_dedup.own_weights(texts, idf, 0.3).collect()}
+    own = {}
+    for k, theirs in ((b"1" * 16, " ".join(one[-4:] + [f"b{i}" for i in range(20)])), (b"\xff" * 16, "one more text of its own")):
+        own[k] = near_dedup._weigh(theirs, idf.value)[1].sum()
+    assert b"0" * 16 not in found and set(found) == set(own)
+    assert all(0 < found[k] <= own[k] for k in found)
+
+
 def test_samples_agree_as_the_similarity_says():
     random_ = np.random.default_rng(1)
     sampler = near_dedup.Sampler(2000)
