@@ -24,7 +24,7 @@ counts once for each document, so no task gets more than a small share of all ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ from pharmatext.llm.words import _powers, chunks, mix
 
 LENGTH, GRAM = 50, 20
 GROUP_BYTES = 1 << 21
+HOT_DOCUMENTS = 1 << 15  # documents that share a gram, from which its windows are dealt out one by one; places inside a document are not counted
 
 
 # ---- minimisers ----
@@ -94,15 +95,13 @@ def suffix_order(text: np.ndarray, enough: int | None = None, unit: int = 1) ->
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: tuple(text[i:])), dtype=np.int64)
     base = int(text.max()) + 1
-    if base >= 1 << 21:  # a triple must fit 63 bits
-        text = _ranks(text)[1]
-        base = int(text.max()) + 1
-        if base >= 1 << 21:
-            raise ValueError("text too long for one sort")
     t = np.zeros(n + 3, dtype=np.int64)
     t[:n] = text
+    pair = t[:-1] * base + t[1:]
+    if base * base * max(base, n + 1) >= 1 << 63:  # a pair and a place or rank must fit 63 bits
+        pair = _ranks(pair)[1]
     places = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])  # the cover: 1 and 2 modulo 3
-    triples = (t[places] * base + t[places + 1]) * base + t[places + 2]
+    triples = pair[places] * base + t[places + 2]
     order, names, different = _ranks(triples)
     if different < len(places) and (enough is None or 3 * unit < enough + 2):
         order = suffix_order(names, enough, 3 * unit)
@@ -119,7 +118,7 @@ def suffix_order(text: np.ndarray, enough: int | None = None, unit: int = 1) ->
     # rank, those at 2 by two places and a rank, as both sides then are sampled
     one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before_one = np.searchsorted(np.sort(t[one] * top + rank[one + 1]), t[rest] * top + rank[rest + 1])
-    before_two = np.searchsorted(np.sort((t[two] * base + t[two + 1]) * top + rank[two + 2]), (t[rest] * base + t[rest + 1]) * top + rank[rest + 2])
+    before_two = np.searchsorted(np.sort(pair[two] * top + rank[two + 2]), pair[rest] * top + rank[rest + 2])
     low = before_one + before_two
     out = np.empty(n, dtype=np.int64)
     # among suffixes that agree on ``enough`` places any order will do, but places must ascend
@@ -281,6 +280,32 @@ def _marks(pieces: DataFrame) -> DataFrame:
     return laid.mapInArrow(sort, "id long, row long, first long, last long")
 
 
+def _hot_marks(pieces: DataFrame) -> DataFrame:
+    """The same marks for grams of many documents: windows meet by their digest, so no task gets a gram whole."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row, start = (batch.column(c).to_numpy() for c in ("id", "row", "start"))
+            found = batch.column("piece").to_pylist()
+            counts = np.array([len(p) - LENGTH + 1 for p in found], dtype=np.int64)
+            digests = [blake2b(p[i : i + LENGTH], digest_size=16).digest() for p in found for i in range(len(p) - LENGTH + 1)]
+            at = np.repeat(start, counts) + np.arange(len(digests)) - np.repeat(np.cumsum(counts) - counts, counts)
+            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(key, counts), np.repeat(row, counts), at, halves[:, 0].copy(), halves[:, 1].copy())], names=["id", "row", "first", "high", "low"])
+
+    held = written(pieces.mapInArrow(cut, "id long, row long, first long, high long, low long"), "hot-windows")
+    least = held.groupBy("high", "low").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    return held.join(least, ["high", "low"]).filter("id > least").select("id", "row", "first", F.col("first").alias("last"))
+
+
+def _all_marks(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    one = lists.select("id", F.explode("grams").alias("gram"))
+    hot = written(one.groupBy("gram").count().filter(F.col("count") > HOT_DOCUMENTS).select("gram"), "hot-grams")
+    if hot.isEmpty():
+        return _marks(_pieces(rows, lists))
+    kinds = [written(one.join(hot, "gram", how).groupBy("id").agg(F.collect_list("gram").alias("grams")), "grams") for how in ("left_anti", "left_semi")]
+    return _marks(_pieces(rows, kinds[0])).unionByName(_hot_marks(_pieces(rows, kinds[1])))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, on request with the bytes that stay."""
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +337,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = not rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty()
     row = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF) if repeated else F.lit(0).cast("long")
     marked = rows.withColumn("row", row)
-    marks = _marks(_pieces(marked.filter("id IS NOT NULL"), _gram_lists(rows)))
+    marks = _all_marks(marked.filter("id IS NOT NULL"), _gram_lists(rows))
     spans = written(marks.groupBy(F.col("id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     del marks
     release(docs.sparkSession)

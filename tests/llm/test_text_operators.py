@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from llm_helpers import ODD_ROWS, by_id, documents, no_docs, odd_docs, prose, shingles
+from pyspark.sql import functions as F
 
 from pharmatext.llm import exact_dedup, fingerprints, suffix_dedup, token_counts
 from pharmatext.llm.queries import QUERIES, tokenizer_file
@@ -139,6 +140,31 @@ def test_suffix_dedup(spark, sf):
     assert found == without_repeats(documents(spark, sf))
 
 
+def test_suffix_order_of_more_names_than_a_packed_triple_holds():
+    text = np.random.default_rng(3).permutation((1 << 21) + 1000) + 1
+    assert (suffix_dedup.suffix_order(text) == np.argsort(text)).all()
+
+
+def test_windows_of_hot_grams_give_the_same_rows(spark, monkeypatch):
+    """A passage in many contexts, inside and at the ends of texts, and a row that stands twice."""
+    random_ = random.Random(8)
+    passage = prose(91, 30)
+    rows = [(i, f"{prose(200 + i, random_.randrange(12))} {passage[random_.randrange(40):]} {prose(400 + i // 2, random_.randrange(30))}") for i in range(60)]
+    docs = spark.createDataFrame(rows + [rows[7], (None, rows[3][1])], "doc_id long, text string")
+    sorted_ = lambda df: sorted(map(tuple, df.collect()), key=str)
+    wanted = sorted_(suffix_dedup.without_repeats(docs))
+    assert sum(r[2] for r in wanted) > 1000
+
+    def no_hot_gram(pieces):
+        assert pieces.groupBy("gram").agg(F.countDistinct("id").alias("n")).filter("n > 5").isEmpty()
+        return sort(pieces)
+
+    sort = suffix_dedup._marks
+    monkeypatch.setattr(suffix_dedup, "_marks", no_hot_gram)
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCUMENTS", 5, raising=False)
+    assert sorted_(suffix_dedup.without_repeats(docs)) == wanted
+
+
 def test_suffix_dedup_of_odd_rows(spark):
     rows = [*ODD_ROWS, (20, "wort" * 500 + prose(5, 40), "a"), (21, "a" * 700, "a"), (22, "b" + "a" * 300 + prose(5, 40), "a"), (23, "é" * 90, "a"), (24, "xé" + "é" * 60, "a")]
     ordered = sorted(((k, t) for k, t, _ in rows), key=lambda x: (x[0] is None, x[0] or 0))
