@@ -122,3 +122,63 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
     mixed = mix_sources(table(spark, sf, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers give of every document."""
+    from pharmatext.llm.alignment import alignment
+
+    return alignment(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of every document, and its class of fingerprints linked to it."""
+    from pharmatext.llm.simhash import near_classes
+
+    return near_classes(table(spark, sf, "documents"))
+
+
+VARIANTS_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+keyed AS (SELECT run, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2),
+      lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 1 AS BIGINT), 1)) - 1) + strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 2 AS BIGINT), 1)) - 1 AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
+  FROM keyed, crc_table),
+voc AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM voc),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS short FROM place),
+holes AS (SELECT word, n, i, left(word, i - 1) || '*' || substr(word, i + 1) AS hole FROM place),
+near AS (
+  SELECT less.word, less.n, voc.word AS other, voc.n AS other_n FROM less JOIN voc ON short = voc.word
+  UNION ALL SELECT voc.word, voc.n, less.word, less.n FROM less JOIN voc ON short = voc.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word),
+ranked AS (
+  SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS rank FROM near),
+best AS (SELECT word, n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM ranked WHERE rank = 1),
+way AS (
+  SELECT word, form AS reached FROM best WHERE form IS NOT NULL
+  UNION ALL SELECT way.word, best.form FROM way JOIN best ON way.reached = best.word WHERE best.form IS NOT NULL),
+ends AS (SELECT way.word, reached AS root FROM way LEFT JOIN best ON way.reached = best.word WHERE best.form IS NULL)
+SELECT voc.word, form, coalesce(root, voc.word) AS root, voc.n, coalesce(n_near, 0) AS n_near, form_n
+FROM voc LEFT JOIN best USING (word) LEFT JOIN ends USING (word)"""
+
+
+@query("op13_variants", VARIANTS_SQL)
+def op13_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents with the more frequent words that they are spelling variants of."""
+    from pharmatext.llm.variants import variants
+
+    return variants(table(spark, sf, "documents"))
