@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pharmatext.operators import features, learners, naive_bayes
+from pharmatext.operators import features, kernel_svm, naive_bayes
+from pharmatext.operators.folds import stratified_folds
 from pharmatext.plans.classifier import REPRESENTATIONS, ModelSpec, TextClassifier, TrainedModel
 from pharmatext.plans.dataset import TextDataset
 from pharmatext.plans.storage import materialize, new_path
@@ -63,19 +64,24 @@ def nb_predict(spark, sf):
 
 # ---- ML learners ----
 
-def word_vectors(spark, sf):
-    return features.WordVectors.of(word_vector_table(spark, sf))
+FOLDS = 5
+
+def word_vectors(spark, sf, length=1.0):
+    """Word vectors, each times ``length``."""
+    longer = F.transform("vec", lambda x: (x * length).cast("float"))
+    return features.WordVectors.of(word_vector_table(spark, sf).withColumn("vec", longer))
 
 
 def dataset(spark, sf):
     return TextDataset(materialize(labelled(spark, sf), "labelled"))
 
 
-def fit_and_score(spark, sf, learner, representation=None):
-    vectors = word_vectors(spark, sf) if learner in ("svm", "cnn") else None
+def fit_and_score(spark, sf, learner, representation=None, length=1.0):
+    """(id, label, predicted) of every document that the learner can read: fitted on the labelled ones."""
+    vectors = word_vectors(spark, sf, length) if learner in ("svm", "cnn") else None
     data = dataset(spark, sf)
     model = TextClassifier(learner, representation, vectors).fit(data)
-    return model.predict(data.table, keep=["label"])
+    return model.predict(texts(spark, sf)).join(data.table.select("id", "label"), "id", "left")
 
 
 @query("rf_fit_predict")
@@ -83,19 +89,32 @@ def rf_fit_predict(spark, sf):
     return fit_and_score(spark, sf, "rf")
 
 
+@query("rf_recall", f"""
+WITH bags AS (SELECT id, label, list_sort(list(term)) AS bag FROM ({token_rows_sql(LABELLED_SQL, "id, label")}) GROUP BY id, label),
+texts AS (SELECT t.id, t.label, coalesce(bag, []) AS bag FROM ({LABELLED_SQL}) t LEFT JOIN bags USING (id)),
+votes AS (SELECT bag, label, count(*) AS n FROM texts GROUP BY bag, label),
+best AS (SELECT bag, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY n DESC, label) AS rn FROM votes) WHERE rn = 1)
+SELECT id, label, predicted FROM texts JOIN best USING (bag)""")
+def rf_recall(spark, sf):
+    """What unlimited trees know of the texts they were grown on: the label of each bag of terms, the more
+    frequent one where equal bags have different labels."""
+    data = dataset(spark, sf)
+    return TextClassifier("rf").fit(data).predict(data.table, keep=["label"])
+
+
 @query("svm_fit_predict")
 def svm_fit_predict(spark, sf):
-    return fit_and_score(spark, sf, "svm")
+    """The vectors are ten long, as trained ones are: between unit vectors' means the fixed kernel width sees no difference."""
+    return fit_and_score(spark, sf, "svm", length=10.0)
 
 
 @query("svm_multiclass")
 def svm_multiclass(spark, sf):
-    """The kernel SVM on given vectors with ten classes."""
+    """The kernel SVM on given vectors with ten classes; they are unit vectors, so the width is one over their variance in all."""
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), features.array_to_vector("embedding").alias("features"),
         F.col("label").cast("double").alias("label"))
-    dim = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
-    return learners.predict(learners.fit_svm(rows, dim, gamma=1.0 / dim), rows, ["id", "label"])
+    return kernel_svm.fit(rows, gamma=1.0).predict(rows, ["id", "label"])
 
 
 @query("conv_fit_predict")
@@ -103,6 +122,14 @@ def conv_fit_predict(spark, sf):
     return fit_and_score(spark, sf, "cnn")
 
 
+@query("cross_validate_rf")
+def cross_validate_rf(spark, sf):
+    """(id, fold, actual, predicted) of five forests, each blind to the fold it scores, fitted side by side."""
+    data = dataset(spark, sf)
+    folded = stratified_folds(data.table, FOLDS)
+    return TextClassifier("rf").out_of_fold(data, folded, FOLDS)
+
+
 @query("model_spec", f"""
 WITH tok AS (SELECT id, term FROM ({token_rows_sql(LABELLED_SQL)}))
 SELECT learner, representation, (SELECT count(*) FROM ({LABELLED_SQL})) AS n_texts,

@@ -227,7 +227,8 @@ def test_saved_models_score_the_same(spark, data, vectors, tmp_path, learner, re
     dataset = TextDataset(data)
     model = clf.fit(dataset, output=str(tmp_path / "model"))
     before = rows(model.predict(data))
-    assert len(before) == len(TEXTS) and {p for _, p in before} <= {0.0, 1.0}
+    longer = [i for i, words in tokens_by_id(data).items() if learner != "cnn" or len(words) > 3]
+    assert sorted(i for i, _ in before) == sorted(longer) and {p for _, p in before} <= {0.0, 1.0}
     assert rows(TrainedModel.load(spark, str(tmp_path / "model")).predict(data)) == before
     found, matrix = clf.evaluate(dataset, str(tmp_path / "model"))
     assert found.count() == 7 and matrix.count() == 4
