@@ -8,6 +8,8 @@ stages are Parquet. All but the last stage return the columns of ``documents``:
 3. MinHash near-dedup: of each class of near copies the row with the least id stays;
 4. mixing: rows as often as the mix of sources to target weights takes them;
 5. SentencePiece: the piece ids of every row, with the text that they decode to.
+
+A stage's own tables are removed when the next one starts, so a stage's result has to be written before that.
 """
 
 from __future__ import annotations
@@ -18,28 +20,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pharmatext.llm import exact_dedup, mixing, near_dedup, pieces, quality
 from pharmatext.llm.queries import tokenizer_file
-from pharmatext.llm.storage import written
+from pharmatext.llm.storage import scratch, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.kept_rows(docs, model)
+    with scratch(spark):
+        model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return quality.kept_rows(docs, model)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_rows(docs)
+    with scratch(spark):
+        return exact_dedup.kept_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.kept_rows(docs)
+    with scratch(spark):
+        return near_dedup.kept_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs)
+    with scratch(spark):
+        return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+    with scratch(spark):
+        return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="pharmatext-llm-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+#: Paths made in scopes that are open, and those that ended scopes have left behind.
+_open: list[list[str]] = []
+_left: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A step whose tables are needed until its result is written. The next such step removes them, and the
+    shuffles that are no longer used, before it starts: so a chain of steps, each written before the next, keeps
+    the tables of one step on disk."""
+    while _left:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_left.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+    _open.append([])
+    try:
+        yield
+    finally:
+        _left.extend(_open.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -269,3 +269,22 @@ def test_filters_hold_every_word():
     others = variants.digests(np.frombuffer("".join(f"none{i:05d}" for i in range(20000)).encode(), dtype=np.uint8).reshape(20000, -1))
     block, bits = variants.place_and_bits(others, len(filled))
     assert (filled[block] & bits == bits).mean() < 0.05
+
+
+# ---- storage ----
+
+def test_tables_of_a_step_go_when_the_next_one_starts(spark):
+    import os
+
+    from pharmatext.llm.storage import scratch, written
+
+    with scratch(spark):
+        first = written(spark.range(3), "first")
+    outside = written(first, "outside")
+    folder = lambda df: df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    paths = folder(first), folder(outside)
+    assert all(map(os.path.exists, paths))
+    with scratch(spark):
+        second = written(outside, "second")
+        assert [os.path.exists(p) for p in paths] == [False, True]
+    assert second.count() == 3
