@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pharmatext.llm.storage import shared_path, written
+from pharmatext.llm.storage import scratch, shared_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,8 +114,10 @@ def _regrouped(rows: DataFrame, state: DataFrame, id_col: str, text_col: str, di
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text, one."""
-    winners = exact_groups(docs, id_col, text_col).filter("kept")
-    winners = written(winners.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_n")), "dedup-kept")
+    with scratch(docs.sparkSession):
+        winners = exact_groups(docs, id_col, text_col).filter("kept")
+        winners = winners.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_n"))
+        winners = written(winners, "dedup-kept", lasting=True)
     own = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256))
     met = own.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
     # only repeated rows make winners repeat; without any there is nothing to drop

@@ -165,10 +165,16 @@ def mixed_rows(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIG
     """The rows of the mix with all columns of ``docs``: each as often as it is taken."""
     copies = mix_sources(docs, weights, most, seed, id_col, text_col, source_col).filter("copies > 0")
     own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    own_text = f"_c{docs.columns.index(text_col)}"
     named = docs.select(F.col(source_col).cast("string").alias("_source"), F.col(id_col).cast("long").alias("_key"), size_of(F.col(text_col)).alias("_size"), *own)
-    named = named.withColumn("_occ", F.row_number().over(Window.partitionBy("_key", "_source", "_size").orderBy(F.lit(0))))
+    # dealt out once, by what the copies are found with; only rows of one id, source and size are numbered among each other
+    found_by = lambda key, source, size: F.xxhash64(F.col(key), F.col(source), F.col(size))
+    named = named.withColumn("_id", found_by("_key", "_source", "_size")).repartition("_id")
+    named = named.withColumn("_occ", F.row_number().over(Window.partitionBy("_id", "_key", "_source", "_size").orderBy(F.xxhash64(own_text))))
+    copies = copies.withColumn("_found_by", found_by("key", "source", "size"))
     met = named.join(
         copies,
-        F.col("_key").eqNullSafe(F.col("key")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size")) & (F.col("_occ") == F.col("occ")))
+        (F.col("_id") == F.col("_found_by")) & F.col("_key").eqNullSafe(F.col("key")) & F.col("_source").eqNullSafe(F.col("source"))
+        & (F.col("_size") == F.col("size")) & (F.col("_occ") == F.col("occ")))
     taken = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

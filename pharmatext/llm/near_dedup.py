@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.components import components
 from pharmatext.llm.counting import summed
-from pharmatext.llm.storage import small_batches, written
+from pharmatext.llm.storage import scratch, small_batches, written
 from pharmatext.llm.words import chunks, mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 16, 5
@@ -262,8 +262,9 @@ def _texts_of(narrow: DataFrame, owners: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the least id, with the columns of ``docs``; of repeated rows one."""
-    classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col).filter("kept")
-    ids = written(classes.groupBy(F.col("doc_id").alias("_near_id")).agg(F.count("*").alias("_near_n")), "near-kept")
+    with scratch(docs.sparkSession):
+        classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col).filter("kept")
+        ids = written(classes.groupBy(F.col("doc_id").alias("_near_id")).agg(F.count("*").alias("_near_n")), "near-kept", lasting=True)
     stays = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
     # only repeated rows make ids repeat; without any there is nothing to drop
     return stays if ids.filter("_near_n > 1").isEmpty() else stays.dropDuplicates([id_col, text_col])

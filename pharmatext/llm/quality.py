@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.counting import summed
-from pharmatext.llm.storage import small_batches, written
+from pharmatext.llm.storage import scratch, small_batches, written
 from pharmatext.llm.words import chunks, mix, token_runs
 
 BITS = 15
@@ -175,8 +175,8 @@ def kth_largest(values: DataFrame, column: str, k: int, few: int = 4096) -> floa
         low, high = ends
 
 
-def with_sample(docs: DataFrame, model: QualityModel, seed: int = 3, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text", prefix: str = "", drop_text: bool = False) -> DataFrame:
-    """``docs`` with (n_ngrams, log_ratio, log_weight, kept), stored once (without the texts on request)."""
+def _with_keys(docs: DataFrame, model: QualityModel, seed: int, sharpness: float, id_col: str, text_col: str, prefix: str) -> DataFrame:
+    """``docs`` with (n_ngrams, log_ratio, log_weight, key): the key is the weight with its Gumbel noise."""
     small_batches(docs.sparkSession)
     s = F.col(f"{prefix}scored")
     scored = docs.withColumn(f"{prefix}scored", _score_column(docs, model.ratios, text_col))
@@ -184,14 +184,32 @@ def with_sample(docs: DataFrame, model: QualityModel, seed: int = 3, sharpness:
     scored = scored.withColumn(f"{prefix}n_ngrams", s["n"]).withColumn(f"{prefix}log_ratio", s["mean"])
     scored = scored.withColumn(f"{prefix}log_weight", F.when(s["n"] > 0, sharpness * s["n"] * (s["mean"] - cut))).drop(f"{prefix}scored")
     noise = gumbel(seed, F.col(id_col), F.xxhash64(text_col))
-    scored = scored.withColumn(f"{prefix}key", F.col(f"{prefix}log_weight") + noise)
-    scored = written(scored.drop(text_col) if drop_text else scored, "quality")
+    return scored.withColumn(f"{prefix}key", F.col(f"{prefix}log_weight") + noise)
+
+
+def _least_key(scored: DataFrame, prefix: str) -> float:
+    """The key from which on rows are taken."""
     keys = scored.select(F.col(f"{prefix}key").alias("key"), F.col(f"{prefix}log_weight").alias("w")).filter("key IS NOT NULL")
     k = keys.filter("w > 0").count()
-    least = kth_largest(keys, "key", k) if k else float("inf")
-    return scored.withColumn(f"{prefix}kept", F.coalesce(F.col(f"{prefix}key") >= least, F.lit(False))).drop(f"{prefix}key")
+    return kth_largest(keys, "key", k) if k else float("inf")
+
+
+def _taken(prefix: str, least: float) -> Column:
+    return F.coalesce(F.col(f"{prefix}key") >= least, F.lit(False))
+
+
+def with_sample(docs: DataFrame, model: QualityModel, seed: int = 3, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text", prefix: str = "", drop_text: bool = False) -> DataFrame:
+    """``docs`` with (n_ngrams, log_ratio, log_weight, kept), stored once (without the texts on request)."""
+    scored = _with_keys(docs, model, seed, sharpness, id_col, text_col, prefix)
+    scored = written(scored.drop(text_col) if drop_text else scored, "quality")
+    return scored.withColumn(f"{prefix}kept", _taken(prefix, _least_key(scored, prefix))).drop(f"{prefix}key")
 
 
 def kept_rows(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are taken, with their columns."""
-    return with_sample(docs, model, id_col=id_col, text_col=text_col, prefix="_quality_").filter("_quality_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are taken, with their columns. Only keys are stored to find the border;
+    the rows are scored again where they lie, so no text is written twice."""
+    prefix = "_quality_"
+    scored = _with_keys(docs, model, 3, SHARPNESS, id_col, text_col, prefix)
+    with scratch(docs.sparkSession):
+        least = _least_key(written(scored.select(f"{prefix}key", f"{prefix}log_weight"), "quality"), prefix)
+    return scored.filter(_taken(prefix, least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new path in the session's shared folder. Only a local session may do without the setting."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -23,35 +23,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
         folder = tempfile.mkdtemp(prefix="pharmatext-llm-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _open:
+    if _open and not lasting:
         _open[-1].append(path)
     return path
 
 
-#: Paths made in scopes that are open, and those that ended scopes have left behind.
+#: Paths of the tables that open scopes will remove.
 _open: list[list[str]] = []
-_left: list[str] = []
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """A step whose tables are needed until its result is written. The next such step removes them, and the
-    shuffles that are no longer used, before it starts: so a chain of steps, each written before the next, keeps
-    the tables of one step on disk."""
-    while _left:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_left.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+    """A step whose tables go when it ends, but for those written as ``lasting``: the step's result must
+    read no others."""
     _open.append([])
     try:
         yield
     finally:
-        _left.extend(_open.pop())
+        for name in _open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: later steps re-read it if an executor is lost."""
-    path = shared_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written once and read back: later steps re-read it if an executor is lost. A ``lasting``
+    table outlives the scope that it is made in."""
+    path = shared_path(df.sparkSession, name, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -273,18 +273,16 @@ def test_filters_hold_every_word():
 
 # ---- storage ----
 
-def test_tables_of_a_step_go_when_the_next_one_starts(spark):
+def test_tables_of_a_step_go_when_it_ends(spark):
     import os
 
     from pharmatext.llm.storage import scratch, written
 
+    folder = lambda df: df.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/", 1)[0]
     with scratch(spark):
         first = written(spark.range(3), "first")
-    outside = written(first, "outside")
-    folder = lambda df: df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
-    paths = folder(first), folder(outside)
-    assert all(map(os.path.exists, paths))
-    with scratch(spark):
-        second = written(outside, "second")
-        assert [os.path.exists(p) for p in paths] == [False, True]
+        second = written(first, "second", lasting=True)
+        paths = folder(first), folder(second)
+        assert all(map(os.path.exists, paths))
+    assert [os.path.exists(p) for p in paths] == [False, True]
     assert second.count() == 3
