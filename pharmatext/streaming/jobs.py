@@ -6,13 +6,16 @@ Collecting writes through the file sink, whose commits are exactly-once. Scoring
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pharmatext.operators.clean import text_key
 from pharmatext.operators.collect import extract_reviews
 from pharmatext.plans.classifier import TrainedModel
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def collect_stream(pages: DataFrame, output: str, checkpoint: str, **columns: bool) -> StreamingQuery:
     """Reviews of arriving pages to parquet below ``output``: exactly the rows of the batch form.
@@ -42,6 +45,41 @@ def collect_distinct_stream(
     )
 
 
+def collect_first_stream(pages: DataFrame, output: str, checkpoint: str, **columns: bool) -> StreamingQuery:
+    """As ``collect_stream``, with the first review (by page and place) of each comment over all batches: what
+    ``dedup_text`` keeps, however the pages are split into batches. ``first_reviews`` reads the result.
+
+    The keyed state holds the least place of each comment's digest, and its review, in RocksDB on disk. When an
+    earlier place arrives later, the corrected review is written too; a batch that runs again replaces
+    its own rows. Tasks combine their own copies of a comment before the shuffle.
+    """
+    spark = pages.sparkSession
+    reviews = extract_reviews(pages, **columns)
+    first = F.min_by(F.struct(*reviews.columns), F.struct("page_id", "pos")).alias("review")
+    state = reviews.groupBy(text_key(F.col("comment")).alias("text_key")).agg(first)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.select("text_key", "review.*").write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # a query keeps the settings that it starts with
+    try:
+        return (
+            state.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
+def first_reviews(spark: SparkSession, output: str) -> DataFrame:
+    """The reviews of ``collect_first_stream``: of each comment the one that stands first of all written."""
+    stored = spark.read.parquet(f"{output}/batch=*")
+    columns = [c for c in stored.columns if c != "text_key"]
+    first = F.min_by(F.struct(*columns), F.struct("page_id", "pos")).alias("review")
+    return stored.groupBy("text_key").agg(first).select("review.*")
+
+
 def classify_stream(
     texts: DataFrame, model: TrainedModel, output: str, checkpoint: str,
     text: str = "text", id_col: str = "id", keep: list[str] | None = None,

@@ -9,7 +9,7 @@ from pharmatext.functions.fixed_values import SITE_PREFIXES
 from pharmatext.operators import collect
 from pharmatext.plans.storage import materialize, new_path
 from pharmatext.sources.pages import stream_pages
-from pharmatext.streaming.jobs import collect_distinct_stream, collect_stream
+from pharmatext.streaming.jobs import collect_distinct_stream, collect_first_stream, collect_stream, first_reviews
 from registry.common import (
     LINES_SQL, SITE_BY_LANG, STRIP_SQL, documents, heading, page_html, query, quoted, review_pages, table,
 )
@@ -452,3 +452,12 @@ def stream_collect_distinct(spark, sf):
     pages = stream_pages(spark, _landed(spark, sf), files_per_batch=8)
     collect_distinct_stream(pages, output, checkpoint).awaitTermination()
     return spark.read.parquet(output).select("comment")
+
+
+@query("stream_collect_first", f"""
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY comment ORDER BY page_id, pos) AS rn FROM ({WEBMD_SQL})) WHERE rn = 1""")
+def stream_collect_first(spark, sf):
+    """Pages arrive in batches in no order; of each comment the first review of all stays."""
+    output, checkpoint = new_path(spark, "stream_out"), new_path(spark, "stream_state")
+    collect_first_stream(stream_pages(spark, _landed(spark, sf), files_per_batch=2), output, checkpoint).awaitTermination()
+    return stars(first_reviews(spark, output), ["effectiveness", "ease of use", "satisfaction"])

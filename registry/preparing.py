@@ -19,9 +19,21 @@ from registry.common import (
 NA_SQL = ", ".join(quoted(x) for x in NA_STRINGS)
 
 
-@query("csv_scan", f"""
+CSV_SQL = f"""
 SELECT doc_id AS id, CASE WHEN text NOT IN ({NA_SQL}) THEN text END AS text,
-       CASE WHEN lang NOT IN ({NA_SQL}) THEN lang END AS lang, n_chars FROM documents""")
+       CASE WHEN lang NOT IN ({NA_SQL}) THEN lang END AS lang, n_chars FROM documents"""
+
+
+@query("csv_scan_split", CSV_SQL)
+def csv_scan_split(spark, sf):
+    """All documents as one file, their line breaks in quotes, read by byte ranges."""
+    path = new_path(spark, "csv_scan_split")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "n_chars")
+    text_files.write_csv(docs.coalesce(1), path)
+    return text_files.read_csv_split(spark, path, "id bigint, text string, lang string, n_chars bigint")
+
+
+@query("csv_scan", CSV_SQL)
 def csv_scan(spark, sf):
     path = new_path(spark, "csv_scan")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "n_chars")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +206,28 @@ def test_one_large_csv_gives_several_tasks_when_lines_are_rows(spark, tmp_path):
         assert split.count() == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_one_csv_file_read_by_byte_ranges(spark, tmp_path, limit):
+    from pharmatext.sources import text_files
+
+    draw = random.Random(4)
+    signs = ["a", "b ", '"', "\n", ",", "é", '""', "\n\n", "NA", "x" * 30, "\r\n"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(400)] + ["line\n" * 300, None, "", '"', "\n"]
+    df = spark.createDataFrame([(i, t, i % 7) for i, t in enumerate(texts)], "id bigint, text string, n int")
+    path, schema = str(tmp_path / "csv"), "id bigint, text string, n int"
+    text_files.write_csv(df.coalesce(1), path)
+    wanted = rows(text_files.read_csv(spark, path, schema))
+    assert len(wanted) == len(texts)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("300", "1000", "5000"):
+            for k in before:
+                spark.conf.set(k, size if k.endswith("maxPartitionBytes") else "1")
+            found = text_files.read_csv_split(spark, path, schema, limit)
+            assert rows(found) == wanted
+        assert text_files.csv_records(spark, path).select("file", "start").distinct().count() > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

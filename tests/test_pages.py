@@ -1,13 +1,15 @@
 """Hand-made pages of the four sites: the cases that the site tests look at."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from pharmatext.functions.markup import Where, parse
 from pharmatext.operators import collect
+from pharmatext.operators.clean import dedup_text
 from pharmatext.plans.dataset import ReviewDataset, number_reviews
 from pharmatext.sources.pages import PAGE_SCHEMA, stream_pages
-from pharmatext.streaming.jobs import collect_distinct_stream, collect_stream
+from pharmatext.streaming.jobs import collect_distinct_stream, collect_first_stream, collect_stream, first_reviews
 
 W = "https://www.webmd.com/drugs/drugreview-8953-x"
 D = "https://www.drugs.com/comments/aripiprazole/abilify.html"
@@ -241,3 +243,15 @@ def test_streams_equal_the_batch_and_survive_a_restart(spark, tmp_path):
     # A batch that runs again (new checkpoint, same folder) replaces its own output.
     collect_distinct_stream(stream_pages(spark, folder, 1), distinct, str(tmp_path / "state3")).awaitTermination()
     assert spark.read.parquet(distinct).count() == 4
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_first_copies_equal_the_batch_however_pages_arrive(spark, tmp_path, order):
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for i in order:  # pages of overlapping comments, one batch each, with a restart in between
+        spark.createDataFrame([(i, W, webmd_page(1 + i)), (10 - i, W, webmd_page(2))], PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        collect_first_stream(stream_pages(spark, folder, 1), out, state).awaitTermination()
+    batch = collect.extract_reviews(spark.read.schema(PAGE_SCHEMA).parquet(folder))
+    place = F.struct("page_id", "pos")
+    wanted = dedup_text(batch.withColumn("place", place), "comment", "place")
+    assert rows(first_reviews(spark, out), "page_id", "pos", "comment") == rows(wanted, "page_id", "pos", "comment")
