@@ -34,6 +34,8 @@ from pharmatext.llm.words import _hash, _powers, chunks
 BLANK = "▁"
 LATTICE_CHARS = 62
 FREQUENT = 1 << 20
+#: Frequencies below this are told apart when the table of frequent words is cut, higher ones by powers of two.
+COUNTED_APART = 10_000
 #: Words are dealt to so many parts for each task, so that the edges of one part are grouped in memory.
 PARTS_PER_TASK, GROUPED_IN_MEMORY = 8, 1 << 16
 UNIGRAM, BPE = 1, 2
@@ -255,8 +257,15 @@ def _whole_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(encoded: DataFrame, most: int = FREQUENT) -> Vocabulary:
-    """The words at least as frequent as the least count that keeps the table within ``most`` words."""
-    by_count = sorted(((r.n, r.w) for r in encoded.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("w")).collect()), reverse=True)
+    """The most frequent words, at most ``most`` of them, and none longer than a lattice: so the table's bytes are bounded.
+
+    Words are counted by frequency (from 10,000 on by powers of two), and all of the ranges that fit are taken; if even the highest
+    range holds more, the most frequent words of it, ties by word. Other words reach their texts by the join.
+    """
+    short = encoded.filter(F.length("word") <= LATTICE_CHARS)
+    power = F.floor(F.log2(F.col("n") / F.lit(COUNTED_APART)))
+    low = F.when(F.col("n") < COUNTED_APART, F.col("n")).otherwise((F.lit(COUNTED_APART) * F.pow(F.lit(2.0), power)).cast("long"))
+    by_count = sorted(((r.n, r.w) for r in short.groupBy(low.alias("n")).agg(F.count("*").alias("w")).collect()), reverse=True)
     least, held = None, 0
     for n, words in by_count:
         held += words
@@ -264,9 +273,13 @@ def frequent_words(encoded: DataFrame, most: int = FREQUENT) -> Vocabulary:
             break
         least = n
     none = Vocabulary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
-    if least is None:
+    if not by_count:
         return none
-    got = encoded.filter(F.col("n") >= least).select("word", "ids").toArrow()
+    if least is None:
+        wanted = short.filter(F.col("n") >= by_count[0][0]).orderBy(F.desc("n"), "word").limit(most)
+    else:
+        wanted = short.filter(F.col("n") >= least)
+    got = wanted.select("word", "ids").toArrow()
     if not got.num_rows:
         return none
     return Vocabulary(*[pa.concat_arrays(got.column(c).chunks) for c in ("word", "ids")])

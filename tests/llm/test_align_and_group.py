@@ -286,3 +286,18 @@ def test_tables_of_a_step_go_when_it_ends(spark):
         assert all(map(os.path.exists, paths))
     assert [os.path.exists(p) for p in paths] == [False, True]
     assert second.count() == 3
+
+
+# ---- the table of frequent words ----
+
+def test_frequent_words_are_bounded_at_any_frequency(spark):
+    from pharmatext.llm.pieces import frequent_words
+
+    rows = [(f"often{i}", 10_000 + 3_000 * i, [i]) for i in range(20)] + [(f"same{i}", 500, [100 + i]) for i in range(9)]
+    rows += [("l" * 100, 1 << 40, list(range(200, 290)))]  # too long for the table, however frequent
+    words = spark.createDataFrame(rows, "word string, n long, ids array<int>")
+    ids = lambda most: sorted(frequent_words(words, most).ids.tolist())
+    assert ids(100) == [*range(20), *range(100, 109)]
+    assert ids(28) == ids(21) == list(range(20))  # words of one frequency come together or not at all
+    assert ids(3) == [17, 18, 19]  # the highest range alone holds more: its most frequent words
+    assert frequent_words(words.filter("n < 0"), 5).ids.tolist() == []
