@@ -87,6 +87,31 @@ def test_cross_validation_equals_refits(spark, data, limit):
             assert got[i] == (f, python_nb(train, [words[i]])[0][0])
 
 
+def test_two_thousand_classes_take_the_same_plan_as_two(spark):
+    n = 2000
+    wide = spark.range(2 * n).select(
+        "id", F.format_string("word%d common word%d", F.col("id") % n, F.col("id") % n).alias("text"),
+        (F.col("id") % n).cast("double").alias("label"))
+    few = wide.filter("label < 2")
+    size = lambda df: len(df._jdf.queryExecution().executedPlan().toString())
+    model = naive_bayes.fit(wide)
+    assert len(model.labels) == n and model.terms().filter("term = 'word7' AND label IN (7, 8)").count() == 2
+    scored = model.score(wide.limit(300))
+    assert scored.filter("predicted = id % 2000 AND size(scores) = 2000").count() == 300
+    assert size(scored) < 1.5 * size(naive_bayes.fit(few).score(few))
+    halves = wide.withColumn("fold", (F.col("id") >= n).cast("int"))
+    checked = naive_bayes.cross_validate(halves, 2)
+    assert checked.filter("predicted = label").count() == 2 * n
+
+
+def test_labels_of_other_types_are_cross_validated(spark, data):
+    named = data.withColumn("label", F.when(F.col("label") > 0, "good").otherwise("bad"))
+    numbered = stratified_folds(data, 3)
+    got = dict(rows(naive_bayes.cross_validate(numbered.drop("label").join(named.select("id", "label"), "id"), 3).select("id", "predicted")))
+    expected = dict(rows(naive_bayes.cross_validate(numbered, 3).select("id", "predicted")))
+    assert got == {i: "good" if x > 0 else "bad" for i, x in expected.items()}
+
+
 def test_class_missing_from_a_training_part_is_never_predicted(spark):
     df = spark.createDataFrame([(1, "a1 b1", 0.0), (2, "a1", 0.0), (3, "c1", 1.0)], "id bigint, text string, label double")
     got = {r.id: r.predicted for r in naive_bayes.cross_validate(stratified_folds(df, 2), 2).collect()}
