@@ -11,14 +11,14 @@ text that its locator leads to; rows that differ are grouped by their whole text
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest
 id stays; a null id is below all others. Of repeated rows (same id) each gets the same answer, and
-all of them are "kept" if theirs is the id that stays. Further columns don't matter.
+all of them are "kept" if theirs is the id that stays. Further columns of any name are passed on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pharmatext.llm.storage import scratch, shared_path, written
+from pharmatext.llm.storage import fresh, scratch, shared_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,12 +114,13 @@ def _regrouped(rows: DataFrame, state: DataFrame, id_col: str, text_col: str, di
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text, one."""
+    own, key, digest, n = (fresh(docs, name) for name in ("_own", "_id", "_digest", "_n"))
     with scratch(docs.sparkSession):
         winners = exact_groups(docs, id_col, text_col).filter("kept")
-        winners = winners.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_n"))
+        winners = winners.groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(n))
         winners = written(winners, "dedup-kept", lasting=True)
-    own = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256))
-    met = own.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    hashed = docs.withColumn(own, F.sha2(normalised(F.col(text_col)), 256))
+    met = hashed.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)), "left_semi")
     # only repeated rows make winners repeat; without any there is nothing to drop
-    once = met if winners.filter("_n > 1").isEmpty() else met.dropDuplicates([id_col, "_own"])
-    return once.drop("_own")
+    once = met if winners.filter(F.col(n) > 1).isEmpty() else met.dropDuplicates([id_col, own])
+    return once.drop(own)

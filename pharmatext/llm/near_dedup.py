@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.components import components
 from pharmatext.llm.counting import summed
-from pharmatext.llm.storage import scratch, small_batches, written
+from pharmatext.llm.storage import fresh, scratch, small_batches, written
 from pharmatext.llm.words import chunks, mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 16, 5
@@ -261,10 +261,41 @@ def _texts_of(narrow: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that with the least id, with the columns of ``docs``; of repeated rows one."""
+    """One row of each class, that with the least id, with the columns of ``docs``; of repeated rows one.
+
+    Rows of one id with different texts are told apart by their shingles; columns of any name are passed on.
+    """
+    key, node, n = (fresh(docs, name) for name in ("_near_id", "_near_node", "_near_n"))
     with scratch(docs.sparkSession):
-        classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col).filter("kept")
-        ids = written(classes.groupBy(F.col("doc_id").alias("_near_id")).agg(F.count("*").alias("_near_n")), "near-kept", lasting=True)
-    stays = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    # only repeated rows make ids repeat; without any there is nothing to drop
-    return stays if ids.filter("_near_n > 1").isEmpty() else stays.dropDuplicates([id_col, text_col])
+        classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col)
+        ids = classes.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias(n))
+        ids = written(ids.filter("kept").select(key, n), "near-kept", lasting=True)
+        repeated = ids.filter(F.col(n) > 1)
+        alone = repeated.isEmpty()
+        if not alone:
+            nodes = classes.filter("kept").select(F.col("doc_id").alias(key), F.col("node").alias(node)).distinct()
+            met = nodes[key].eqNullSafe(repeated[key])
+            nodes = written(nodes.join(repeated, met, "left_semi"), "near-kept-texts", lasting=True)
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col(key))
+    stays = docs.join(ids, same_id, "left_semi")
+    if alone:
+        return stays
+    many = _with_node(stays.join(repeated, same_id, "left_semi"), text_col, node)
+    # the node's name stands on both sides, so the table of nodes is joined under another
+    wanted = nodes.withColumnRenamed(node, f"{node}_kept")
+    many = many.join(wanted, same_id & (F.col(node) == F.col(f"{node}_kept")), "left_semi").dropDuplicates([id_col, node])
+    return stays.join(repeated, same_id, "left_anti").unionByName(many.drop(node))
+
+
+def _with_node(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the digest that ``near_classes`` knows each text by."""
+
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        whole, made = [t or "" for t in texts.to_pylist()], []
+        for a, b in chunks(whole):
+            h, bounds = shingle_hashes(*word_hashes(whole[a:b]))
+            made += [text_digest(h[bounds[i] : bounds[i + 1]], whole[a + i]) for i in range(b - a)]
+        return pa.array(made, pa.binary())
+
+    return rows.withColumn(name, digest(F.col(text_col)))

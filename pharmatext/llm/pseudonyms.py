@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pharmatext.llm.storage import fresh
+
 ROUNDS, WALK = 8, 64
 FIRST_YEAR, LAST_YEAR = 1900, 2099
 _DAYS = 73_049  # days of these years
@@ -189,9 +191,9 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """``docs`` with personal values in the text replaced, and the number of values that changed."""
-    name = "_found"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "_found")
+    if count_col.lower() in [c.lower() for c in docs.columns]:
+        count_col = fresh(docs, count_col)
     text = F.col(text_col)
     # most texts have nothing to look at
     found = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))

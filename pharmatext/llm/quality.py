@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pharmatext.llm.counting import summed
-from pharmatext.llm.storage import scratch, small_batches, written
+from pharmatext.llm.storage import fresh, scratch, small_batches, written
 from pharmatext.llm.words import chunks, mix, token_runs
 
 BITS = 15
@@ -79,8 +79,11 @@ def _labelled(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
     """(_id, _label) of about ``LABELLED_ROWS`` labelled ids at most, picked by a digest; an id with both labels is left out."""
     marked = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_label"), F.max(label_col).alias("_most"))
     marked = marked.filter("_label = _most AND _id IS NOT NULL").select("_id", "_label")
-    share = min(1.0, LABELLED_ROWS / max(1, marked.count()))
-    return marked.filter(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+    n = marked.count()
+    if n <= LABELLED_ROWS:
+        return marked
+    digest = F.shiftrightunsigned(F.xxhash64("_id", F.lit("quality")), 1)  # 63 bits: a share of any smallness
+    return marked.filter(digest < (LABELLED_ROWS << 63) // n)
 
 
 def count_models(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     if not target.any():
         return QualityModel(np.zeros(SIZE), float("-inf"))
     ratios = log_ratios(target, raw)
-    scored = docs.join(F.broadcast(marked), F.col(id_col).cast("long") == F.col("_id")).select("_label", _score_column(docs, ratios, text_col).alias("s"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scored = rows.join(F.broadcast(marked), rows["id"] == F.col("_id")).select("_label", _score_column(rows, ratios, "text").alias("s"))
     seen = scored.select("_label", "s.*").filter("n > 0").toArrow()
     return QualityModel(ratios, best_cut(np.array(seen.column("mean").to_pylist(), dtype=float), np.array(seen.column("_label").to_pylist())))
 
@@ -208,7 +212,7 @@ def with_sample(docs: DataFrame, model: QualityModel, seed: int = 3, sharpness:
 def kept_rows(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are taken, with their columns. Only keys are stored to find the border;
     the rows are scored again where they lie, so no text is written twice."""
-    prefix = "_quality_"
+    prefix = fresh(docs, "_quality_")
     scored = _with_keys(docs, model, 3, SHARPNESS, id_col, text_col, prefix)
     with scratch(docs.sparkSession):
         least = _least_key(written(scored.select(f"{prefix}key", f"{prefix}log_weight"), "quality"), prefix)

@@ -53,6 +53,14 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` (in any case) begins with it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of shuffle tasks the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
