@@ -52,7 +52,7 @@ def extract_reviews(
     rows. ``pos`` is the review's place on its page.
     """
     site = F.col("site")
-    raw = _readable(pages).mapInPandas(markup.extract_batches, markup.RAW_SCHEMA).filter(F.col("error").isNull())
+    raw = _readable(pages).mapInArrow(markup.extract_batches, markup.RAW_SCHEMA).filter(F.col("error").isNull())
     user = F.col("user_raw")
     reviews = raw.select(
         "page_id", "pos", "site",

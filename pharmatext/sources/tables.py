@@ -21,3 +21,8 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spread(spark.read.parquet(path), key)
+
+
+def spread_stream(arriving: DataFrame, key: str) -> DataFrame:
+    """Each batch of a stream over all cores, whatever number of files it comes in."""
+    return arriving.repartition(TASKS_PER_CORE * arriving.sparkSession.sparkContext.defaultParallelism, key)

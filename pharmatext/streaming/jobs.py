@@ -1,6 +1,7 @@
 """Collecting and scoring as streams; the stream's checkpoint holds what is done.
 
-Collecting writes through the file sink, whose commits are exactly-once. Scoring writes with
+Pages of a batch are dealt out over the cores before they are read, so a batch of few files is no work for few
+tasks. Collecting writes through the file sink, whose commits are exactly-once. Scoring writes with
 ``foreachBatch``: a batch that is run again after a failure overwrites its own output folder.
 """
 
@@ -12,18 +13,23 @@ from pyspark.sql.streaming import StreamingQuery
 from pharmatext.operators.clean import text_key
 from pharmatext.operators.collect import extract_reviews
 from pharmatext.plans.classifier import TrainedModel
+from pharmatext.sources.tables import spread_stream
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _reviews(pages: DataFrame, **columns: bool) -> DataFrame:
+    return extract_reviews(spread_stream(pages, "page_id"), **columns)
+
+
 def collect_stream(pages: DataFrame, output: str, checkpoint: str, **columns: bool) -> StreamingQuery:
     """Reviews of arriving pages to parquet below ``output``: exactly the rows of the batch form.
 
     Stateless, so no watermark and no state store: one file sink with exactly-once commits.
     """
     return (
-        extract_reviews(pages, **columns).writeStream.format("parquet")
+        _reviews(pages, **columns).writeStream.format("parquet")
         .option("path", output).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
@@ -37,7 +43,7 @@ def collect_distinct_stream(
     The digests seen so far are the stream's keyed state, so a batch costs what it brings, not what
     went before. For long streams set the RocksDB state store, which keeps them on disk.
     """
-    reviews = extract_reviews(pages, **columns).withColumn("text_key", text_key(F.col("comment")))
+    reviews = _reviews(pages, **columns).withColumn("text_key", text_key(F.col("comment")))
     return (
         reviews.dropDuplicates(["text_key"]).writeStream.format("parquet")
         .option("path", output).option("checkpointLocation", checkpoint)
@@ -54,7 +60,7 @@ def collect_first_stream(pages: DataFrame, output: str, checkpoint: str, **colum
     its own rows. Tasks combine their own copies of a comment before the shuffle.
     """
     spark = pages.sparkSession
-    reviews = extract_reviews(pages, **columns)
+    reviews = _reviews(pages, **columns)
     first = F.min_by(F.struct(*reviews.columns), F.struct("page_id", "pos")).alias("review")
     state = reviews.groupBy(text_key(F.col("comment")).alias("text_key")).agg(first)
 

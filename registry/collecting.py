@@ -9,6 +9,7 @@ from pharmatext.functions.fixed_values import SITE_PREFIXES
 from pharmatext.operators import collect
 from pharmatext.plans.storage import materialize, new_path
 from pharmatext.sources.pages import stream_pages
+from pharmatext.sources.tables import TASKS_PER_CORE
 from pharmatext.streaming.jobs import collect_distinct_stream, collect_first_stream, collect_stream, first_reviews
 from registry.common import (
     LINES_SQL, SITE_BY_LANG, STRIP_SQL, documents, heading, page_html, query, quoted, review_pages, table,
@@ -434,8 +435,10 @@ def collect_from_names(spark, sf):
 # ---- streams ----
 
 def _landed(spark, sf):
-    """A folder with the rendered pages, one file per task."""
-    return materialize(review_pages(spark, sf, "webmd"), "landed").inputFiles()[0].rsplit("/", 1)[0]
+    """A folder with the rendered pages. Larger tables give larger files, not more: each batch of a stream costs a commit
+    of every state partition, so the number of batches must not grow with the table."""
+    files = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return materialize(review_pages(spark, sf, "webmd").coalesce(files), "landed").inputFiles()[0].rsplit("/", 1)[0]
 
 
 @query("stream_collect", WEBMD_SQL)
