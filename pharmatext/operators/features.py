@@ -11,13 +11,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pharmatext.functions import text as rules
-from pharmatext.plans.joins import BROADCAST_BYTES, ROW_BYTES, join_table, table_size
+from pharmatext.plans.joins import BROADCAST_BYTES, ROW_BYTES, join_measured, join_table, table_size
 from pharmatext.plans.lookup import (
-    LOOKUP_BYTES, flat_lists, list_of_rows, list_with_offsets, map_lists, mean_of, rows_of, worker_table,
+    LOOKUP_BYTES, filled, flat_lists, list_of_rows, list_with_offsets, map_batches, map_lists, mean_of, missed_in, rows_of,
+    worker_table, worker_words,
 )
 from pharmatext.plans.ranking import with_global_rank, with_rank
 from pharmatext.plans.storage import materialize
@@ -162,9 +162,13 @@ def tf_idf(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
 # ---- word vectors: a table (term, idx, vec), idx = position in the file from 0 ----
 
 def first_places(table: DataFrame) -> DataFrame:
-    """One row for each word, that of its first place; rows without a word drop. Only words and places are grouped."""
-    first = table.filter(F.col("term").isNotNull()).groupBy("term").agg(F.min("idx").alias("idx"))
-    return table.join(first, ["term", "idx"], "left_semi")
+    """One row for each word, that of its first place; rows without a word drop. Only words and places are grouped,
+    and vectors travel only beside a table of repeated words that is too large to be broadcast."""
+    named = table.filter(F.col("term").isNotNull())
+    places = named.groupBy("term").agg(F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    repeated = places.filter("_n > 1").select("term", "_first")
+    joined = join_measured(named, repeated, "term", "left")
+    return joined.filter(F.col("_first").isNull() | (F.col("_first") == F.col("idx"))).select(*table.columns)
 
 
 @dataclass
@@ -176,6 +180,7 @@ class WordVectors:
     dim: int
     n_bytes: int
     _workers: object = None
+    _sent: dict | None = None
 
     @staticmethod
     def of(table: DataFrame) -> WordVectors:
@@ -198,6 +203,24 @@ class WordVectors:
         self._workers = self._workers or worker_table(self.table)
         return self._workers
 
+    def first_words(self, limit: int, vec: bool = True):
+        """``(sent, cut)``: the words before place ``cut``, as many as ``limit`` bytes hold, in every Python worker, with
+        their vectors or without; ``cut`` is None if these are all words."""
+        if vec and self.workers(limit) is not None:
+            return self._workers, None
+        n_bytes = self.n_bytes - (0 if vec else 4 * self.dim * self.n_words)
+        cut = int(limit * self.n_words / n_bytes) if n_bytes > limit else None
+        if self._sent is None:
+            self._sent = {}
+        if (cut, vec) not in self._sent:
+            words = self.table if cut is None else self.table.filter(F.col("idx") < cut)
+            self._sent[cut, vec] = (worker_table if vec else worker_words)(words)
+        return self._sent[cut, vec], cut
+
+    def after(self, cut: int) -> DataFrame:
+        """The rows from place ``cut`` on."""
+        return self.table.filter(F.col("idx") >= cut)
+
     def lookup(self) -> DataFrame:
         """``(idx, vec)`` with a zero vector in row 0 and each word one further on."""
         zero = self.table.sparkSession.range(1).select(
@@ -213,34 +236,59 @@ def mean_vectors(
 ) -> DataFrame:
     """``(id, keep.., features)``: mean vector of a text's tokens that have one, else zeros.
 
-    Repeats count. Up to ``limit`` bytes of word vectors the texts are mapped in place; beyond, the
-    word counts of each text are joined with the vectors.
+    Repeats count. Texts are mapped in place with the first words, ``limit`` bytes of them; the other words of
+    each text, if there are any, are joined with their vectors and added to its sum.
     """
     keys = [id_col, *(keep or [])]
-    workers = vectors.workers(limit)
-    if workers is not None:
+    dim = vectors.dim
+    workers, cut = vectors.first_words(limit)
+    texts = token_arrays(df, text, keys)
+    if cut is None:
         def mean(tokens):
             terms, _, matrix = workers.value
             offsets, rows = rows_of(tokens, terms)
-            out = np.zeros((len(tokens), matrix.shape[1]))
-            for i, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
+            out = np.zeros((len(tokens), dim))
+            for i, (start, end) in enumerate(zip(offsets[:-1], offsets[1:]) if matrix is not None else ()):
                 out[i] = mean_of(rows[start:end], matrix)
             return list_of_rows(out)
 
-        texts = token_arrays(df, text, keys)
         return map_lists(texts, keys, "tokens", "array<double>", mean).select(
             *keys, array_to_vector("_new").alias("features"))
-    counts = token_rows(df, text, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-    known = vectors.table.select("term", array_to_vector("vec").alias("_v"))
-    joined = join_table(counts, known, "term", 2 * vectors.n_bytes, limit=join_limit)
-    hit = F.col("_v").isNotNull()
-    zero = array_to_vector(F.array_repeat(F.lit(0.0), vectors.dim))
-    sums = joined.groupBy(*keys).agg(
-        Summarizer.sum(F.coalesce("_v", zero), F.col("_n").cast("double")).alias("_sum"),
-        F.sum(F.when(hit, F.col("_n")).otherwise(0)).alias("_hits"),
-    )
-    mean = F.transform(vector_to_array("_sum"), lambda x: x / F.greatest("_hits", F.lit(1)))
-    return sums.select(*keys, array_to_vector(mean).alias("features"))
+
+    def begun(batch):
+        terms, _, matrix = workers.value
+        offsets, rows = rows_of(batch.column("tokens"), terms)
+        missed, starts = missed_in(offsets, rows)
+        hits = np.diff(offsets) - np.diff(starts)
+        out = np.zeros((batch.num_rows, dim))
+        for i in np.flatnonzero(hits):
+            out[i] = mean_of(rows[offsets[i]:offsets[i + 1]], matrix) * hits[i]
+        words = flat_lists(batch.column("tokens"))[1].take(pa.array(missed))
+        return [list_of_rows(out), pa.array(hits, pa.int64()), list_with_offsets(starts, words)]
+
+    sums = map_batches(texts, keys, begun, "_sum array<double>, _hits bigint, _missed array<string>")
+    sums = materialize(sums.withColumn("_row", F.monotonically_increasing_id()), "sums")
+    rows = sums.select("_row", F.explode("_missed").alias("term")).groupBy("_row", "term").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    rest = vectors.after(cut).select("term", "vec")
+    met = join_table(rows, rest, "term", vectors.n_bytes, "inner", join_limit)
+    # a text's own words
+    others = met.groupBy("_row").agg(F.collect_list(F.struct("_n", "vec")).alias("_p"))
+    joined = sums.select(*keys, "_sum", "_hits", "_row").join(others, "_row", "left").select(
+        *keys, "_sum", "_hits", F.flatten("_p.vec").alias("_flat"), F.col("_p._n").alias("_ns"))
+
+    def ended(batch):
+        total = flat_lists(batch.column("_sum"))[1].to_numpy().reshape(-1, dim).copy()
+        hits = batch.column("_hits").to_numpy().copy()
+        starts, times = flat_lists(batch.column("_ns"))
+        matrix = flat_lists(batch.column("_flat"))[1].to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+        times = times.to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(np.diff(starts)):
+            own = slice(starts[i], starts[i + 1])
+            total[i] += times[own] @ matrix[own]
+            hits[i] += times[own].sum()
+        return [list_of_rows(total / np.maximum(1, hits)[:, None])]
+
+    return map_batches(joined, keys, ended, "_new array<double>").select(*keys, array_to_vector("_new").alias("features"))
 
 
 def mean_vector_values(means: DataFrame, id_col: str = "id") -> DataFrame:
@@ -254,20 +302,31 @@ def tokens_to_indices(
 ) -> DataFrame:
     """``(id, keep.., indices)``: word position + 1 per token in text order, 0 for unknown words."""
     keys = [id_col, *(keep or [])]
-    workers = vectors.workers(limit)
-    if workers is not None:
-        def index(tokens):
-            terms, idx, _ = workers.value
-            offsets, rows = rows_of(tokens, terms)
-            return list_with_offsets(offsets, pa.array(np.append(idx + 1, 0)[rows].astype(np.int32)))
+    sent, cut = vectors.first_words(limit, vec=False)
+    texts = token_arrays(df, text, keys)
+
+    def index(tokens):
+        terms, idx = sent.value
+        offsets, rows = rows_of(tokens, terms)
+        return offsets, rows, list_with_offsets(offsets, pa.array(np.append(idx + 1, 0)[rows].astype(np.int32)))
 
-        texts = token_arrays(df, text, keys)
-        return map_lists(texts, keys, "tokens", "array<int>", index).select(
+    if cut is None:
+        return map_lists(texts, keys, "tokens", "array<int>", lambda tokens: index(tokens)[2]).select(
             *keys, F.col("_new").alias("indices"))
-    rows = df.select(*keys, F.posexplode_outer(rules.tokens(F.col(text))).alias("pos", "term"))
-    known = vectors.table.select("term", (F.col("idx") + 1).cast("int").alias("_i"))
-    joined = join_table(rows, known, "term", vectors.n_bytes, limit=join_limit)
-    return _in_order(joined, keys, F.coalesce("_i", F.lit(0)), "indices")
+
+    def begun(batch):
+        offsets, rows, known = index(batch.column("tokens"))
+        missed, starts = missed_in(offsets, rows)
+        at = missed - np.repeat(offsets[:-1], np.diff(starts))
+        words = flat_lists(batch.column("tokens"))[1].take(pa.array(missed))
+        return [known, list_with_offsets(starts, pa.array(at.astype(np.int32))), list_with_offsets(starts, words)]
+
+    stored = map_batches(texts, keys, begun, "indices array<int>, _places array<int>, _missed array<string>")
+    stored = materialize(stored.withColumn("_row", F.monotonically_increasing_id()), "indices")
+    rows = stored.select("_row", F.explode(F.arrays_zip("_places", "_missed")).alias("_z")).select(
+        "_row", F.col("_z._places").alias("_at"), F.col("_z._missed").alias("term"))
+    rest = vectors.after(cut).select("term", (F.col("idx") + 1).cast("int").alias("_v"))
+    return _with_met(stored, rows, rest, "term", vectors, join_limit, keys, "indices")
 
 
 def indices_to_tokens(
@@ -275,45 +334,63 @@ def indices_to_tokens(
     limit: int = LOOKUP_BYTES, join_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, tokens)``: the words of an index sequence; index 0 gives null."""
-    workers = vectors.workers(limit)
-    if workers is not None:
-        def word(lists):
-            terms, idx, _ = workers.value
-            at = np.full(int(idx.max()) + 2, -1)
-            at[idx + 1] = np.arange(len(idx))
-            offsets, indices = flat_lists(lists)
-            rows = at[indices.to_numpy(zero_copy_only=False)]
-            return list_with_offsets(offsets, terms.take(pa.array(rows, mask=rows < 0)))
-
+    sent, cut = vectors.first_words(limit, vec=False)
+
+    def word(lists):
+        terms, idx = sent.value
+        offsets, indices = flat_lists(lists)
+        top = int(idx.max()) + 1 if len(idx) else 0
+        at = np.full(top + 1, -1)
+        at[idx + 1] = np.arange(len(idx))
+        indices = indices.to_numpy(zero_copy_only=False)
+        rows = np.where(indices <= top, at[np.minimum(indices, top)], -1)
+        return list_with_offsets(offsets, terms.take(pa.array(rows, mask=rows < 0)))
+
+    if cut is None:
         return map_lists(sequences, [id_col], "indices", "array<string>", word).select(
             id_col, F.col("_new").alias("tokens"))
-    rows = sequences.select(id_col, F.posexplode_outer("indices").alias("pos", "_i"))
-    known = vectors.table.select((F.col("idx") + 1).cast("int").alias("_i"), "term")
-    joined = join_table(rows, known, "_i", vectors.n_bytes, limit=join_limit)
-    return _in_order(joined, [id_col], F.col("term"), "tokens")
-
-
-def _in_order(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Values of each text in ``pos`` order; one text is one row of the input, so groups are small."""
-    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v")))
-    pairs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
-    return pairs.select(*keys, F.transform("_p", lambda p: p["v"]).alias(name))
+    stored = materialize(sequences.select(id_col, "indices").withColumn("_row", F.monotonically_increasing_id()), "indices")
+    rows = stored.select("_row", F.posexplode("indices").alias("_at", "_i")).filter(F.col("_i") > cut)
+    rest = vectors.after(cut).select((F.col("idx") + 1).cast("int").alias("_i"), F.col("term").alias("_v"))
+    words = map_lists(stored, [id_col, "_row"], "indices", "array<string>", word).withColumnRenamed("_new", "tokens")
+    return _with_met(words, rows, rest, "_i", vectors, join_limit, [id_col], "tokens")
+
+
+def _with_met(lists: DataFrame, rows: DataFrame, rest: DataFrame, on: str, vectors: WordVectors, limit: int,
+              keys: list[str], name: str) -> DataFrame:
+    """``keys`` and the lists ``name`` with what the entries ``(_row, _at, on)`` meet in ``rest (on, _v)`` put in their places."""
+    met = join_table(rows, rest, on, vectors.n_bytes, "inner", limit)
+    # a text's own entries: no more than its tokens
+    found = met.groupBy("_row").agg(F.collect_list(F.struct("_at", "_v")).alias("_p"))
+    joined = lists.select(*keys, name, "_row").join(found, "_row", "left").select(
+        *keys, name, F.col("_p._at").alias("_at"), F.col("_p._v").alias("_v"))
+    kind = joined.schema[name].dataType.simpleString()
+    whole = map_batches(joined, keys, lambda b: [filled(b.column(name), b.column("_at"), b.column("_v"))], f"_new {kind}")
+    return whole.select(*keys, F.col("_new").alias(name))
 
 
 def by_length(sequences: DataFrame, id_col: str = "id") -> DataFrame:
     """Sequences longer than three, with ``length`` and their ``place`` by (length, id).
 
-    The sequences are stored first: the range partitioning reads them twice.
+    The sequences are stored; only lengths are ranked.
     """
+    return _placed(sequences, id_col).drop("_row")
+
+
+def _placed(sequences: DataFrame, id_col: str, width: int | None = None) -> DataFrame:
+    """``by_length``, and with a ``width`` the ``batch`` of so many neighbours and the longest length in it."""
     long = sequences.withColumn("length", F.size("indices")).filter(F.col("length") > MIN_LENGTH)
-    return with_global_rank(materialize(long, "sequences"), "length", id_col, name="place")
+    stored = materialize(long.withColumn("_row", F.monotonically_increasing_id()), "sequences")
+    places = with_global_rank(stored.select("_row", "length", id_col), "length", id_col, name="place").select("_row", "length", "place")
+    if width:
+        places = places.withColumn("batch", F.floor(F.col("place") / width))
+        places = places.withColumn("width", F.max("length").over(Window.partitionBy("batch")))
+    return stored.join(places.drop("length"), "_row")
 
 
 def pad_batches(sequences: DataFrame, id_col: str = "id", size: int = BATCH_SIZE) -> DataFrame:
     """Batches of ``size`` neighbours by length, right-padded with 0 to the longest of the batch."""
-    placed = by_length(sequences, id_col).withColumn("batch", F.floor(F.col("place") / size))
-    width = F.max("length").over(Window.partitionBy("batch"))
-    return placed.withColumn("width", width).select(
+    return _placed(sequences, id_col, size).select(
         "batch", id_col, "place", "length", "width",
         F.concat("indices", F.array_repeat(F.lit(0), F.col("width") - F.col("length"))).alias("padded"),
     )

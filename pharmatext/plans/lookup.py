@@ -2,7 +2,9 @@
 
 Joining a text's tokens with a table and putting the text together again costs a shuffle of all
 tokens. A table that is measured to be small goes to the workers once, and each batch of token
-arrays is looked up in place: no shuffle, and no Python object per token.
+arrays is looked up in place: no shuffle, and no Python object per token. Of a larger table the first
+words go to the workers, and only the tokens that are none of these are joined with the rest of it. Word files begin
+with their most frequent words; where one does not, the rows are the same and more tokens travel.
 """
 
 from __future__ import annotations
@@ -23,15 +25,23 @@ def worker_table(table: DataFrame):
     Row -1 of the matrix is a zero vector, for unknown words.
     """
     found = table.select("term", "idx", "vec").toArrow().combine_chunks()
-    vectors = found["vec"].combine_chunks()
     n = len(found)
-    matrix = vectors.flatten().to_numpy().astype(np.float32).reshape(n, -1)
+    if not n:
+        return table.sparkSession.sparkContext.broadcast((pa.array([], pa.string()), np.zeros(0, np.int64), None))
+    matrix = found["vec"].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(n, -1)
     matrix = np.vstack([matrix, np.zeros((1, matrix.shape[1]), np.float32)])
     idx = found["idx"].to_numpy().astype(np.int64)
     terms = found["term"].combine_chunks()
     return table.sparkSession.sparkContext.broadcast((terms, idx, matrix))
 
 
+def worker_words(table: DataFrame):
+    """Broadcast ``(terms, idx)`` of a word table whose size has been checked."""
+    found = table.select("term", "idx").toArrow().combine_chunks()
+    terms = found["term"].combine_chunks() if len(found) else pa.array([], pa.string())
+    return table.sparkSession.sparkContext.broadcast((terms, found["idx"].to_numpy().astype(np.int64)))
+
+
 def flat_lists(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets from 0 and values of a list array."""
     offsets = lists.offsets.to_numpy()
@@ -59,6 +69,35 @@ def map_lists(df: DataFrame, keys: list[str], lists: str, schema: str,
     return df.select(*keys, lists).mapInArrow(run, f"{columns}, _new {schema}")
 
 
+def missed_in(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (over all lists) of the entries without a row, and the lists' offsets among them."""
+    missed = np.flatnonzero(rows < 0)
+    return missed, np.searchsorted(missed, offsets)
+
+
+def filled(known: pa.Array, places: pa.Array, values: pa.Array) -> pa.Array:
+    """Lists with the ``values`` of each list put at its ``places``; a null list of places changes nothing."""
+    offsets, flat = flat_lists(known)
+    starts, at = flat_lists(places)
+    new = flat_lists(values)[1]
+    lists = np.repeat(np.arange(len(offsets) - 1), np.diff(starts))
+    take = np.arange(len(flat))
+    take[offsets[lists] + at.to_numpy(zero_copy_only=False)] = len(flat) + np.arange(len(new))
+    return list_with_offsets(offsets, pa.concat_arrays([flat, new.cast(flat.type)]).take(pa.array(take)))
+
+
+def map_batches(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: str) -> DataFrame:
+    """``keys`` as they are and the columns of ``schema`` that ``fn`` makes of each batch."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [c.split()[0] for c in schema.replace(", ", ",").split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *fn(batch)], names=[*keys, *names])
+
+    return df.mapInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in keys], schema]))
+
+
 def list_of_rows(values: np.ndarray) -> pa.Array:
     """A 2-d array as one list per row."""
     offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
