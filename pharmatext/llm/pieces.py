@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pharmatext.llm.storage import release, setting, small_batches, tasks, written
+from pharmatext.llm.storage import discard, release, setting, small_batches, tasks, written
 from pharmatext.llm.words import _hash, _powers, chunks
 
 BLANK = "▁"
@@ -39,6 +39,9 @@ COUNTED_APART = 10_000
 #: Words are dealt to so many parts for each task, so that the edges of one part are grouped in memory.
 PARTS_PER_TASK, GROUPED_IN_MEMORY = 8, 1 << 16
 UNIGRAM, BPE = 1, 2
+#: An edge in 64 bits: rank of its score, start, end, id. So edges sort as (score, start, end).
+ID_BITS, END_BITS, START_BITS = 21, 7, 6
+PLACES = ((1 << START_BITS + END_BITS) - 1) << ID_BITS
 
 
 @dataclass(frozen=True)
@@ -70,8 +73,12 @@ class PieceTable:
         return PieceTable(path, pieces, tuple(p.score for p in model.pieces), tuple(k == 1 for k in kinds), kinds.index(6) if 6 in kinds else None, kinds.index(2), model.trainer_spec.model_type)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, float(s)) for i, (p, s, n) in enumerate(zip(self.pieces, self.scores, self.normal, strict=True)) if n]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """(piece, id, score, rank): the best score has rank 0, equal scores have one rank. An empty piece comes with them."""
+        if len(self.pieces) >= 1 << ID_BITS:
+            raise ValueError("too many pieces")
+        ranks = {s: i for i, s in enumerate(sorted(set(self.scores), reverse=True))}
+        rows = [(p, i, float(s), ranks[s]) for i, (p, s, n) in enumerate(zip(self.pieces, self.scores, self.normal, strict=True)) if n]
+        return spark.createDataFrame([*rows, ("", 0, 0.0, len(ranks))], "piece string, id int, score double, rank long")
 
 
 # ---- words ----
@@ -123,8 +130,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 # ---- the lattice ----
 
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS + END_BITS).bitwiseAND((1 << START_BITS) - 1).cast("int")
+
+
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS).bitwiseAND((1 << END_BITS) - 1).cast("int")
+
+
+def _id(edge: Column) -> Column:
+    return edge.bitwiseAND((1 << ID_BITS) - 1).cast("int")
+
+
 def edges(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, n, edges): for each word its substrings that are pieces, as structs with their places.
+    """(word, n, edges): for each word its substrings that are pieces, as numbers that hold rank, places and id.
 
     Words are dealt out once; their substrings stay in that task until they are edges of the word. An
     empty substring matches an entry of its own, so words without any piece stay too.
@@ -133,10 +152,10 @@ def edges(words: DataFrame, table: PieceTable) -> DataFrame:
     dealt, n = words.select("word", "n").repartition(PARTS_PER_TASK * tasks(words.sparkSession), "word"), F.length("word")
     starts = dealt.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "n", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
-    pieces = table.frame(words.sparkSession).unionByName(words.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, id int, score double"))
+    pieces = table.frame(words.sparkSession).select("piece", F.shiftleft("rank", START_BITS + END_BITS + ID_BITS).bitwiseOR(F.col("id").cast("long")).alias("top"))
     met = spans.withColumn("piece", F.substr("word", F.col("s") + 1, F.col("l"))).join(F.broadcast(pieces), "piece")  # the file's pieces
-    inner = F.expr("(shiftleft(1L, s + l) - 1) & ~(shiftleft(1L, s + 1) - 1)")
-    edge = F.struct((-F.col("score")).alias("cost"), F.col("s"), (F.col("s") + F.col("l")).alias("e"), "id", inner.alias("inner"), F.expr("shiftleft(1L, s) | shiftleft(1L, s + l)").alias("ends"))
+    places = F.shiftleft(F.col("s").cast("long"), END_BITS).bitwiseOR((F.col("s") + F.col("l")).cast("long"))
+    edge = F.col("top").bitwiseOR(F.shiftleft(places, ID_BITS))
     return met.select("word", "n", edge.alias("edge")).groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
@@ -152,8 +171,10 @@ def _ids_between(table: PieceTable, stops: Column) -> Column:
     """Ids of the path through the sorted places ``stops``."""
     def ids(i: Column) -> Column:
         s, e = F.element_at(stops, i), F.element_at(stops, i + 1)
-        own = F.filter(F.col("edges"), lambda x: (x["s"] == s) & (x["e"] == e))
-        return F.when(F.size(own) > 0, F.array(own[0]["id"])).otherwise(_fallback(table, F.substr("word", s + 1, F.lit(1))))
+        places = F.shiftleft(F.shiftleft(s, END_BITS).bitwiseOR(e).cast("long"), ID_BITS)
+        of = lambda p: F.get(F.filter("edges", lambda x: x.bitwiseAND(PLACES) == p), F.lit(0))
+        edge = F.transform(F.array(places), of)  # each looked for once
+        return F.transform(edge, lambda x: F.when(x.isNotNull(), F.array(_id(x))).otherwise(_fallback(table, F.substr("word", s + 1, F.lit(1)))))[0]
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(stops) - 1), ids))
 
@@ -164,12 +185,22 @@ def merged_stops(edges_: Column, n: Column) -> Column:
         fits = F.filter(longer_, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
         return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
-    longer = F.filter(edges_, lambda x: x["inner"] != 0)
+    def bits(x: Column) -> Column:
+        s, e = F.call_function("shiftleft", F.lit(1).cast("long"), _start(x)), F.call_function("shiftleft", F.lit(1).cast("long"), _end(x))
+        return F.struct((e - s - s).alias("inner"), s.bitwiseOR(e).alias("ends"))
+
+    longer = F.filter(F.transform(edges_, bits), lambda x: x["inner"] != 0)
     full = (F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1).cast("long")
     mask = F.transform(F.array(longer), lambda e: F.aggregate(F.sequence(F.lit(1), n), full, lambda m, _: step(m, e)))[0]
     return F.transform(F.array(mask), lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", m, i) == 1))[0]
 
 
+def with_costs(edges_: Column, table: PieceTable) -> Column:
+    """Edges as structs with the cost of their rank."""
+    costs = F.array(*[F.lit(-float(s)) for s in sorted(set(table.scores), reverse=True)], F.lit(0.0))
+    return F.transform(edges_, lambda x: F.struct(F.get(costs, F.shiftright(x, START_BITS + END_BITS + ID_BITS).cast("int")).alias("cost"), _start(x).alias("s"), _end(x).alias("e")))
+
+
 def viterbi_stops(edges_: Column, n: Column, unknown_cost: float) -> Column:
     """The fold of unigram files: the cheapest way to each place and where it came from, then back."""
     never = F.lit(float("inf"))
@@ -195,7 +226,7 @@ def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
     known, n = F.col("edges"), F.length("word")
     if table.kind == UNIGRAM:
         worst = min(s for s, k in zip(table.scores, table.normal, strict=True) if k)
-        stops = viterbi_stops(known, n, 10.0 - worst)
+        stops = viterbi_stops(with_costs(known, table), n, 10.0 - worst)
     else:
         stops = merged_stops(known, n)
     ids = F.transform(F.array(stops), lambda x: _ids_between(table, x))[0]
@@ -309,56 +340,91 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     counts = written(word_counts(rows.select("text")), "words")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_IN_MEMORY)):
         encoded = written(encoded_words(counts, table), "encoded-words")
+    discard(counts)
     release(spark)
     shared = spark.sparkContext.broadcast(frequent_words(encoded, most))
 
+    def lacking(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]], list[np.ndarray]]]:
+        """By chunks of texts: the words' places in the broadcast table, their bounds by text, and of each text the sorted
+        words that the table lacks and the number among them of each such word."""
+        for a, b in chunks(texts):
+            data, starts, ends, hashes, bounds = words_in(texts[a:b])
+            at, raw = shared.value.find(hashes), data.tobytes()
+            rare, numbers = [], []
+            for i in range(b - a):
+                missed = np.flatnonzero(at[bounds[i] : bounds[i + 1]] < 0) + bounds[i]
+                own = [raw[s:e] for s, e in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)]
+                rare.append(sorted(set(own)))
+                number = {w: k for k, w in enumerate(rare[-1])}
+                numbers.append(np.array([number[w] for w in own], dtype=np.int32))
+            yield at, bounds, rare, numbers
+
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each text that the broadcast table lacks."""
+        """Words of each text that the broadcast table lacks, numbered."""
+        for batch in batches:
+            ids, marks, t = batch.column("id").to_pylist(), batch.column("row").to_pylist(), 0
+            for _, _, rare, _ in lacking(_blanked(batch.column("text").to_pylist())):
+                found = [(t + i, k, w) for i, own in enumerate(rare) for k, w in enumerate(own)]
+                t += len(rare)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _, _ in found], pa.int64()), pa.array([marks[i] for i, _, _ in found], pa.int64()), pa.array([k for _, k, _ in found], pa.int32()), pa.array([w.decode("utf-8", "replace") for _, _, w in found], pa.string())], names=["id", "row", "k", "word"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as ids of its frequent words and, below 0, the numbers of others; so texts themselves need not travel."""
+        known = shared.value
         for batch in batches:
-            texts, ids, marks = _blanked(batch.column("text").to_pylist()), batch.column("id").to_pylist(), batch.column("row").to_pylist()
-            for a, b in chunks(texts):
-                data, starts, ends, hashes, bounds = words_in(texts[a:b])
-                missed = np.flatnonzero(shared.value.find(hashes) < 0)
-                if not len(missed):
-                    continue
-                raw, text = data.tobytes(), np.searchsorted(bounds, missed, side="right") - 1
-                found = sorted({(a + t, raw[s:e].decode("utf-8", "replace")) for t, s, e in zip(text.tolist(), starts[missed].tolist(), ends[missed].tolist(), strict=True)})
-                yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _ in found], pa.int64()), pa.array([marks[t] for t, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], names=["id", "row", "word"])
+            source, parts, wide = batch.column("text").to_pylist(), [], []
+            for at, bounds, rare, numbers in lacking(_blanked(source)):
+                for i in range(len(rare)):
+                    own = at[bounds[i] : bounds[i + 1]]
+                    hit = np.flatnonzero(own >= 0)
+                    sizes = np.ones(len(own), dtype=np.int64)
+                    if len(hit):
+                        sizes[hit] = known.bounds[own[hit] + 1] - known.bounds[own[hit]]
+                    ends = np.cumsum(sizes)
+                    marks = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
+                    if len(hit):
+                        before = np.arange(sizes[hit].sum()) - np.repeat(np.cumsum(sizes[hit]) - sizes[hit], sizes[hit])
+                        marks[np.repeat(ends[hit] - sizes[hit], sizes[hit]) + before] = known.ids[np.repeat(known.bounds[own[hit]], sizes[hit]) + before]
+                    missed = np.flatnonzero(own < 0)
+                    marks[ends[missed] - 1] = -1 - numbers[i]
+                    wide.append(len(marks) > 0 and (int(marks.max()) >= 1 << 15 or int(marks.min()) < -(1 << 15)))
+                    parts.append(marks.astype(np.int32 if wide[-1] else np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), batch.column("row"), pa.array(parts, pa.binary()), pa.array(wide, pa.bool_()),
+                pa.array([sha256((s or "").encode("utf-8", "surrogatepass")).digest() for s in source], pa.binary()),
+            ], names=["id", "row", "marks", "wide", "digest"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = piece_bytes(table), shared.value
+        pieces = piece_bytes(table)
         for batch in batches:
-            source, ids, rare = batch.column("text").to_pylist(), batch.column("id"), batch.column("rare").to_pylist()
-            texts = _blanked(source)
-            for a, b in chunks(texts):
-                data, starts, ends, hashes, bounds = words_in(texts[a:b])
-                at, raw = known.find(hashes), data.tobytes()
-                sizes = np.where(at >= 0, known.bounds[at + 1] - known.bounds[at], 0) if len(known.hashes) else np.zeros(len(at), dtype=np.int64)
-                own: dict[int, np.ndarray] = {}
-                for i in range(b - a):
-                    extra = {x["word"]: x["ids"] for x in rare[a + i] or []}
-                    for w in (np.flatnonzero(at[bounds[i] : bounds[i + 1]] < 0) + bounds[i]).tolist() if extra else []:
-                        own[w] = np.array(extra[raw[starts[w] : ends[w]].decode("utf-8", "replace")], dtype=np.int32)
-                for w, x in own.items():
-                    sizes[w] = len(x)
-                ends_at = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.empty(ends_at[-1], dtype=np.int32)
-                hit = np.flatnonzero(at >= 0)
-                if len(hit):
-                    take = np.repeat(known.bounds[at[hit]], sizes[hit]) + np.arange(sizes[hit].sum()) - np.repeat(np.cumsum(sizes[hit]) - sizes[hit], sizes[hit])
-                    flat[np.repeat(ends_at[hit], sizes[hit]) + np.arange(sizes[hit].sum()) - np.repeat(np.cumsum(sizes[hit]) - sizes[hit], sizes[hit])] = known.ids[take]
-                for w, x in own.items():
-                    flat[ends_at[w] : ends_at[w + 1]] = x
-                cuts = ends_at[bounds]
-                back = [decode(flat[cuts[i] : cuts[i + 1]], pieces) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a), pa.array(np.diff(cuts), pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
-                    pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]), pa.array([t == (s or "") for t, s in zip(back, source[a:b], strict=True)], pa.bool_()),
-                ], names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
-
-    missing = rows.mapInArrow(others, "id long, row long, word string").join(encoded.select("word", "ids"), "word")
+            out, back = [], []
+            for raw, wide, rare in zip(batch.column("marks"), batch.column("wide").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                marks = np.frombuffer(raw.as_buffer(), dtype=np.int32 if wide else np.int16).astype(np.int32)
+                missed = np.flatnonzero(marks < 0)
+                if len(missed):
+                    own = {x["k"]: x["ids"] for x in rare}
+                    sizes = np.ones(len(marks), dtype=np.int64)
+                    found = [own[k] for k in (-1 - marks[missed]).tolist()]
+                    sizes[missed] = [len(x) for x in found]
+                    kept = np.repeat(marks, sizes)
+                    kept[np.repeat(marks < 0, sizes)] = [i for x in found for i in x]
+                    marks = kept
+                out.append(marks)
+                back.append(sha256(decode(marks, pieces).encode("utf-8", "surrogatepass")))
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+            flat = np.concatenate(out) if out else np.empty(0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.array(np.diff(cuts), pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
+                pa.array([x.hexdigest() for x in back], pa.string()),
+                pa.array([x.digest() == d for x, d in zip(back, batch.column("digest").to_pylist(), strict=True)], pa.bool_()),
+            ], names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
+
+    missing = rows.mapInArrow(others, "id long, row long, k int, word string").join(encoded.select("word", "ids"), "word")
     # a text's own rare words: no more than the text itself
-    rare = written(missing.groupBy(F.col("id").alias("r_id"), F.col("row").alias("r_row")).agg(F.collect_list(F.struct("word", "ids")).alias("rare")), "rare-words")
+    rare = written(missing.groupBy(F.col("id").alias("r_id"), F.col("row").alias("r_row")).agg(F.collect_list(F.struct("k", "ids")).alias("rare")), "rare-words")
+    discard(encoded)
     release(spark)
-    met = rows.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("row") == F.col("r_row")), "left").select("id", "text", "rare")
+    begun = rows.mapInArrow(begin, "id long, row long, marks binary, wide boolean, digest binary")
+    met = begun.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("row") == F.col("r_row")), "left").select("id", "marks", "wide", "digest", "rare")
     return met.mapInArrow(finish, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
