@@ -9,6 +9,7 @@ from pharmatext.functions.fixed_values import NA_STRINGS, STOP_WORDS
 from pharmatext.operators import clean, features, labelling, stats
 from pharmatext.plans.storage import new_path
 from pharmatext.sources import pages, text_files, word_vectors
+from pharmatext.sources.tables import file_bytes
 from registry.common import (
     DEDUP_SQL, FILLED, LABELLED_SQL, RAW_REVIEWS_SQL, STOPS_SQL, TEXTS_SQL, WORD_VECTORS_SQL,
     labelled, query, quoted, raw_reviews, table, texts, token_rows_sql, word_vector_table,
@@ -24,12 +25,17 @@ SELECT doc_id AS id, CASE WHEN text NOT IN ({NA_SQL}) THEN text END AS text,
        CASE WHEN lang NOT IN ({NA_SQL}) THEN lang END AS lang, n_chars FROM documents"""
 
 
+#: Bytes of documents that one task writes to one file; each such file is still read by several tasks.
+CSV_FILE_BYTES = 256 * 1024 * 1024
+
+
 @query("csv_scan_split", CSV_SQL)
 def csv_scan_split(spark, sf):
-    """All documents as one file, their line breaks in quotes, read by byte ranges."""
+    """All documents as one file (of many documents a few large ones), their line breaks in quotes, read by byte ranges."""
     path = new_path(spark, "csv_scan_split")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "n_chars")
-    text_files.write_csv(docs.coalesce(1), path)
+    files = -(-file_bytes(spark, f"{sf}/documents.parquet") // CSV_FILE_BYTES)
+    text_files.write_csv(docs.coalesce(1) if files <= 1 else docs.repartition(files, "id"), path)
     return text_files.read_csv_split(spark, path, "id bigint, text string, lang string, n_chars bigint")
 
 
