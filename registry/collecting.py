@@ -9,7 +9,7 @@ from pharmatext.functions.fixed_values import SITE_PREFIXES
 from pharmatext.operators import collect
 from pharmatext.plans.storage import materialize, new_path
 from pharmatext.sources.pages import stream_pages
-from pharmatext.sources.tables import TASKS_PER_CORE
+from pharmatext.sources.tables import TASKS_PER_CORE, read_table
 from pharmatext.streaming.jobs import collect_distinct_stream, collect_first_stream, collect_stream, first_reviews
 from registry.common import (
     LINES_SQL, SITE_BY_LANG, STRIP_SQL, documents, heading, page_html, query, quoted, review_pages, table,
@@ -304,7 +304,7 @@ def search_pages(spark, sf):
     On drugratingz a page lists the part and a lesser hit. Elsewhere the part key decides what the
     page shows; on webmd an odd key gives a direct link and an even one a page between.
     """
-    parts = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), "p_size")
+    parts = read_table(spark, f"{sf}/part.parquet", "p_partkey").select("p_partkey", F.col("p_name").alias("name"), "p_size")
     key, size, odd = F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_partkey") % 2 == 1
     row = lambda kind, href, n: F.concat(
         F.lit('<tr class="ratingstable'), kind, F.lit('"><td align="center">a</td><td align="center">b</td>'
