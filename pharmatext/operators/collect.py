@@ -15,14 +15,15 @@ def route_pages(pages: DataFrame, prefixes: dict[str, str] = SITE_PREFIXES) -> D
 
 
 def _readable(pages: DataFrame) -> DataFrame:
-    """``(page_id, site, url, html)`` of pages of known sites that were fetched."""
+    """``(page_id, site, url, html)`` of pages of known sites. Pages not fetched are passed over where pages are read:
+    a filter here would be evaluated below whatever makes ``html``, so every page would be made twice."""
     known = pages if "site" in pages.columns else route_pages(pages)
-    return known.filter(F.col("site").isNotNull() & F.col("html").isNotNull()).select("page_id", "site", "url", "html")
+    return known.filter(F.col("site").isNotNull()).select("page_id", "site", "url", "html")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """``(page_id, site, url, drug, is_reviews, total_raw, error)`` of pages of known sites, from their markup."""
-    return _readable(pages).mapInPandas(markup.fact_batches, markup.FACT_SCHEMA)
+    return _readable(pages).mapInArrow(markup.fact_batches, markup.FACT_SCHEMA)
 
 
 def rejected_pages(pages: DataFrame, prefixes: dict[str, str] = SITE_PREFIXES) -> DataFrame:
@@ -38,7 +39,7 @@ def rejected_pages(pages: DataFrame, prefixes: dict[str, str] = SITE_PREFIXES) -
 def _star_map(names: list[str]) -> Column:
     """Map of the star names to the stars found; the shorter of the two lists wins."""
     values = F.transform(F.col("stars"), sites.parse_star)
-    n = F.least(F.size(values), F.lit(len(names)))
+    n = F.least(F.size("stars"), F.lit(len(names)))
     keys = F.array(*[F.lit(x) for x in names])
     return F.map_from_arrays(F.slice(keys, F.lit(1), n), F.slice(values, F.lit(1), n))
 
@@ -166,7 +167,7 @@ def search_hits(results: DataFrame) -> DataFrame:
     Gives ``(page_id, site, name, pos, n_reviews, url, is_hop)``: a hop leads to one more page that
     links to the reviews. ``best_candidates`` picks one hit per name.
     """
-    raw = results.select("page_id", "site", "name", "url", "html").mapInPandas(
+    raw = results.select("page_id", "site", "name", "url", "html").mapInArrow(
         markup.search_batches, markup.SEARCH_SCHEMA)
     return raw.select(
         "page_id", "site", "name", "pos",
