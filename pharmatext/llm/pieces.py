@@ -12,10 +12,11 @@ found are grouped by word, and a fold (Spark's higher-order ``aggregate``) picks
 Characters without a piece become byte pieces (or the unknown piece where the file has none). Words of
 more than ``LATTICE_CHARS`` characters, whose lattice would be long, are encoded by the library.
 
-Words go back to the texts in two tiers. A table of the most frequent words (at most ``FREQUENT``,
-about 30 MB) is broadcast as arrays; other words are looked up by a join on the word and reach their
-text by its id. Null and empty texts have no ids. Rows of one id are told apart by a digest of the
-text; repeated rows get the same ids. White space other than blanks is kept, so decoding gives the
+Words come to the texts in two tiers. The most frequent words (at most ``FREQUENT``, about 30 MB) are
+encoded once and broadcast as arrays. Most other words stand in one text only, so to collect them and bring them
+back would cost more than it saves: the task of a text builds their lattice itself, as arrays over all words
+of a chunk (``lattice``). Neither texts nor rare words are shuffled. Null and empty texts have no ids;
+repeated rows get the same ids. White space other than blanks is kept, so decoding gives the
 text back, but for the sign that the library itself uses for a blank.
 """
 
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pharmatext.llm.lattice import Lattice, runs
 from pharmatext.llm.storage import discard, release, setting, small_batches, tasks, written
-from pharmatext.llm.words import _hash, _powers, chunks
+from pharmatext.llm.words import _hash, _powers, chunks, process_wide
 
 BLANK = "▁"
 LATTICE_CHARS = 62
@@ -190,7 +192,7 @@ def merged_stops(edges_: Column, n: Column) -> Column:
         return F.struct((e - s - s).alias("inner"), s.bitwiseOR(e).alias("ends"))
 
     longer = F.filter(F.transform(edges_, bits), lambda x: x["inner"] != 0)
-    full = (F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1).cast("long")
+    full = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n + 1))  # also for the longest words, where 1 << n + 1 is below 0
     mask = F.transform(F.array(longer), lambda e: F.aggregate(F.sequence(F.lit(1), n), full, lambda m, _: step(m, e)))[0]
     return F.transform(F.array(mask), lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", m, i) == 1))[0]
 
@@ -219,6 +221,22 @@ def viterbi_stops(edges_: Column, n: Column, unknown_cost: float) -> Column:
     return F.transform(F.array(ways), back)[0]
 
 
+def library_ids(words: list[str], path: str) -> list[list[int]]:
+    """The library's ids of words, each as if it stood inside a text."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = process_wide(f"library {path}", lambda: SentencePieceProcessor(model_file=path))
+    blank = library.piece_to_id(BLANK)
+    out = []
+    for w in words:
+        if w[0] == " ":  # the library puts the first blank itself
+            out.append(library.encode(w[1:], num_threads=1))
+        else:  # a word after a line break: shield it from that blank by a break
+            got = library.encode("\n" + w, num_threads=1)
+            out.append(got[(1 if got[0] == blank else 0) + len(library.encode("\n", num_threads=1)) - 1 :])
+    return out
+
+
 def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
     """(word, n, ids) of every word of a table of distinct words and their counts."""
     short, long = words.filter(F.length("word") <= LATTICE_CHARS), words.filter(F.length("word") > LATTICE_CHARS)
@@ -232,18 +250,8 @@ def encoded_words(words: DataFrame, table: PieceTable) -> DataFrame:
     ids = F.transform(F.array(stops), lambda x: _ids_between(table, x))[0]
 
     def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sentencepiece import SentencePieceProcessor
-
-        library = SentencePieceProcessor(model_file=table.path)
-        blank = library.piece_to_id(BLANK)
         for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w[0] == " ":  # the library puts the first blank itself
-                    out.append(library.encode(w[1:], num_threads=1))
-                else:  # a word after a line break: shield it from that blank by a break
-                    got = library.encode("\n" + w, num_threads=1)
-                    out.append(got[(1 if got[0] == blank else 0) + len(library.encode("\n", num_threads=1)) - 1 :])
+            out = library_ids(batch.column("word").to_pylist(), table.path)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return lattice.select("word", "n", ids.alias("ids")).unionByName(long.select("word", "n").mapInArrow(by_library, "word string, n long, ids array<int>"))
@@ -287,35 +295,80 @@ def _whole_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _hash(bounds[:-1], bounds[1:], sums, inverses)
 
 
-def frequent_words(encoded: DataFrame, most: int = FREQUENT) -> Vocabulary:
-    """The most frequent words, at most ``most`` of them, and none longer than a lattice: so the table's bytes are bounded.
+def most_frequent(words: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The rows of the most frequent words, at most ``most`` of them, and none longer than a lattice: so their bytes are bounded.
 
     Words are counted by frequency (from 10,000 on by powers of two), and all of the ranges that fit are taken; if even the highest
-    range holds more, the most frequent words of it, ties by word. Other words reach their texts by the join.
+    range holds more, the most frequent words of it, ties by word. Other words are encoded in the tasks of their texts.
     """
-    short = encoded.filter(F.length("word") <= LATTICE_CHARS)
+    short = words.filter(F.length("word") <= LATTICE_CHARS)
     power = F.floor(F.log2(F.col("n") / F.lit(COUNTED_APART)))
     low = F.when(F.col("n") < COUNTED_APART, F.col("n")).otherwise((F.lit(COUNTED_APART) * F.pow(F.lit(2.0), power)).cast("long"))
     by_count = sorted(((r.n, r.w) for r in short.groupBy(low.alias("n")).agg(F.count("*").alias("w")).collect()), reverse=True)
     least, held = None, 0
-    for n, words in by_count:
-        held += words
+    for n, count in by_count:
+        held += count
         if held > most:
             break
         least = n
-    none = Vocabulary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
-    if not by_count:
-        return none
     if least is None:
-        wanted = short.filter(F.col("n") >= by_count[0][0]).orderBy(F.desc("n"), "word").limit(most)
-    else:
-        wanted = short.filter(F.col("n") >= least)
-    got = wanted.select("word", "ids").toArrow()
+        return short.filter(F.col("n") >= (by_count[0][0] if by_count else 0)).orderBy(F.desc("n"), "word").limit(most)
+    return short.filter(F.col("n") >= least)
+
+
+def vocabulary(encoded: DataFrame) -> Vocabulary:
+    """All words of a bounded table of words and ids."""
+    got = encoded.select("word", "ids").toArrow()
     if not got.num_rows:
-        return none
+        return Vocabulary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
     return Vocabulary(*[pa.concat_arrays(got.column(c).chunks) for c in ("word", "ids")])
 
 
+def frequent_words(encoded: DataFrame, most: int = FREQUENT) -> Vocabulary:
+    """The most frequent words of a table of encoded words."""
+    return vocabulary(most_frequent(encoded, most))
+
+
+def rare_ids(words: list[str], lattice: Lattice, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds by word) of words in a task: by their lattice, or by the library where that would be long."""
+    ids, bounds = lattice.encode([w if len(w) <= LATTICE_CHARS else "" for w in words])
+    long = [i for i, w in enumerate(words) if len(w) > LATTICE_CHARS]
+    if not long:
+        return ids, bounds
+    own, sizes = library_ids([words[i] for i in long], path), np.diff(bounds)
+    sizes[long] = [len(x) for x in own]
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    whole = np.empty(stops[-1], dtype=np.int32)
+    is_long = np.zeros(len(words), dtype=bool)
+    is_long[long] = True
+    by_id = np.repeat(is_long, sizes)
+    whole[~by_id] = ids
+    whole[by_id] = [i for x in own for i in x]
+    return whole, stops
+
+
+def text_ids(texts: list[str], known: Vocabulary, lattice: Lattice, path: str) -> Iterator[np.ndarray]:
+    """The ids of each text: words of the table by their hash, the others of a chunk of texts encoded once."""
+    for a, b in chunks(texts):
+        data, starts, ends, hashes, bounds = words_in(texts[a:b])
+        at, raw = known.find(hashes), data.tobytes()
+        hit, missed = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        _, first, number = np.unique(hashes[missed], return_index=True, return_inverse=True)
+        own = missed[first]
+        rare, cuts = rare_ids([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], lattice, path)
+        sizes = np.empty(len(at), dtype=np.int64)
+        for places, where, stops in ((hit, at[hit], known.bounds), (missed, number, cuts)):
+            sizes[places] = stops[where + 1] - stops[where]
+        out_stops = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(out_stops[-1], dtype=np.int32)
+        for places, where, stops, source in ((hit, at[hit], known.bounds, known.ids), (missed, number, cuts, rare)):
+            n = sizes[places]
+            before = runs(n)
+            out[np.repeat(out_stops[places], n) + before] = source[np.repeat(stops[where], n) + before]
+        for i in range(b - a):
+            yield out[out_stops[bounds[i]] : out_stops[bounds[i + 1]]]
+
+
 def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
     """The text of ids: pieces and byte pieces joined, without the blank in front."""
     text = b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -336,82 +389,28 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     small_batches(spark)
     table = PieceTable.read(path)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = written(word_counts(rows.select("text")), "words")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_IN_MEMORY)):
-        encoded = written(encoded_words(counts, table), "encoded-words")
+        shared = spark.sparkContext.broadcast((vocabulary(encoded_words(most_frequent(counts, most), table)), Lattice(table, table.kind == UNIGRAM)))
     discard(counts)
     release(spark)
-    shared = spark.sparkContext.broadcast(frequent_words(encoded, most))
-
-    def lacking(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]], list[np.ndarray]]]:
-        """By chunks of texts: the words' places in the broadcast table, their bounds by text, and of each text the sorted
-        words that the table lacks and the number among them of each such word."""
-        for a, b in chunks(texts):
-            data, starts, ends, hashes, bounds = words_in(texts[a:b])
-            at, raw = shared.value.find(hashes), data.tobytes()
-            rare, numbers = [], []
-            for i in range(b - a):
-                missed = np.flatnonzero(at[bounds[i] : bounds[i + 1]] < 0) + bounds[i]
-                own = [raw[s:e] for s, e in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)]
-                rare.append(sorted(set(own)))
-                number = {w: k for k, w in enumerate(rare[-1])}
-                numbers.append(np.array([number[w] for w in own], dtype=np.int32))
-            yield at, bounds, rare, numbers
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each text that the broadcast table lacks, numbered."""
-        for batch in batches:
-            ids, marks, t = batch.column("id").to_pylist(), batch.column("row").to_pylist(), 0
-            for _, _, rare, _ in lacking(_blanked(batch.column("text").to_pylist())):
-                found = [(t + i, k, w) for i, own in enumerate(rare) for k, w in enumerate(own)]
-                t += len(rare)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _, _ in found], pa.int64()), pa.array([marks[i] for i, _, _ in found], pa.int64()), pa.array([k for _, k, _ in found], pa.int32()), pa.array([w.decode("utf-8", "replace") for _, _, w in found], pa.string())], names=["id", "row", "k", "word"])
+    kept = np.dtype(np.int16 if len(table.pieces) <= 1 << 15 else np.int32)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text as ids of its frequent words and, below 0, the numbers of others; so texts themselves need not travel."""
-        known = shared.value
+        """Each text as ids, with a digest to compare with what they decode to."""
         for batch in batches:
-            source, parts, wide = batch.column("text").to_pylist(), [], []
-            for at, bounds, rare, numbers in lacking(_blanked(source)):
-                for i in range(len(rare)):
-                    own = at[bounds[i] : bounds[i + 1]]
-                    hit = np.flatnonzero(own >= 0)
-                    sizes = np.ones(len(own), dtype=np.int64)
-                    if len(hit):
-                        sizes[hit] = known.bounds[own[hit] + 1] - known.bounds[own[hit]]
-                    ends = np.cumsum(sizes)
-                    marks = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
-                    if len(hit):
-                        before = np.arange(sizes[hit].sum()) - np.repeat(np.cumsum(sizes[hit]) - sizes[hit], sizes[hit])
-                        marks[np.repeat(ends[hit] - sizes[hit], sizes[hit]) + before] = known.ids[np.repeat(known.bounds[own[hit]], sizes[hit]) + before]
-                    missed = np.flatnonzero(own < 0)
-                    marks[ends[missed] - 1] = -1 - numbers[i]
-                    wide.append(len(marks) > 0 and (int(marks.max()) >= 1 << 15 or int(marks.min()) < -(1 << 15)))
-                    parts.append(marks.astype(np.int32 if wide[-1] else np.int16).tobytes())
+            source = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), batch.column("row"), pa.array(parts, pa.binary()), pa.array(wide, pa.bool_()),
+                batch.column("id"), pa.array([ids.astype(kept).tobytes() for ids in text_ids(_blanked(source), *shared.value, path)], pa.binary()),
                 pa.array([sha256((s or "").encode("utf-8", "surrogatepass")).digest() for s in source], pa.binary()),
-            ], names=["id", "row", "marks", "wide", "digest"])
+            ], names=["id", "marks", "digest"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_bytes(table)
         for batch in batches:
-            out, back = [], []
-            for raw, wide, rare in zip(batch.column("marks"), batch.column("wide").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-                marks = np.frombuffer(raw.as_buffer(), dtype=np.int32 if wide else np.int16).astype(np.int32)
-                missed = np.flatnonzero(marks < 0)
-                if len(missed):
-                    own = {x["k"]: x["ids"] for x in rare}
-                    sizes = np.ones(len(marks), dtype=np.int64)
-                    found = [own[k] for k in (-1 - marks[missed]).tolist()]
-                    sizes[missed] = [len(x) for x in found]
-                    kept = np.repeat(marks, sizes)
-                    kept[np.repeat(marks < 0, sizes)] = [i for x in found for i in x]
-                    marks = kept
-                out.append(marks)
-                back.append(sha256(decode(marks, pieces).encode("utf-8", "surrogatepass")))
+            out = [np.frombuffer(raw.as_buffer(), dtype=kept).astype(np.int32) for raw in batch.column("marks")]
+            back = [sha256(decode(ids, pieces).encode("utf-8", "surrogatepass")) for ids in out]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in out])])
             flat = np.concatenate(out) if out else np.empty(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -420,11 +419,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 pa.array([x.digest() == d for x, d in zip(back, batch.column("digest").to_pylist(), strict=True)], pa.bool_()),
             ], names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
 
-    missing = rows.mapInArrow(others, "id long, row long, k int, word string").join(encoded.select("word", "ids"), "word")
-    # a text's own rare words: no more than the text itself
-    rare = written(missing.groupBy(F.col("id").alias("r_id"), F.col("row").alias("r_row")).agg(F.collect_list(F.struct("k", "ids")).alias("rare")), "rare-words")
-    discard(encoded)
-    release(spark)
-    begun = rows.mapInArrow(begin, "id long, row long, marks binary, wide boolean, digest binary")
-    met = begun.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("row") == F.col("r_row")), "left").select("id", "marks", "wide", "digest", "rare")
-    return met.mapInArrow(finish, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
+    # written once, so that a result read again does not run the rare words' lattice again
+    begun = written(rows.mapInArrow(begin, "id long, marks binary, digest binary"), "rare-words")
+    return begun.mapInArrow(finish, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
