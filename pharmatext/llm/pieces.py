@@ -43,6 +43,8 @@ PARTS_PER_TASK, GROUPED_IN_MEMORY = 8, 1 << 16
 UNIGRAM, BPE = 1, 2
 #: An edge in 64 bits: rank of its score, start, end, id. So edges sort as (score, start, end).
 ID_BITS, END_BITS, START_BITS = 21, 7, 6
+#: Texts are cut into words by about so many characters at a time: a worker keeps the most that its work arrays once took.
+CUT_CHARS = 1 << 17
 PLACES = ((1 << START_BITS + END_BITS) - 1) << ID_BITS
 
 
@@ -118,7 +120,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             column = _blanked(batch.column(0).to_pylist())
             total: dict[bytes, int] = {}
-            for a, b in chunks(column):
+            for a, b in chunks(column, CUT_CHARS):
                 data, starts, ends, hashes, _ = words_in(column[a:b])
                 raw = data.tobytes()
                 _, first, n = np.unique(hashes, return_index=True, return_counts=True)
@@ -275,9 +277,12 @@ class Vocabulary:
         self.hashes = hashes[order]
         at = ids.offsets.to_numpy().astype(np.int64) if len(ids) else np.zeros(1, dtype=np.int64)
         sizes = np.diff(at)[order]
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.repeat(at[:-1][order] - self.bounds[:-1], sizes) + np.arange(self.bounds[-1])
-        self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)[take] if len(ids) else np.empty(0, dtype=np.int32)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(at[:-1][order] - bounds[:-1], sizes) + np.arange(bounds[-1])
+        flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)[take] if len(ids) else np.empty(0, dtype=np.int32)
+        # every worker holds these
+        self.ids = flat.astype(np.int16) if not len(flat) or flat.max() < 1 << 15 else flat
+        self.bounds = bounds.astype(np.int32) if bounds[-1] < 1 << 31 else bounds
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
@@ -349,7 +354,7 @@ def rare_ids(words: list[str], lattice: Lattice, path: str) -> tuple[np.ndarray,
 
 def text_ids(texts: list[str], known: Vocabulary, lattice: Lattice, path: str) -> Iterator[np.ndarray]:
     """The ids of each text: words of the table by their hash, the others of a chunk of texts encoded once."""
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, CUT_CHARS):
         data, starts, ends, hashes, bounds = words_in(texts[a:b])
         at, raw = known.find(hashes), data.tobytes()
         hit, missed = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
